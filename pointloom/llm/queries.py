@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from pointloom.llm.chat import format_chats
-from pointloom.llm.common import table
+from pointloom.llm.common import shared_path, table
 from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.mixing import mix_digest
+from pointloom.llm.packing import pack
+from pointloom.llm.token_store import digest, read_tokens, write_tokens
+
+
+def token_store(spark, d):
+    path = shared_path(spark, "tokens")
+    write_tokens(table(spark, d, "documents"), path)
+    return digest(read_tokens(spark, path))
+
 
 QUERIES = {
     "op1_mixing": lambda spark, d: mix_digest(table(spark, d, "documents")),
+    "op2_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
     "op4_chat_formatting": lambda spark, d: format_chats(table(spark, d, "conversations")),
+    "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
 }
 
