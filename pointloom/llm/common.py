@@ -96,12 +96,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours are tied to the least of them
-        large = saved(large.where("u <> v").distinct(), "large")
+        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         after = saved(small.where("u <> v").distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges, large)
+        discard(edges)
         edges = after
         if last == tuple(mark):
             break
