@@ -8,6 +8,7 @@ from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
 from pointloom.llm.packing import pack
+from pointloom.llm.substring_dedup import drop_repeats
 from pointloom.llm.token_store import digest, read_tokens, write_tokens
 
 
@@ -20,6 +21,7 @@ def token_store(spark, d):
 QUERIES = {
     "op1_mixing": lambda spark, d: mix_digest(table(spark, d, "documents")),
     "op2_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
+    "op3_substring_dedup": lambda spark, d: drop_repeats(table(spark, d, "documents")),
     "op4_chat_formatting": lambda spark, d: format_chats(table(spark, d, "conversations")),
     "op7_minhash_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents")),
     "op9_token_store": token_store,
