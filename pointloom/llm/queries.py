@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pointloom.llm.chat import format_chats
 from pointloom.llm.common import shared_path, table
+from pointloom.llm.embedding_dedup import embedding_groups
 from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
@@ -24,6 +25,7 @@ QUERIES = {
     "op3_substring_dedup": lambda spark, d: drop_repeats(table(spark, d, "documents")),
     "op4_chat_formatting": lambda spark, d: format_chats(table(spark, d, "conversations")),
     "op7_minhash_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents")),
+    "op8_embedding_near_dedup": lambda spark, d: embedding_groups(table(spark, d, "embeddings")),
     "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
 }
