@@ -9,9 +9,9 @@ from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
 from pointloom.llm.packing import pack
+from pointloom.llm.pii import find_pii
 from pointloom.llm.substring_dedup import drop_repeats
 from pointloom.llm.token_store import digest, read_tokens, write_tokens
-
 from pointloom.llm.toxicity import score
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op2_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
     "op3_substring_dedup": lambda spark, d: drop_repeats(table(spark, d, "documents")),
     "op4_chat_formatting": lambda spark, d: format_chats(table(spark, d, "conversations")),
+    "op5_pii": lambda spark, d: find_pii(table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_minhash_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents")),
     "op8_embedding_near_dedup": lambda spark, d: embedding_groups(table(spark, d, "embeddings")),
