@@ -263,9 +263,9 @@ query("a23_sphere", "select 500::bigint points, 3000000::bigint radius_u, 100000
 # ---- rasters
 
 for _stat, _agg in (("max", "max(z)"), ("min", "min(z)"), ("mean", "avg(z)"), ("density", "count(*)"), ("field", "avg(y)")):
-    query(f"a11_raster_{_stat}", f"with {LI}, e as (select min(x) lx, min(y) ly from cloud) select cast(floor((x-lx)/2.0) as bigint) u, cast(floor((y-ly)/1.0) as bigint) v, {mu(_agg)} value_u from cloud, e group by 1, 2")(lambda spark, d, s=_stat: micros(R.raster(cloud_li(spark, d), 2.0, s, field="y", box={"x": 1.0, "y": 0.0}), ["u", "v"], ["value"]))
+    query(f"a11_raster_{_stat}", f"with {LI}, e as (select min(x) lx, min(y) ly from cloud) select cast(floor((x-lx)/2.0) as bigint) u, cast(floor((y-ly)/2.0) as bigint) v, {mu(_agg)} value_u from cloud, e group by 1, 2")(lambda spark, d, s=_stat: micros(R.raster(cloud_li(spark, d), 2.0, s, field="y", box={"x": 1.0, "y": 0.0}), ["u", "v"], ["value"]))
     SQL[f"a11_raster_{_stat}"] = SQL[f"a11_raster_{_stat}"].replace("select min(x) lx, min(y) ly from cloud", "select 1.0::double lx, 0.0::double ly")
-_HOLES = "t as (select cast(floor((x-1.0)/2.0) as bigint) u, cast(floor(y/1.0) as bigint) v, max(z) value from cloud group by 1, 2 having (cast(floor((x-1.0)/2.0) as bigint) * 7 + cast(floor(y/1.0) as bigint) * 3) % 5 <> 0)"
+_HOLES = "t as (select cast(floor((x-1.0)/2.0) as bigint) u, cast(floor(y/2.0) as bigint) v, max(z) value from cloud group by 1, 2 having (cast(floor((x-1.0)/2.0) as bigint) * 7 + cast(floor(y/2.0) as bigint) * 3) % 5 <> 0)"
 
 
 def _holes(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +275,7 @@ def _holes(spark: SparkSession, d: str) -> DataFrame:
 _GRID = "g as (select a.u, b.v from (select unnest(generate_series((select min(u) from t), (select max(u) from t))) u) a, (select unnest(generate_series((select min(v) from t), (select max(v) from t))) v) b), hole as (select g.u, g.v from g anti join t on g.u = t.u and g.v = t.v), near as (select hole.u, hole.v, t.value, greatest(abs(t.u-hole.u), abs(t.v-hole.v)) ring, (t.u-hole.u)*(t.u-hole.u)+(t.v-hole.v)*(t.v-hole.v) d2, t.v-hole.v j, t.u-hole.u i from hole, t where greatest(abs(t.u-hole.u), abs(t.v-hole.v)) <= 12)"
 query("a12_fill_nearest", f"with {LI}, {_HOLES}, {_GRID} select u, v, {mu('value')} value_u from t union all select u, v, {mu('arg_min(value, struct_pack(r := ring, d := d2, j := j, i := i))')} from near group by u, v")(lambda spark, d: micros(R.fill(_holes(spark, d)), ["u", "v"], ["value"]))
 query("a12_fill_idw", f"with {LI}, {_HOLES}, {_GRID}, e as (select u, v, ring, count(*) n, sum(value/d2) s, sum(1.0::double/d2) w from near group by 1, 2, 3), o as (select *, coalesce(sum(n) over (partition by u, v order by ring rows between unbounded preceding and 1 preceding), 0) bf from e) select u, v, {mu('value')} value_u from t union all select u, v, {mu('sum(s)/sum(w)')} from o where bf < 8 group by u, v")(lambda spark, d: micros(R.fill(_holes(spark, d), "idw"), ["u", "v"], ["value"]))
-query("a13_heightmap_grey", f"with {LI}, t as (select cast(floor((x-1.0)/2.0) as bigint) u, cast(floor(y/1.0) as bigint) v, max(z) value from cloud group by 1, 2), e as (select min(value) lo, max(value) hi from t) select u, v, cast(floor((value-lo)/(hi-lo)*254.0+0.5) as int)+1 grey from t, e")(lambda spark, d: R.grey(R.raster(cloud_li(spark, d), 2.0, "max", box={"x": 1.0, "y": 0.0})))
+query("a13_heightmap_grey", f"with {LI}, t as (select cast(floor((x-1.0)/2.0) as bigint) u, cast(floor(y/2.0) as bigint) v, max(z) value from cloud group by 1, 2), e as (select min(value) lo, max(value) hi from t) select u, v, cast(floor((value-lo)/(hi-lo)*254.0+0.5) as int)+1 grey from t, e")(lambda spark, d: R.grey(R.raster(cloud_li(spark, d), 2.0, "max", box={"x": 1.0, "y": 0.0})))
 _VOL = f"{mu('coalesce(sum(case when d > 0 then d end), 0)')} added_u, {mu('coalesce(sum(case when d < 0 then -d end), 0)')} removed_u, {mu('sum(d)')} net_u, count(*) cells"
 query("a14_volume_plane", f"with {ORD}, t as (select cast(floor(x/25.0) as bigint) u, cast(floor(y/25.0) as bigint) v, avg(z) value from cloud group by 1, 2), w as (select (value-50.0)*625.0 d from t) select {_VOL} from w")(lambda spark, d: micros(R.volume(R.raster(cloud_ord(spark, d), 25.0, "mean", box={"x": 0.0, "y": 0.0}), 25.0, plane=50.0), ["cells"], ["added", "removed", "net"]))
 query("a14_volume_layer", f"with {ORD}, a as (select cast(floor(x/25.0) as bigint) u, cast(floor(y/25.0) as bigint) v, max(z) value from cloud group by 1, 2), b as (select cast(floor(x/25.0) as bigint) u, cast(floor(y/25.0) as bigint) v, min(z) value from cloud group by 1, 2), w as (select (a.value-b.value)*625.0 d from a join b using (u, v)) select {_VOL} from w")(
