@@ -105,6 +105,7 @@ def stitch(segments: DataFrame) -> DataFrame:
 
         ends: dict[tuple, list[int]] = {}
         rows = [((round(r.x1, 9), round(r.y1, 9)), (round(r.x2, 9), round(r.y2, 9))) for r in pdf.sort_values(["y1", "x1", "y2", "x2"]).itertuples()]
+        rows = [(p, q) for p, q in rows if p != q]  # a level that meets a corner exactly
         for k, (p, q) in enumerate(rows):
             ends.setdefault(p, []).append(k)
             ends.setdefault(q, []).append(k)
@@ -124,7 +125,8 @@ def stitch(segments: DataFrame) -> DataFrame:
                 line.append(e if s == line[-1] else s)
             lines.append(line)
         level = pdf["level"].iloc[0]
-        return pd.DataFrame([{"level": level, "line": n, "points": [{"x": x, "y": y} for x, y in line], "closed": line[0] == line[-1]} for n, line in enumerate(lines)])
+        columns = ["level", "line", "points", "closed"]
+        return pd.DataFrame([{"level": level, "line": n, "points": [{"x": x, "y": y} for x, y in line], "closed": line[0] == line[-1]} for n, line in enumerate(lines)], columns=columns)
 
     return segments.groupBy("level").applyInPandas(join, "level double, line int, points array<struct<x:double,y:double>>, closed boolean")
 
