@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -83,13 +83,12 @@ def same(names: dict[str, str]) -> Column:
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) for the nodes of ``links`` (a, b): the smallest node reachable, by min-label hops with pointer jumping.
+    """(node, component) for the nodes of ``links`` (a, b): the smallest node reachable.
 
-    Alternates large-star and small-star steps, each of which is a shuffle on node ids; every round is saved,
-    and the loop ends when the edges no longer change. Hot nodes keep one edge per neighbour, and the star
-    steps only ever take a minimum over a node's neighbours, which is combined before the shuffle."""
-    edges = saved(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
+    Alternates large-star and small-star steps, each a shuffle on node ids; every round is saved, and the loop ends
+    when the edges no longer change. Steps only take minima over a node's neighbours, combined before the shuffle."""
+    first = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, last = _marked(first)
     for _ in range(rounds):
         # large star: every larger neighbour of u is tied to the least of u and its neighbours
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -99,14 +98,22 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        after = saved(small.where("u <> v").distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after, mark = _marked(small.where("u <> v"))
         discard(edges)
         edges = after
-        if last == tuple(mark):
+        if last == mark:
             break
-        last = tuple(mark)
+        last = mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges, saved, with their number and a sum over their hashes, taken while they are written."""
+    seen = Observation()
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+    out = saved(edges.distinct().observe(seen, *mark), "edges")
+    found = seen.get
+    return out, (found.get("n"), found.get("h"))

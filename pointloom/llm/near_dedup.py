@@ -24,10 +24,12 @@ from pointloom.llm.shingles import mixed, shingle_set
 SHINGLE, PERCENT, RECALL = 5, 75, 0.9999
 #: Minwise tokens of a document, levels drawn while reading, most levels, and documents that a node may hold before it branches on.
 TOKENS, DEPTH, MOST_DEPTH, SMALL = 64, 3, 9, 32
+#: Levels by which a large node branches on at a time, and documents of one side where the members of a heap are compared.
+JUMP, BLOCK = 3, 512
 #: Documents compared with one other in one task.
 STAR = 500
 #: Rounds of stars before what is still apart is compared exhaustively.
-STARS = 3
+STARS = 2
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**32, TOKENS, dtype=np.uint32)
@@ -102,13 +104,15 @@ def _paths(classes: DataFrame, trees: int, depth: int, percent: int) -> DataFram
     return classes.select("doc", "tokens").mapInArrow(run, "node long, doc long")
 
 
-def _branch_on(members: DataFrame, percent: int) -> DataFrame:
-    """(node, doc) of the next level for (node, doc, tokens)."""
+def _branch_on(members: DataFrame, levels: int, percent: int) -> DataFrame:
+    """(node, doc) that many levels on, for (node, doc, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            nodes, owner = branch(batch.column(0).to_numpy().astype(np.uint64), np.arange(len(rows)), rows, percent)
+            nodes, owner = batch.column(0).to_numpy().astype(np.uint64), np.arange(len(rows))
+            for _ in range(levels):
+                nodes, owner = branch(nodes, owner, rows, percent)
             docs = batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(docs[owner])], names=["node", "doc"])
 
@@ -151,28 +155,97 @@ def _populated(level: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, recall: float, percent: int) -> DataFrame:
-    """(node, doc): the small nodes of all trees, and what stays large at the last level: alike in a great many tokens."""
+    """(node, doc, n): the small nodes of all trees, and what stays large at the last level: alike in a great many tokens."""
     level, depth, found = _populated(_paths(classes, trees_for(recall, percent), DEPTH, percent)), DEPTH, []
     while True:
         found.append(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
         if depth == MOST_DEPTH or large.isEmpty():
             break
-        depth += 1
-        level = _populated(_branch_on(large.select("node", "doc").join(classes.select("doc", "tokens"), "doc"), percent))
-    return reduce(DataFrame.unionAll, [*found, large]).select("node", "doc")
+        step = min(JUMP, MOST_DEPTH - depth)
+        depth += step
+        level = _populated(_branch_on(large.select("node", "doc").join(classes.select("doc", "tokens"), "doc"), step, percent))
+    return reduce(DataFrame.unionAll, [*found, large])
 
 
 def _apart(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, doc, own) of the nodes whose members ``links`` don't connect yet; own is the component."""
+    """(node, doc, n, score, own) of the nodes whose members ``links`` don't connect yet; own is the component."""
     named = components(links)
-    label = nodes.join(named.select(F.col("node").alias("_d"), "component"), F.col("doc") == F.col("_d"), "left").select("node", "doc", F.coalesce("component", "doc").alias("own"))
+    label = nodes.join(named.select(F.col("node").alias("_d"), "component"), F.col("doc") == F.col("_d"), "left").select(*nodes.columns, F.coalesce("component", "doc").alias("own"))
     several = label.groupBy("node").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select(F.col("node").alias("_n"))
     return saved(label.join(several, F.col("node") == F.col("_n"), "left_semi"), "apart")
 
 
+def _heaped(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) within large nodes that are still apart, each exact and enough of them to connect what is alike.
+
+    Nodes that share members form one heap, so that no pair is compared once for each tree. A heap is cut into blocks,
+    each pair of blocks is a task, and in it each document is held against the other block's inverted lists; a task
+    returns the links that join components, fewer than its documents."""
+    first = apart.groupBy("node").agg(F.min("doc").alias("b")).withColumnRenamed("node", "_n")
+    tied = apart.join(first, F.col("node") == F.col("_n")).select(F.col("doc").alias("a"), "b")
+    heaps = components(tied).select(F.col("node").alias("doc"), F.col("component").alias("heap"))
+    members = heaps.join(apart.groupBy("doc").agg(F.first("own").alias("own")), "doc")
+    sizes = members.groupBy("heap").agg(F.count("*").alias("m"))
+    members = members.join(sizes, "heap").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    cells = members.select("heap", "doc", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = saved(cells.select("heap", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc", "own", "block"), "cells")
+    rows = cells.join(texts.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).repartition("heap", "x", "y").sortWithinPartitions("heap", "x", "y")
+
+    def compare(docs: list[int], own: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        root = {c: c for c in own}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        size = np.array([len(x) for x in sets])
+        flat, who = np.concatenate([sets[k] for k in right]), np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        out = []
+        for i in left:
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(who[at], minlength=len(right))
+            for j in right[100 * both >= percent * (size[i] + size[right] - both)]:
+                a, b = find(own[i]), find(own[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((docs[i], docs[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, own, sets, sides = None, [], [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(docs) > 1:
+                side = np.array(sides)
+                same = key[1] == key[2]
+                left, right = (np.arange(len(docs)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
+                if len(left) and len(right):
+                    found = compare(docs, own, sets, left, right)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for heap, x, y, doc, label, block, text in zip(*columns, batch.column(6), strict=True):
+                if (heap, x, y) != key:
+                    yield from done()
+                    key, docs, own, sets, sides = (heap, x, y), [], [], [], []
+                docs.append(doc)
+                own.append(label)
+                sets.append(shingle_set(text.as_py(), shingle))
+                sides.append(block == x)
+        yield from done()
+
+    return rows.select("heap", "x", "y", "doc", "own", "block", "text").mapInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+    """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Documents without words, and rows without doc_id, link with nothing (component_id = doc_id). Equal sets are one
     class, compared once. Rows that repeat a doc_id are documents of their own that share an id; each is kept if its
@@ -187,28 +260,37 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     wanted = nodes.select("doc").distinct().join(classes, "doc").select("doc", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     texts = saved(rows.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("doc", "text").dropDuplicates(["doc"]), "texts")
+    # What shares many nodes with many others is likely to be what they were copied from: a good star.
+    busy = nodes.groupBy("doc").agg(F.sum("n").alias("score")).withColumnRenamed("doc", "_d")
+    nodes = saved(nodes.join(busy, F.col("doc") == F.col("_d")).drop("_d"), "scored")
     links, apart = None, nodes.withColumn("own", F.col("doc"))
-    # Rounds of stars: in each node not yet connected, members are compared with one drawn at random.
     for k in range(STARS):
-        center = apart.groupBy("node").agg(F.min_by(F.struct("doc", "own"), F.xxhash64("doc", F.lit(k))).alias("c"))
-        pairs = apart.join(center, "node").where("own <> c.own").groupBy("doc").agg(F.min("c.doc").alias("a")).select("a", F.col("doc").alias("b"))
+        luck = 1 - F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(1000)) / F.lit(2000.0 if k else 1e9)
+        center = apart.groupBy("node").agg(F.max(F.struct((F.col("score") * luck).alias("s"), "doc", "own")).alias("c")).withColumnRenamed("node", "_n")
+        tries = apart.join(center, F.col("node") == F.col("_n")).where("own <> c.own")
+        pairs = tries.groupBy("doc").agg(F.max(F.struct("c.s", "c.doc")).alias("c")).select(F.col("c.doc").alias("a"), F.col("doc").alias("b"))
         new = confirm(pairs, texts, shingle, percent)
         links = saved(new if links is None else links.unionAll(new), "links")
         apart = _apart(nodes, links)
-    # What is still apart is compared exhaustively, across components only.
-    left, right = apart.select("node", F.col("doc").alias("a"), F.col("own").alias("oa")), apart.select("node", F.col("doc").alias("b"), F.col("own").alias("ob"))
+    # What is still apart is compared exhaustively: small nodes as pairs across components, large ones as heaps.
+    small = apart.where(F.col("n") <= SMALL)
+    left, right = small.select("node", F.col("doc").alias("a"), F.col("own").alias("oa")), small.select("node", F.col("doc").alias("b"), F.col("own").alias("ob"))
     pairs = left.join(right, "node").where("a < b and oa <> ob").select("a", "b").distinct()
-    links = saved(links.unionAll(confirm(pairs, texts, shingle, percent)), "links")
+    links = links.unionAll(confirm(pairs, texts, shingle, percent))
+    large = apart.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        links = links.unionAll(_heaped(large, texts, shingle, percent))
+    links = saved(links, "links")
     named = components(links).withColumnRenamed("node", "_d")
     joined = classes.join(named, F.col("doc") == F.col("_d"), "left").withColumn("component", F.coalesce("component", "doc"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_c")
     by_set = joined.join(least, F.col("component") == F.col("_c")).select("set_a", "set_b", "n_shingles", "component_id")
-    known = full.join(by_set, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = read.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = full.join(by_set, ["set_a", "set_b", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = read.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each group, all columns kept."""
-    gone = near_groups(docs, shingle, percent, recall).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_groups(docs, shingle, percent, recall).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")

@@ -28,7 +28,7 @@ QUERIES = {
     "op4_chat_formatting": lambda spark, d: format_chats(table(spark, d, "conversations")),
     "op5_pii": lambda spark, d: find_pii(table(spark, d, "documents")),
     "op6_toxicity": lambda spark, d: score(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op7_minhash_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents")),
+    "op7_minhash_near_dedup": lambda spark, d: near_groups(table(spark, d, "documents")).drop("text_hash"),
     "op8_embedding_near_dedup": lambda spark, d: embedding_groups(table(spark, d, "embeddings")),
     "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
