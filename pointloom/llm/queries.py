@@ -81,5 +81,41 @@ from places p join kept k on p.conv_id is not distinct from k.conv_id group by a
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) keep_id, count(*) over (partition by coalesce(text, '')) group_size,
        doc_id = max(doc_id) over (partition by coalesce(text, '')) kept, sha256(coalesce(text, '')) text_sha256
 from documents
+""",
+    "op3_substring_dedup": r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) ws from documents),
+spots as (select doc_id, ws, unnest(range(1, len(ws) + 1)) p from w),
+named as (select doc_id, p, ws[p] word, case when p + 49 <= len(ws) then md5(array_to_string(ws[p:p + 49], ' ')) end win from spots),
+first as (select win, min(doc_id) low from named where win is not null group by win),
+marked as (
+  select n.doc_id, n.p, n.word,
+         max(case when f.low < n.doc_id then n.p end) over (partition by n.doc_id order by n.p rows between 49 preceding and current row) is not null gone
+  from named n left join first f using (win)),
+sums as (
+  select doc_id, count(*) filter (where gone) n_removed, coalesce(string_agg(word, ' ' order by p) filter (where not gone), '') kept from marked group by doc_id)
+select w.doc_id, len(w.ws)::bigint n_words, coalesce(s.n_removed, 0)::bigint n_removed, sha256(coalesce(s.kept, '')) kept_sha256
+from w left join sums s using (doc_id)
+""",
+    "op7_minhash_near_dedup": r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) ws from documents),
+sets as (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+         else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) s from w),
+e as (select doc_id, unnest(s) g from sets),
+pairs as (select a.doc_id a, b.doc_id b, count(*) n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+both_ways as (select a, b from links union select b, a from links),
+reach(a, b) as (select doc_id, doc_id from sets union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select s.doc_id, len(s.s)::bigint n_shingles, min(r.b) component_id, min(r.b) = s.doc_id kept
+from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s
+""",
+    "op8_embedding_near_dedup": r"""
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+good as (select * from v where e is not null and len(e) > 0 and list_count(e) = len(e) and list_bool_and(list_transform(e, lambda x: isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
+links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a)
+select v.vec_id, (select count(*) from links where a = v.vec_id) n_links, min(r.b) component_id, min(r.b) = v.vec_id kept
+from v join reach r on r.a = v.vec_id group by v.vec_id
 """,
 }
