@@ -124,8 +124,12 @@ def spans(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
     heads = np.flatnonzero(new)
     count = np.diff(np.concatenate([heads, [len(first)]]))
     begin, who, what = first[heads], owner[heads], anchor[heads]
-    p1, p2 = Prints(flat).of(begin, begin + count + window - 1)
-    name = np.where(what >= 0, names[np.maximum(what, 0)], mixed(p1.astype(np.uint64))).astype(np.int64)
+    prints = Prints(flat)
+    p1, p2 = prints.of(begin, begin + count + window - 1)
+    # An anchor goes by all the words that decide it: by its own few words alone, common phrases would be shared names.
+    known = np.maximum(what, 0)
+    decided, _ = prints.of(lo[known], hi[known])
+    name = np.where(what >= 0, mixed(decided.astype(np.uint64) ^ names[known]), mixed(p1.astype(np.uint64))).astype(np.int64)
     return np.array(rows)[who], name, p1, p2, begin - begins[who], count
 
 
