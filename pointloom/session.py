@@ -18,6 +18,7 @@ from pointloom.operators import features as FE
 from pointloom.operators import fitting as FI
 from pointloom.operators import graph as G
 from pointloom.operators import layout as L
+from pointloom.operators import mesh as ME
 from pointloom.operators import neighbours as N
 from pointloom.operators import raster as R
 from pointloom.operators import regions as RG
@@ -25,7 +26,7 @@ from pointloom.sources import files
 
 LOG, STEPS = 500, 80
 #: Commands that change data.
-EDITS = {"analysis", "regions", "transform", "entities", "register", "history", "script"}
+EDITS = {"analysis", "regions", "transform", "entities", "register", "distance_to", "mesh", "surface", "history", "script"}
 
 
 @dataclass
@@ -59,6 +60,7 @@ class Session:
         self.layers: dict[str, Layer] = {}
         self.active: str | None = None
         self.regions: dict[str, RG.Region] = {}
+        self.meshes: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.entries: list[dict] = []
         self.values: dict[str, Any] = {}
 
@@ -82,7 +84,7 @@ class Session:
             handler = getattr(self, f"do_{command}", None)
             if handler is None:
                 raise ValueError(f"no command {command!r}")
-            if entry["edit"] and not self.allow_edits and args.get("op") not in ("list", "get", "status"):
+            if entry["edit"] and not self.allow_edits and args.get("op") not in ("list", "get", "status", "measure", "save", "export"):
                 raise PermissionError("edits are off")
             reply = handler(**args)
             self.values["last"] = reply
@@ -262,6 +264,51 @@ class Session:
         lines = R.stitch(R.contour_segments(R.occupancy(self.layer.placed(), cell, z, thickness, dilate), [0.5], midpoints=True))
         return {"lines": [[(p.x, p.y) for p in r.points] for r in lines.collect()]}
 
+    def do_section(self, axis: str, at: float, thickness: float = 0.1) -> dict:
+        return RG.section(self.layer.placed(), axis, at, thickness).agg(F.count("*").alias("points")).first().asDict()
+
+    def do_view(self, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01) -> dict:
+        return {"pixels": R.ortho_view(self.layer.placed(), right, up, toward, perPixel).count()}
+
+    def do_surface(self, op: str = "build", name: str = "surface", voxel: float = 0.06, smoothing: int = 2, path: str | None = None) -> dict:
+        if op == "build":
+            self.meshes[name] = ME.build_surface(self.layer.placed(), voxel, smoothing)
+            return ME.measure(*self.meshes[name]).first().asDict()
+        if op == "clear":
+            del self.meshes[name]
+        elif op == "export":
+            files.write_mesh(*self.meshes[name], path)
+        else:
+            raise ValueError(f"no surface op {op!r}")
+        return {"ok": True}
+
+    def do_mesh(self, op: str = "list", name: str = "surface", path: str | None = None, iterations: int = 5, taubin: bool = True, cell: float = 0.1, count: int = 200_000, reach: float = 2.0, signed: bool = False) -> dict:
+        if op == "list":
+            return {"meshes": list(self.meshes)}
+        if op == "open":
+            self.meshes[name] = files.read_mesh(self.spark, path)
+            return {"mesh": name}
+        vertices, triangles = self.meshes[name]
+        if op == "flip":
+            self.meshes[name] = vertices, ME.flip(triangles)
+        elif op == "smooth":
+            self.meshes[name] = ME.smooth(vertices, triangles, iterations, taubin), triangles
+        elif op == "decimate":
+            self.meshes[name] = ME.decimate(vertices, triangles, cell)
+        elif op == "sample":
+            self.add(f"{name} points", ME.sample(vertices, triangles, count))
+            return {"layer": f"{name} points"}
+        elif op == "distance":
+            cloud = self.layer.cloud
+            d = N.mesh_distance(self.layer.placed(), vertices, triangles, reach, signed).withColumnRenamed("d", "distance")
+            self.layer.commit(cloud.drop("distance").join(d, "gid"))
+            return self.layer.cloud.agg(F.count("distance").alias("points"), F.avg("distance").alias("mean")).first().asDict()
+        elif op == "save":
+            files.write_mesh(vertices, triangles, path)
+        elif op != "measure":
+            raise ValueError(f"no mesh op {op!r}")
+        return ME.measure(*self.meshes[name]).first().asDict()
+
     def do_heightmap(self, cell: float, axis: str = "z") -> dict:
         grey = R.grey(R.raster(self.layer.placed(), cell, "max", axis))
         return {"cells": grey.count()}

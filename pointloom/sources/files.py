@@ -300,6 +300,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return read_ply(spark, path)
     if kind == "las":
         return read_las(spark, path)
+    if kind == "e57":
+        from pointloom.sources.e57 import read_e57
+
+        return read_e57(spark, path)
     if kind == "ptx":
         return read_ptx(spark, path)[0]
     if kind == "text":

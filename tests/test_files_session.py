@@ -36,6 +36,22 @@ def test_ply_and_las(spark, points, tmp_path):
     assert las.where("gid = 77").first().intensity == 77
 
 
+def test_e57(spark, points, tmp_path):
+    from pointloom.sources import e57
+
+    e57.write_e57(points, f"{tmp_path}/a.e57")
+    assert files.sniff(f"{tmp_path}/a.e57") == "e57"
+    same(files.read(spark, f"{tmp_path}/a.e57"), points, 9)
+    assert e57.stations(spark, f"{tmp_path}/a.e57").first().name == "scan"
+    rng = np.random.default_rng(1)
+    values = rng.integers(-5, 3000, 500)
+    field = {"kind": "ScaledInteger", "low": -5, "high": 3000, "scale": 0.01, "offset": 2.0}
+    raw = np.packbits(np.array([[(v + 5) >> k & 1 for k in range(12)] for v in values], np.uint8).ravel(), bitorder="little").tobytes()
+    assert np.allclose(e57._decode(field, raw, 0, 500), values * 0.01 + 2) and np.allclose(e57._decode(field, raw, 12 * 7, 100), values[7:107] * 0.01 + 2)
+    assert (e57._decode({"kind": "Integer", "low": 4, "high": 4, "scale": 1, "offset": 0}, b"", 0, 3) == 4).all()
+    assert e57._crc32c(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xE3069283
+
+
 def test_ascii_ply_and_text(spark, tmp_path):
     (tmp_path / "b.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n1 2 3 4 5 6\n7 8 9 10 11 12\n")
     assert [tuple(r) for r in files.read(spark, f"{tmp_path}/b.ply").orderBy("gid").collect()] == [(0, 1.0, 2.0, 3.0, 4, 5, 6), (1, 7.0, 8.0, 9.0, 10, 11, 12)]
@@ -79,7 +95,11 @@ def test_session(spark, points):
     assert s.run("state")["points"] == 242
     reply = s.run("script", steps=[{"command": "distance", "args": {"a": [0, 0, 0], "b": [3, 4, 12]}, "as": "d"}, {"command": "regions", "args": {"op": "add", "region": {"id": "n${d.dz}", "kind": "sphere", "center": [0, 0, 0], "radius": "$d.distance"}}}, {"command": "nothing"}, {"command": "state"}])
     assert len(reply["replies"]) == 3 and reply["replies"][1] == {"region": "n12.0"} and "error" in reply["replies"][2]
-    assert s.run("log", limit=1)["entries"][0]["command"] == "script"
+    s.meshes["cube"] = cube(spark)
+    assert s.run("mesh", op="measure", name="cube")["area"] == pytest.approx(6)
+    assert s.run("mesh", op="flip", name="cube")["volume"] == pytest.approx(1)
+    assert s.run("section", axis="x", at=0.0, thickness=0.01)["points"] > 0
+    assert s.run("log", limit=1)["entries"][0]["command"] == "section"
     quiet = Session(spark, allow_edits=False)
     quiet.add("a", points)
     with pytest.raises(PermissionError):
