@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import components, saved
@@ -23,9 +23,9 @@ from pointloom.llm.shingles import mixed, shingle_set
 
 SHINGLE, PERCENT, RECALL = 5, 75, 0.9999
 #: Minwise tokens of a document, levels drawn while reading, most levels, and documents that a node may hold before it branches on.
-TOKENS, DEPTH, MOST_DEPTH, SMALL = 64, 3, 9, 32
+TOKENS, DEPTH, MOST_DEPTH, SMALL = 64, 4, 6, 32
 #: Levels by which a large node branches on at a time, and documents of one side where the members of a heap are compared.
-JUMP, BLOCK = 3, 512
+JUMP, BLOCK = 2, 512
 #: Documents compared with one other in one task.
 STAR = 500
 #: Rounds of stars before what is still apart is compared exhaustively.
@@ -123,8 +123,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     """The (a, b) of ``pairs`` whose full sets are alike. ``texts``: (doc, text).
 
     Each a's text is followed by those of its b's, at most STAR in one task; one set is held at a time."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / STAR)).cast("long"))
-    salted = saved(salted, "pairs")
+    pairs = saved(pairs, "pairs")
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("_stars")).withColumnRenamed("a", "_a")
+    salted = pairs.join(stars, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_stars")).cast("long").alias("salt"))
     members = salted.join(texts, F.col("b") == F.col("doc")).select("a", "salt", F.col("b").alias("b"), "text")
     heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("doc")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rows = members.unionAll(heads).repartition("a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
