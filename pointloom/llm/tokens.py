@@ -15,7 +15,7 @@ import public_tokenizers
 import regex
 
 #: Pieces that one generation of a cache holds; two generations are kept.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 #: The patterns that the two tokenizers split by.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -29,7 +29,9 @@ CALIBRATE, LEAST = 4, 2
 #: Letters of a run, the discount of Kneser-Ney, the score from which a document counts as toxic, words of a window of evidence.
 ORDER, DISCOUNT, THRESHOLD, SPAN = 6, 0.75, 0.3, 12
 #: Words that one generation of a worker's cache holds; two generations are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Texts that are split into words at once, and new words that are counted at once.
+TEXTS, WORDS = 256, 40_000
 FEATURES = 6
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -64,13 +66,9 @@ def count(rows: DataFrame) -> DataFrame:
     """(n, prior, run, toxic, ordinary): counts of letter runs of each length over ``rows`` (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[bytes, list[int]] = {}
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for w, n in Counter(_words(text.as_py())).items():
-                    seen.setdefault(w, [0, 0])[toxic] += n
-            if not seen:
-                continue
+        seen: dict[bytes, list[int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
             owner, place, names = _runs(list(seen))
             weights = np.array(list(seen.values()), np.int64)[owner]
             for n in range(1, ORDER + 1):
@@ -79,6 +77,16 @@ def count(rows: DataFrame) -> DataFrame:
                 key, first, back = np.unique(names[n][ok], return_index=True, return_inverse=True)
                 sums = [np.bincount(back, weights[ok, c], len(key)).astype(np.int64) for c in (1, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(prior[first].astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["n", "prior", "run", "toxic", "ordinary"])
+            seen.clear()
+
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for w, n in Counter(_words(text.as_py())).items():
+                    seen.setdefault(w, [0, 0])[toxic] += n
+                if len(seen) > WORDS:
+                    yield from out()
+        if seen:
+            yield from out()
 
     counted = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "n int, prior long, run long, toxic long, ordinary long")
     return counted.groupBy("n", "prior", "run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -167,6 +175,8 @@ class Models:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: 1, mean evidence, strongest word, strongest window, root-normalised sum, log of the length; no words give zeros."""
+        if len(texts) > TEXTS:
+            return np.vstack([self.features(texts[at : at + TEXTS]) for at in range(0, len(texts), TEXTS)])
         if len(self.known) > CACHE_WORDS:
             self.known = _Evidence(dict(self.known))
         split = [_words(t) for t in texts]
