@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,44 +151,97 @@ def _off(kind: str, shape: tuple):
     return F.abs(F.sqrt(F.greatest(square - along * along if kind == "cylinder" else square, F.lit(0.0))) - r)
 
 
-def detect(cloud: DataFrame, tolerance: float = 0.02, least: int = 2000, most: int = 12, kinds=("plane", "sphere", "cylinder"), trials: int = 400, seed: int = 7, draws: int = 4000) -> list[dict]:
-    """Shapes, best supported first: trials from a bounded random draw are scored over the whole cloud in one aggregate,
-    the winner is fitted to its points, which leave the cloud. The first trial wins ties; radii stay over two tolerances."""
+def _neighbourhoods(left: DataFrame, count: int, tolerance: float, low: np.ndarray, side: float, seed: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Up to ``count`` minimal samples (4 rows of x, y, z, nx, ny, nz, less ``low``). Each starts at a point of ``left`` drawn at random, and is drawn
+    from all points of the cell around it; cells are of every size from the whole cloud, by halves, to four tolerances."""
+    names = ["x", "y", "z", "nx", "ny", "nz"]
+    levels = max(1, int(np.floor(np.log2(max(side / (4 * tolerance), 1.0)))) + 1)
+    starts = left.orderBy(F.xxhash64("gid", F.lit(seed)), "gid").limit(count).select("x", "y", "z").toPandas().to_numpy(float) - low
+    level = rng.integers(levels, size=len(starts))
+    at = np.column_stack([level, np.floor(starts / (side / 2.0**level)[:, None])]).astype(int)
+    cells, wanted = np.unique(at, axis=0, return_counts=True)
+    # As many cells as starts at most: bounded by ``count``, so they are broadcast. A point meets one cell of a level at most.
+    asked = left.sparkSession.createDataFrame([(*map(int, c), 4 * int(n)) for c, n in zip(cells, wanted, strict=True)], "_l int, _x long, _y long, _z long, _n int")
+    local = left.select("gid", *[(F.col(c) - float(o)).alias(c) for c, o in zip("xyz", low, strict=True)], *names[3:], F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_l"))
+    local = local.select("*", *[F.floor(F.col(c) / (F.lit(side) / F.pow(F.lit(2.0), F.col("_l")))).alias(f"_{c}") for c in "xyz"])
+    cell = ["_l", "_x", "_y", "_z"]
+    local = local.join(F.broadcast(asked), cell)
+    # A share of each cell's points, chosen by hash: six more than its starts need on average, so that few cells come out short.
+    sizes = local.groupBy(*cell).agg(F.count("*").alias("_m"))
+    chance = F.pmod(F.xxhash64("gid", "_l", F.lit(seed + 1)), F.lit(2**52)) / F.lit(2.0**52)
+    drawn = local.join(F.broadcast(sizes), cell).where(chance * F.col("_m") < F.col("_n") + 6)
+    rows = drawn.select(*cell, *names, "gid").toPandas().sort_values([*cell, "gid"])[[*cell, *names]].to_numpy(float)
+    pools: dict[tuple, list] = {}
+    for row in rows:
+        pools.setdefault(tuple(row[:4].astype(int)), []).append(row[4:])
+    pools = {cell: np.array(pool) for cell, pool in pools.items() if len(pool) >= 4}
+    found = [pools.get(tuple(c)) for c in at]
+    return [pool[rng.choice(len(pool), 4, replace=False)] for pool in found if pool is not None]
+
+
+def _supports(left: DataFrame, shapes: list[tuple], tolerance: float, low: np.ndarray) -> np.ndarray:
+    """How many points of the whole of ``left`` lie within ``tolerance`` of each (kind, shape), in one aggregate. Shapes stand off ``low``."""
+    kinds = np.array([k for k, _ in shapes])
+    centre, axis, radius = (np.array([s[i] for _, s in shapes], float) for i in range(3))
+    blocks = [(kind, ids[k : k + 256]) for kind in np.unique(kinds) for ids in [np.flatnonzero(kinds == kind)] for k in range(0, len(ids), 256)]
+
+    def run(batches):
+        total = np.zeros(len(shapes), np.int64)
+        for batch in batches:
+            every = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]) - low
+            for p in (every[k : k + 4096] for k in range(0, len(every), 4096)):
+                square = (p * p).sum(1)[:, None]
+                for kind, ids in blocks:
+                    c, a = centre[ids], axis[ids]
+                    along = p @ a.T - (c * a).sum(1)
+                    if kind == "plane":
+                        far = np.abs(along)
+                    else:
+                        far = square - 2 * (p @ c.T) + (c * c).sum(1)
+                        far = np.abs(np.sqrt(np.maximum(far - along * along if kind == "cylinder" else far, 0)) - radius[ids])
+                    total[ids] += (far <= tolerance).sum(0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["trial", "points"])
+
+    spread = left.select("x", "y", "z").repartition(left.sparkSession.sparkContext.defaultParallelism)
+    sums = spread.mapInArrow(run, "trial long, points long").groupBy("trial").agg(F.sum("points").alias("points")).toPandas()
+    out = np.zeros(len(shapes), np.int64)
+    out[sums["trial"].to_numpy(int)] = sums["points"].to_numpy(int)
+    return out
+
+
+def detect(cloud: DataFrame, tolerance: float = 0.02, least: int = 2000, most: int = 12, kinds=("plane", "sphere", "cylinder"), trials: int = 400, seed: int = 7, miss: float = 0.01) -> list[dict]:
+    """Shapes, best supported first: all trials are scored over the whole cloud in one aggregate, the winner is fitted to its
+    points, which leave the cloud. The first trial wins ties; radii stay over two tolerances.
+
+    Minimal samples come from neighbourhoods of all sizes in the whole cloud. ``trials`` is the least number of them: there are as
+    many as a shape of ``least`` points needs to be proposed with probability 1 - ``miss``, if a third of the sizes suit it. So
+    their number grows with points over ``least``, and the work of a shape with the square of the points."""
     rng, left, found = np.random.default_rng(seed), cut(cloud), []
     while len(found) < most:
-        drawn = left.orderBy(F.xxhash64("gid", F.lit(seed))).limit(draws).select("x", "y", "z", "nx", "ny", "nz").toPandas().to_numpy(float)
-        if len(drawn) < max(4, least // 100):
+        ends = left.agg(F.count("*"), *[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
+        if ends[0] < max(4, least):
             break
-        p, n, shapes = drawn[:, :3], drawn[:, 3:], []
-        for t in range(trials):
+        low = np.array(ends[1:4], float)
+        side = max(float((np.array(ends[4:7], float) - low).max()) * (1 + 1e-9), 1e-9)
+        count = max(trials, int(np.ceil(-np.log(miss) * 3 * len(kinds) * ends[0] / max(least, 1))))
+        shapes = []
+        for t, rows in enumerate(_neighbourhoods(left, count, tolerance, low, side, seed + 2 * len(found), rng)):
             kind = kinds[t % len(kinds)]
-            # Half of the samples come from a neighbourhood, where small shapes have a chance.
-            start = int(rng.integers(len(p)))
-            near = np.argsort(((p - p[start]) ** 2).sum(1))[: max(40, len(p) // 40)]
-            k = rng.choice(near if t % 2 else len(p), 4, replace=False)
-            shape = _candidate(kind, p[k], n[k])
+            shape = _candidate(kind, rows[:, :3], rows[:, 3:])
             if shape is not None and (kind == "plane" or 2 * tolerance < shape[2] < 1e3):
                 shapes.append((kind, shape))
-        # The draw ranks the trials; the best few are scored on every point.
-        def on_draw(s):
-            kind, (c, a, r) = s
-            d = p - c
-            along = d @ a
-            far = np.abs(along) if kind == "plane" else np.abs(np.sqrt(np.maximum((d * d).sum(1) - (along**2 if kind == "cylinder" else 0), 0)) - r)
-            return -int((far <= tolerance).sum())
-
-        shapes = sorted(shapes, key=on_draw)[:16]
         if not shapes:
             break
-        counts = left.agg(*[F.sum(F.when(_off(k, s) <= tolerance, 1).otherwise(0)) for k, s in shapes]).first()
-        best = max(range(len(shapes)), key=lambda i: (counts[i], -i))
+        counts = _supports(left, shapes, tolerance, low)
+        best = int(counts.argmax())
         if counts[best] < least:
             break
-        kind, shape = shapes[best]
-        own = left.where(_off(kind, shape) <= tolerance)
-        fit = FITS[kind](own)
-        found.append(fit | {"points": counts[best], "shape": len(found)})
-        left = cut(left.where(_off(kind, shape) > tolerance))
+        kind, (c, a, r) = shapes[best]
+        off = _off(kind, (c + low, a, r))
+        own = left.where(off <= tolerance)
+        found.append(FITS[kind](own) | {"shape": len(found)})
+        left = cut(left.where(off > tolerance))
     return found
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,19 @@ def test_detect_finds_plane_and_ball(spark):
     from pointloom.plans.catalogue import detect
 
     assert [r.kind for r in detect(spark, "").orderBy("shape").collect()] == ["plane", "sphere"]
+
+
+def test_detect_finds_a_small_ball_in_a_large_cloud(spark):
+    """1.5% of the points, more than ``least``: too few in a draw of thousands to be proposed from it."""
+    rng = np.random.default_rng(8)
+    n, m = 200_000, 3000
+    away = rng.standard_normal((m, 3))
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    normals = rng.standard_normal((n, 3))
+    p = np.vstack([rng.random((n, 3)) * 20, away * 0.5 + [7.3, 11.9, 4.2]])
+    rows = np.column_stack([p, np.vstack([normals / np.linalg.norm(normals, axis=1)[:, None], away])])
+    table = pd.DataFrame(rows, columns=["x", "y", "z", "nx", "ny", "nz"])
+    table.insert(0, "gid", np.arange(n + m))
+    found = FI.detect(spark.createDataFrame(table), least=2500)
+    assert [s["kind"] for s in found] == ["sphere"] and found[0]["points"] >= m
+    assert found[0]["radius"] == pytest.approx(0.5, abs=1e-3) and found[0]["center"] == pytest.approx([7.3, 11.9, 4.2], abs=1e-3)
