@@ -23,7 +23,7 @@ from pointloom.llm.shingles import mixed, shingle_set
 
 SHINGLE, PERCENT, RECALL = 5, 75, 0.9999
 #: Minwise tokens of a document, levels drawn while reading, most levels, and documents that a node may hold before it branches on.
-TOKENS, DEPTH, MOST_DEPTH, SMALL = 64, 4, 6, 32
+TOKENS, DEPTH, MOST_DEPTH, SMALL = 128, 4, 6, 32
 #: Levels by which a large node branches on at a time, and documents of one side where the members of a heap are compared.
 JUMP, BLOCK = 2, 512
 #: Documents compared with one other in one task.
@@ -36,17 +36,30 @@ _XOR = _rng.integers(0, 2**32, TOKENS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def survival(percent: int = PERCENT, depth: int = DEPTH) -> float:
-    """How likely two documents of just that similarity share a path in one tree."""
+def survival(percent: int = PERCENT, depth: int = MOST_DEPTH, agree: float | None = None) -> float:
+    """How likely two documents share a path in one tree if they agree in that share of their tokens; ``percent`` where none is given."""
     s, q = percent / 100, 1.0
     two = 1 / s - 1  # share of nodes that draw two tokens
+    agree = s if agree is None else agree
     for _ in range(depth):
-        q = 1 - ((1 - two) * (1 - s * q) + two * (1 - s * q) ** 2)
+        q = 1 - ((1 - two) * (1 - agree * q) + two * (1 - agree * q) ** 2)
     return q
 
 
-def trees_for(recall: float = RECALL, percent: int = PERCENT, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(percent, depth)))
+def missed(trees: int, percent: int = PERCENT, depth: int = MOST_DEPTH) -> float:
+    """How likely two documents of just that similarity share no path in any tree. All trees draw from the same TOKENS,
+    in which the two agree more or less often by chance, so this is the mean over what they agree in."""
+    s = percent / 100
+    chance = [math.comb(TOKENS, k) * s**k * (1 - s) ** (TOKENS - k) for k in range(TOKENS + 1)]
+    return sum(c * (1 - survival(percent, depth, k / TOKENS)) ** trees for k, c in enumerate(chance))
+
+
+def trees_for(recall: float = RECALL, percent: int = PERCENT, depth: int = MOST_DEPTH) -> int:
+    """Trees that meet ``recall`` for pairs that stand in large nodes down to the last level; others meet more often."""
+    trees = 1
+    while missed(trees, percent, depth) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:

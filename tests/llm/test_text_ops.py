@@ -215,6 +215,23 @@ def test_trees_meet_the_recall():
     assert 0.4 < q < 0.7 and 1 - (1 - q) ** near_dedup.trees_for() >= near_dedup.RECALL
 
 
+def test_pairs_in_large_nodes_meet():
+    """Pairs at the threshold that branch in every tree down to the last level; the tokens they agree in vary by chance."""
+    rng, n, trees = np.random.default_rng(12), 20_000, near_dedup.trees_for()
+    a = rng.integers(0, 2**32, (n, near_dedup.TOKENS), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.75, a, ~a)
+    met = np.zeros(n, bool)
+    for tree in range(trees):
+        ends = []
+        for tokens in (b, a):
+            nodes, owner = near_dedup.mixed(np.full(n, tree + 1, np.uint64)), np.arange(n)
+            for _ in range(near_dedup.MOST_DEPTH):
+                nodes, owner = near_dedup.branch(nodes, owner, tokens)
+            ends.append(near_dedup.mixed(nodes) + near_dedup.mixed(owner.astype(np.uint64) + np.uint64(1)))
+        met[owner[np.isin(ends[1], ends[0])]] = True
+    assert (~met).sum() <= 10  # 2 are expected at a recall of 0.9999
+
+
 def test_pii_base_and_more(spark):
     text = "Größe mail a.b@c.de. ip 10.0.0.256 and 10.0.0.1, card 4111 1111 1111 1111 or 4111 1111 1111 1112, +1 (375) 555-4393 x"
     rows = [(1, text, "a"), (2, None, "a"), (3, "", "a"), (4, "write bob [at] foo [dot] com, call (415) 555-2671 please", "a"), (5, "order 12345 of 2019-01-01, see page 12", "a")]
