@@ -1,8 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional models of letters, with absolute discounting.
 
 Two models of the letters of words (bytes, up to ORDER of them, with marks where a word begins and ends) are counted
-over labelled documents, one over toxic, one over ordinary ones. Both back off, order by order, to continuation counts
-that they share, so rare expressions and unseen endings of known stems are smoothed rather than dropped. A word's
+over labelled documents, one over toxic, one over ordinary ones. Both back off, order by order, so unseen endings of known
+stems are smoothed rather than dropped. This is less than Kneser-Ney with a shared backoff: orders 2 to ORDER are raw
+counts of each class, discounted, and only the share of single letters is a continuation count that both have in common.
+Runs seen less than LEAST times in both classes together are left out before totals, discounts and continuation counts
+are taken. Runs end with their word, so a toxic phrase of ordinary words has no evidence as a phrase. A word's
 evidence is the difference of its log-likelihoods; a document's score comes from the length-normalised difference and
 from its strongest words, mapped to a probability by a logistic fit on labelled documents that were not counted."""
 
@@ -26,7 +29,7 @@ from pointloom.llm.shingles import mixed
 FIT_ROWS = 8_000
 #: One labelled row in so many calibrates and is not counted; letter runs seen less often are left to backoff.
 CALIBRATE, LEAST = 4, 2
-#: Letters of a run, the discount of Kneser-Ney, the score from which a document counts as toxic, words of a window of evidence.
+#: Letters of a run, the discount, the score from which a document counts as toxic, words of a window of evidence.
 ORDER, DISCOUNT, THRESHOLD, SPAN = 6, 0.75, 0.3, 12
 #: Words that one generation of a worker's cache holds; two generations are kept.
 CACHE_WORDS = 200_000
