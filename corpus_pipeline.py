@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("minhash near-dedup", near_dedup), ("mixing sources", mixing), ("best-fit packing", packing)]
 
-#: The models of the first stage have no SQL; tests hold the pipeline against a brute-force version.
+#: The models of the first stage have no SQL; tests hold the stages after it against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,8 @@
 """Toxicity on held-out rows, embeddings against all pairs, the pipeline against its own rules, and the queries' SQL."""
 
+import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -105,6 +107,67 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == set(mixed.doc_id)
 
 
+def brute_mix(rows):
+    """How often the mix takes each (doc_id, text, source): caps one by one, then all copies in one order, cut at the budget."""
+    sizes = [(s, hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, len((t or "").encode().split())) for i, t, s in rows]
+    sources = sorted({s for s, *_ in sizes}, key=lambda s: (s is None, s or ""))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sources)}
+    whole = {s: sum(x[3] for x in sizes if x[0] == s) for s in sources}
+    budget, target, free = 1.5 * sum(whole.values()), {}, set(sources)
+    while free:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if 2 * whole[s] < level * weight[s]}
+        target |= {s: 2.0 * whole[s] if full else level * weight[s] for s in full or free}
+        free -= full or free
+    copies = []
+    for k, s in enumerate(sources):
+        done = 0
+        for _, h, i, n in sorted(x for x in sizes if x[0] == s):
+            done += n
+            copies += [((done + again * whole[s]) / target[s], k, again, h, i, n) for again in (0, 1) if target[s]]
+    taken, reached = Counter(), 0
+    for *_, i, n in sorted(copies):
+        reached += n
+        if reached > budget:
+            break
+        taken[i] += 1
+    return taken
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Near-dedup, mixing and packing, each from the stage's own input."""
+    import corpus_pipeline
+    from test_text_ops import brute_components, tokenizer, words5
+
+    stages = dict(corpus_pipeline.STAGES)
+
+    def put(name, df):
+        df = stages[name](spark, df, SMALL)
+        return spark.createDataFrame(df.toPandas(), df.schema)
+
+    exact = put("exact dedup", spark.read.parquet(f"{SMALL}/documents.parquet"))
+    near = put("minhash near-dedup", exact)
+    mixed = put("mixing sources", near)
+    root = brute_components({r.doc_id: words5(r.text) for r in exact.collect()})
+    kept = {i for i, c in root.items() if i == c}
+    assert sorted(r.doc_id for r in near.collect()) == sorted(kept) and len(kept) < len(root)
+    assert Counter(r.doc_id for r in mixed.collect()) == brute_mix([(r.doc_id, r.text, r.source) for r in near.collect()])
+    want, t = [], tokenizer("byte_bpe_50k.json")
+    for r in mixed.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[s : first if k == 0 else s + 1024]
+            want.append((r.doc_id, k, s, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())))
+    got = put("best-fit packing", mixed).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024
+
+
 def test_queries_are_complete():
     from pointloom.llm.queries import ORACLE_SQL, QUERIES
 
