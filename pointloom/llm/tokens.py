@@ -3,7 +3,8 @@
 The tokenizers library encodes whole texts at about a megabyte a second, but words repeat. A text is cut where the
 tokenizer's pattern always cuts; a new piece is split by that pattern and its parts go to the library's own BPE model;
 ids of pieces and parts stay in caches of bounded size. Pieces with letters beyond Latin Extended-A go to the library
-as they are, so ids are always the library's."""
+as they are, so ids are always the library's. As the library does by default, a text is first cut at the strings of
+the tokenizer's added tokens, each of which is its own id; ``plain`` takes them for ordinary text instead."""
 
 from __future__ import annotations
 
@@ -49,12 +50,15 @@ class _Cache(dict):
 class Ids:
     """Ids as little-endian unsigned 32-bit bytes. With ``words``, for lower-casing tokenizers that drop white space."""
 
-    def __init__(self, name: str, words: bool) -> None:
+    def __init__(self, name: str, words: bool, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # a text may hold their strings; they are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        added = {} if plain else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: array("I", [i]).tobytes() for content, i in added.items()}
+        self.at_added = regex.compile("|".join(regex.escape(c) for c in sorted(added, key=len, reverse=True)) or r"(?!)")
         self.model, self.words = self.tokenizer.model, words
         self.split = regex.compile(WORD_LEVEL if words else BYTE_LEVEL).findall
         self.chars = _byte_chars()
@@ -91,6 +95,18 @@ class Ids:
         return b"".join([self._part(x) for x in self.split(p)])
 
     def encode(self, text: str) -> bytes:
+        if not any(content in text for content in self.added):
+            return self._between(text)
+        out, at = [], 0
+        for m in self.at_added.finditer(text):
+            out += [self._between(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._between(text[at:])])
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        if not text:
+            return b""
         if len(self.young) > CACHE_PIECES:
             self.young = _Cache(self._new, dict(self.young))
         pieces = self.pieces(text)

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -35,7 +37,7 @@ def rows():
         at = random.randint(0, 3800)
         out.append((10 + k, " ".join(base[at : at + random.randint(3, 160)]), random.choice(["a", "b", "c", None])))
     out += [(200 + k, out[20 + k % 3][1], "c") for k in range(9)]
-    out += [(300, " ".join(base), "long"), (301, "Größe œuvre 日本語 naïve\x1c1 2", "a")]
+    out += [(300, " ".join(base), "long"), (301, "Größe œuvre 日本語 naïve\x1c1 2", "a"), (302, "end <|endoftext|> and<|startoftext|>  on", "a")]
     return out
 
 
@@ -77,18 +79,19 @@ def test_mixing_meets_targets(spark, rows):
 
 def test_ids_are_the_librarys():
     random.seed(2)
-    letters = ["a", "b", " ", "\n", "'s", "é", "1", "　", "\t", ".", "'", "ß", "Σ", "İ", "́", "  ", "<|endoftext|>", "日本", " the", "\r\n", "\x1c", "\x85", "Ÿ"]
+    letters = ["a", "b", " ", "\n", "'s", "é", "1", "　", "\t", ".", "'", "ß", "Σ", "İ", "́", "  ", "<|endoftext|>", "<|startoftext|>", " <|endoftext|> ", "日本", " the", "\r\n", "\x1c", "\x85", "Ÿ"]
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 14))) for _ in range(4000)]
     for name, words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        ids = Ids(name, words)
-        for t in texts:
-            assert ids.encode(t) == np.asarray(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+        for plain in (False, True):
+            ids, t = Ids(name, words, plain), tokenizer(name)
+            t.encode_special_tokens = plain
+            for text in texts:
+                assert ids.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    """The library as it comes."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def test_packing_is_whole_and_tight(spark, rows):
@@ -246,6 +249,64 @@ def test_pii_base_and_more(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+
+
+def contract_spans(text):
+    """The contract's patterns as they stand, each tried everywhere."""
+
+    def doubled(digits):
+        return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(digits[::-1])) % 10 == 0
+
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = (
+                True,
+                all(int(p) <= 255 for p in m[0].split(".")) if kind == 1 else True,
+                14 <= len(digits) <= 19 and doubled(digits),
+                10 <= len(digits) <= 15,
+            )[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_pii_base_spans_are_the_contracts():
+    random.seed(8)
+    bits = ["1", "25", "0", "255", "256", "00", ".", ".", "-", " ", "@", "a", "b.c", "+", "+1", "(", ")", "é", "4111111111111111", "4111 1111", "x@y.z", "\n", "%", "_"]
+    found = 0
+    for _ in range(30000):
+        text = "".join(random.choice(bits) for _ in range(random.randint(0, 22)))
+        assert pii.base_spans(text) == contract_spans(text), repr(text)
+        found += len(pii.base_spans(text))
+    assert found > 5000
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "0" * 5000 + ".1.1.1", "1." * 300_000, "1 " * 300_000, "a" * 1_000_000 + "@", "a@" * 300_000, "+1" * 200_000, "+1" + "(" * 500_000, " at a" * 100_000 + " dot ", "(415) 555-2671 x " * 20_000])
+def test_pii_reads_long_texts_once(text):
+    selector = pii.made_up()
+    began = time.time()
+    base = pii.base_spans(text)
+    selector.added([text[:200_000]], [[b for b in base if b[1] <= 200_000]])
+    assert time.time() - began < 10
+
+
+def test_pii_selection_is_precise_and_keeps_recall():
+    for places in ([], [(-1, "elt mit dem ", " und dann"), (2, "zahlt mit ", ", sagt er")] * 40):
+        for kind, (precision, recall) in pii.Selector(places).measure(places).items():
+            assert precision > 0.9 and recall > 0.6, kind
+
+
+def test_isotonic_rises():
+    least, probability = pii.isotonic(np.array([0.1, 0.2, 0.3, 0.3, 0.9]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
+    assert least.tolist() == [0.1, 0.2, 0.9] and (np.diff(probability) > 0).all()
+
+
 def test_chats_collapse(spark):
     turns = [(1, 0, "u", "a"), (1, 1, "b", "c"), (2, 0, "u", "a"), (3, 0, "u", "a"), (3, 1, "b", "c"), (3, 2, "u", "d"), (4, 0, "u", None), (5, 0, "u", ""), (6, 0, "u", "a"), (6, 1, "b", "c"), (6, 2, "u", "d"), (None, 3, "u", "z")]
     rows = spark.createDataFrame([(c, t, r, x, 1) for c, t, r, x in turns], "conv_id long, turn long, role string, text string, place long")
