@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -12,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one bucket of a distributed prefix sum holds on average.
 BUCKET_ROWS = 4096
+#: Words of 64 bits in a bitmap of hashes: its size is bound, whatever it holds.
+BITMAP_WORDS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where a session has none (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session that names none gets one of its own;
+    on a cluster that would be lost with its machine, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file:///tmp/pointloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-").join(("file://", ""))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -60,6 +66,47 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``row``, so that no name an operator uses can clash with a column; ``row.*`` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def bitmap(rows: DataFrame, *key: str) -> DataFrame:
+    """(_word, _bits): which hashes of ``key`` occur; at most BITMAP_WORDS rows, combined before the shuffle."""
+    at = F.xxhash64(*key)
+    spots = rows.select(F.pmod(at, F.lit(BITMAP_WORDS)).alias("_word"), F.shiftrightunsigned(at, 58).cast("int").alias("_bit"))
+    return spots.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+
+
+def in_bitmap(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
+    """Adds ``maybe``: false only where the key is surely not among those of ``bits``. The rows stay where they are."""
+    at = F.xxhash64(*key)
+    met = rows.join(F.broadcast(bits), F.pmod(at, F.lit(BITMAP_WORDS)) == F.col("_word"), "left")
+    return met.withColumn("maybe", F.coalesce(F.getbit("_bits", F.shiftrightunsigned(at, 58).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")
+
+
+def drawn(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` of ``rows``: of each of ``most`` shares of the hashes of ``key`` the row with the least one.
+
+    Minima are taken before the shuffle, so no task and no driver ever holds more, however many partitions there are."""
+    at = F.xxhash64(*key, F.lit("drawn"))
+    one = rows.groupBy(F.pmod(at, F.lit(most)).alias("_share")).agg(F.min_by(F.struct(*rows.columns), at).alias("_row"))
+    return one.select("_row.*")
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: list[str], size: str, hot: int, left: bool = False) -> DataFrame:
+    """``rows`` joined to ``groups``, which has a row for each key and in ``size`` how many rows share it.
+
+    Keys of ``hot`` rows and more are broadcast, so no key's rows meet in one task: with ``hot`` a thousandth of all
+    rows there are at most a thousand of them. The others are shuffled. Unmatched rows stay if ``left``."""
+    names = {k: f"_k{i}" for i, k in enumerate(key)}
+    groups = groups.withColumnsRenamed(names)
+    large = rows.join(F.broadcast(groups.where(F.col(size) >= hot)), same(names), "left")
+    found = large.where(F.col(size).isNotNull()).drop(*names.values())
+    rest = large.where(F.col(size).isNull()).select(rows.columns)
+    return found.unionByName(rest.join(groups.where(F.col(size) < hot), same(names), "left" if left else "inner").drop(*names.values()))
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds the inclusive running total of ``value`` within ``group`` (peers of equal order share it), without one task per group.
 

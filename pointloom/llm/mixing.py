@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import BUCKET_ROWS, n_words, running_total, saved
+from pointloom.llm.common import BUCKET_ROWS, n_words, packed, running_total, saved
 
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, "mix"
 
@@ -35,15 +35,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     return per.select("source", "src_no", "n_docs", "source_size", target.alias("target"))
 
 
-def _keyed(docs: DataFrame, seed: str) -> DataFrame:
-    """Adds size and the place in the shuffled order: (hash of id, id, size)."""
-    return docs.withColumn("_size", n_words("text")).withColumn("_key", F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), F.col("doc_id").alias("d"), F.col("_size").alias("s")))
+def _key(seed: str, doc_id: str, size: str) -> Column:
+    """The place in the shuffled order: hash of id, id, size."""
+    return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("h"), F.col(doc_id).alias("d"), F.col(size).alias("s"))
 
 
 def cuts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The sizes table (doc_id, source, size, key) and, per source, its target and the last key each pass takes."""
-    keyed = _keyed(docs.select("doc_id", "source", "text"), seed)
-    sizes = saved(keyed.select("doc_id", "source", F.col("_size").alias("size"), F.col("_key").alias("key")), "sizes")
+    sizes = saved(docs.select("doc_id", "source", n_words("text").alias("size")).withColumn("key", _key(seed, "doc_id", "size")), "sizes")
     sources = saved(source_targets(sizes, weights, share, repeats), "sources")
     rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select("key", "size", "src_no", "n_docs", "source_size", "target")
     part = F.floor(F.conv(F.substring("key.h", 1, 8), 16, 10).cast("double") / 2.0**32 * F.ceil(F.col("n_docs") / BUCKET_ROWS))
@@ -87,8 +86,12 @@ def _times(repeats: int, key: str = "key"):
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """The mix: rows of ``docs`` as often as it takes them, all columns kept. Texts stay where they are."""
+    """The mix: rows of ``docs`` as often as it takes them, all columns kept, whatever their names. Texts stay where they are.
+
+    Null text has size 0 and is taken with what stands before it; null source is a source of its own; rows alike in id,
+    source and size fare alike. An empty table gives an empty result."""
     _, cut = cuts(docs, weights, share, repeats, seed)
     cut = cut.select(F.col("source").alias("_source"), *[F.col(f"last{p}") for p in range(repeats)])
-    rows = _keyed(docs, seed).join(cut, F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _times(repeats, "_key").cast("int")))).select(docs.columns)
+    rows = packed(docs).withColumn("size", n_words("row.text")).withColumn("key", _key(seed, "row.doc_id", "size"))
+    rows = rows.join(cut, F.col("row.source").eqNullSafe(F.col("_source")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _times(repeats).cast("int"))).alias("copy")).select("row.*")
