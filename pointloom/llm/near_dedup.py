@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import components, saved
+from pointloom.llm.common import bitmap, components, hot_join, in_bitmap, packed, saved
 from pointloom.llm.shingles import mixed, shingle_set
 
 SHINGLE, PERCENT, RECALL = 5, 75, 0.9999
@@ -162,15 +162,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def _populated(level: DataFrame) -> DataFrame:
+def _populated(level: DataFrame, hot: int) -> DataFrame:
     """(node, doc, n) of the nodes with several members; one alone has nothing to be compared with."""
     counts = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return saved(level.join(counts, "node").select("node", "doc", "n"), "nodes")
+    return saved(hot_join(level, counts, ["node"], "n", hot).select("node", "doc", "n"), "nodes")
 
 
-def _candidates(classes: DataFrame, recall: float, percent: int) -> DataFrame:
+def _candidates(classes: DataFrame, recall: float, percent: int, hot: int) -> DataFrame:
     """(node, doc, n): the small nodes of all trees, and what stays large at the last level: alike in a great many tokens."""
-    level, depth, found = _populated(_paths(classes, trees_for(recall, percent), DEPTH, percent)), DEPTH, []
+    level, depth, found = _populated(_paths(classes, trees_for(recall, percent), DEPTH, percent), hot), DEPTH, []
     while True:
         found.append(level.where(F.col("n") <= SMALL))
         large = level.where(F.col("n") > SMALL)
@@ -178,16 +178,16 @@ def _candidates(classes: DataFrame, recall: float, percent: int) -> DataFrame:
             break
         step = min(JUMP, MOST_DEPTH - depth)
         depth += step
-        level = _populated(_branch_on(large.select("node", "doc").join(classes.select("doc", "tokens"), "doc"), step, percent))
+        level = _populated(_branch_on(large.select("node", "doc").join(classes.select("doc", "tokens"), "doc"), step, percent), hot)
     return reduce(DataFrame.unionAll, [*found, large])
 
 
-def _apart(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(nodes: DataFrame, links: DataFrame, hot: int) -> DataFrame:
     """(node, doc, n, score, own) of the nodes whose members ``links`` don't connect yet; own is the component."""
     named = components(links)
     label = nodes.join(named.select(F.col("node").alias("_d"), "component"), F.col("doc") == F.col("_d"), "left").select(*nodes.columns, F.coalesce("component", "doc").alias("own"))
-    several = label.groupBy("node").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select(F.col("node").alias("_n"))
-    return saved(label.join(several, F.col("node") == F.col("_n"), "left_semi"), "apart")
+    several = label.groupBy("node").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).where("low < high").select("node", "size")
+    return saved(hot_join(label, several, ["node"], "size", hot).select(label.columns), "apart")
 
 
 def _heaped(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -266,11 +266,13 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     group's least id is that id. An empty table gives an empty result."""
     read = saved(_read(docs, shingle), "minwise")
     full = read.where("n_shingles > 0 and doc_id is not null")
-    one = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    one = one.select("set_a", "set_b", "n_shingles", "first.doc_id", "first.text_hash").withColumn("doc", F.monotonically_increasing_id())
+    one = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
+    one = one.select("set_a", "set_b", "n_shingles", "copies", "first.doc_id", "first.text_hash").withColumn("doc", F.monotonically_increasing_id())
     classes = saved(one, "classes")
+    n = classes.count()
+    hot = max(SMALL + 1, n * trees_for(recall, percent) // 1000)  # a node of so many rows is one of a few thousand at most
     tokens = read.select("doc_id", "text_hash", "tokens").dropDuplicates(["doc_id", "text_hash"])
-    nodes = saved(_candidates(saved(classes.select("doc", "doc_id", "text_hash").join(tokens, ["doc_id", "text_hash"]).select("doc", "tokens"), "tokens"), recall, percent), "candidates")
+    nodes = saved(_candidates(saved(classes.select("doc", "doc_id", "text_hash").join(tokens, ["doc_id", "text_hash"]).select("doc", "tokens"), "tokens"), recall, percent, hot), "candidates")
     wanted = nodes.select("doc").distinct().join(classes, "doc").select("doc", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     texts = saved(rows.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("doc", "text").dropDuplicates(["doc"]), "texts")
@@ -280,12 +282,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     links, apart = None, nodes.withColumn("own", F.col("doc"))
     for k in range(STARS):
         luck = 1 - F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(1000)) / F.lit(2000.0 if k else 1e9)
-        center = apart.groupBy("node").agg(F.max(F.struct((F.col("score") * luck).alias("s"), "doc", "own")).alias("c")).withColumnRenamed("node", "_n")
-        tries = apart.join(center, F.col("node") == F.col("_n")).where("own <> c.own")
+        center = apart.groupBy("node").agg(F.max(F.struct((F.col("score") * luck).alias("s"), "doc", "own")).alias("c"), F.count("*").alias("size"))
+        tries = hot_join(apart, center, ["node"], "size", hot).where("own <> c.own")
         pairs = tries.groupBy("doc").agg(F.max(F.struct("c.s", "c.doc")).alias("c")).select(F.col("c.doc").alias("a"), F.col("doc").alias("b"))
         new = confirm(pairs, texts, shingle, percent)
         links = saved(new if links is None else links.unionAll(new), "links")
-        apart = _apart(nodes, links)
+        apart = _apart(nodes, links, hot)
     # What is still apart is compared exhaustively: small nodes as pairs across components, large ones as heaps.
     small = apart.where(F.col("n") <= SMALL)
     left, right = small.select("node", F.col("doc").alias("a"), F.col("own").alias("oa")), small.select("node", F.col("doc").alias("b"), F.col("own").alias("ob"))
@@ -298,13 +300,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     named = components(links).withColumnRenamed("node", "_d")
     joined = classes.join(named, F.col("doc") == F.col("_d"), "left").withColumn("component", F.coalesce("component", "doc"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_c")
-    by_set = joined.join(least, F.col("component") == F.col("_c")).select("set_a", "set_b", "n_shingles", "component_id")
-    known = full.join(by_set, ["set_a", "set_b", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    by_set = joined.join(least, F.col("component") == F.col("_c")).select("set_a", "set_b", "n_shingles", "component_id", "copies")
+    known = hot_join(full, by_set, ["set_a", "set_b", "n_shingles"], "copies", full.count() // 1000 + 1).select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = read.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept."""
-    gone = near_groups(docs, shingle, percent, recall).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """``docs`` with one document of each group, the one with the least doc_id; all columns kept, whatever their names.
+
+    Null and empty texts, and rows without doc_id, are in no group and stay. Rows that repeat the id and the text that
+    stays all stay. Rows whose hash is not that of a document to drop don't move. An empty table gives an empty result."""
+    gone = saved(near_groups(docs, shingle, percent, recall).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "gone")
+    rows = packed(docs).withColumn("doc", F.col("row.doc_id").cast("long")).withColumn("hash", F.xxhash64("row.text"))
+    rows = in_bitmap(rows, saved(bitmap(gone, "_d", "_h"), "bits"), "doc", "hash")
+    left = rows.where("maybe").join(gone, (F.col("doc") == F.col("_d")) & (F.col("hash") == F.col("_h")), "left_anti")
+    return rows.where("not maybe").select("row.*").unionAll(left.select("row.*"))
