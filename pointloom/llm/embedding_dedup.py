@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import components, saved
+from pointloom.llm.common import components, drawn, hot_join, saved
 
 COSINE, RECALL, SEED = 0.9, 0.999, 7
 #: Vectors that fit the splits, vectors of a leaf on average, levels whose splits are fitted, vectors of a block.
@@ -76,7 +76,7 @@ def _unit(rows: pa.Array) -> np.ndarray:
 def similar_classes(classes: DataFrame, dim: int, n: int, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """Distinct (a, b), a < b, of the pairs found among ``classes`` (id, embedding) of ``dim`` components."""
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
-    sample = [r[0] for r in classes.select("embedding").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]
+    sample = [r[0] for r in drawn(classes.select("id", "embedding"), SAMPLE, "id").orderBy("id").select("embedding").collect()]
     sample = np.array(sample, np.float64).reshape(len(sample), dim)
     forest = Forest(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300), depth, trees_for(depth, recall) if depth else 1)
 
@@ -144,7 +144,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, recall: float =
     named = components(links).withColumnRenamed("node", "id")
     full = classes.join(degree, "id", "left").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = full.groupBy("component").agg(F.min("least").alias("component_id"))
-    full = full.join(least, "component").select("embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    known = rows.where("good").join(full, "embedding").select("vec_id", "n_links", "component_id")
+    full = full.join(least, "component").select("embedding", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    known = hot_join(rows.where("good"), full, ["embedding"], "copies", rows.count() // 1000 + 1).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
