@@ -1,13 +1,16 @@
-"""Toxicity by class-conditional models of letters, with absolute discounting.
+"""Toxicity by class-conditional Kneser-Ney models of letters.
 
-Two models of the letters of words (bytes, up to ORDER of them, with marks where a word begins and ends) are counted
-over labelled documents, one over toxic, one over ordinary ones. Both back off, order by order, so unseen endings of known
-stems are smoothed rather than dropped. This is less than Kneser-Ney with a shared backoff: orders 2 to ORDER are raw
-counts of each class, discounted, and only the share of single letters is a continuation count that both have in common.
-Runs seen less than LEAST times in both classes together are left out before totals, discounts and continuation counts
-are taken. Runs end with their word, so a toxic phrase of ordinary words has no evidence as a phrase. A word's
-evidence is the difference of its log-likelihoods; a document's score comes from the length-normalised difference and
-from its strongest words, mapped to a probability by a logistic fit on labelled documents that were not counted."""
+Two models of the letters of words (bytes; a word stands behind ORDER - 1 begin marks and before an end mark) are
+counted over labelled documents, one over toxic, one over ordinary ones. The counts of whole runs of ORDER letters are
+each class's own. Every order below is one shared Kneser-Ney backoff: a shorter run weighs as many different letters as
+stand before it in the runs of both classes together, so a rare expression is smoothed alike in both and speaks only as
+far as its class has seen it. All runs count, those seen once too. Runs end with their word, so a toxic phrase of
+ordinary words has no evidence as a phrase.
+
+A word's evidence is the difference of its two log-likelihoods. A document is judged by length-normalised differences:
+over the whole text, over its strongest SPAN words and over its strongest word (a few toxic words in a long text hardly
+move the first), with the root-normalised sum and the length itself; a logistic fit on labelled documents that were
+not counted maps them to a probability."""
 
 from __future__ import annotations
 
@@ -22,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import saved
-from pointloom.llm.shingles import mixed
+from pointloom.llm.common import drawn, saved
 
 #: Labelled rows that one class gives to the fit, chosen by a hash of the id. The classifier's documented bound.
 FIT_ROWS = 8_000
-#: One labelled row in so many calibrates and is not counted; letter runs seen less often are left to backoff.
-CALIBRATE, LEAST = 4, 2
+#: One labelled row in so many calibrates and is not counted.
+CALIBRATE = 4
 #: Letters of a run, the discount, the score from which a document counts as toxic, words of a window of evidence.
 ORDER, DISCOUNT, THRESHOLD, SPAN = 6, 0.75, 0.3, 12
 #: Words that one generation of a worker's cache holds; two generations are kept.
@@ -36,8 +38,10 @@ CACHE_WORDS = 200_000
 #: Texts that are split into words at once, and new words that are counted at once.
 TEXTS, WORDS = 256, 40_000
 FEATURES = 6
+#: Letters, the end mark among them.
+LETTERS = 256
 
-_R = np.uint64(0x9E3779B97F4A7C15)
+_BEGIN, _END = b"\x01" * (ORDER - 1), b"\x02"
 _EDGES = b".,;:!?\"'()[]{}*#$%&|-"
 
 
@@ -51,35 +55,36 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def _runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(word of each letter, place in it, names): names[n] has the name of the n letters that end there, 0 where a word is shorter."""
-    marked = [b"\x01" + (w.strip(_EDGES) or w) + b"\x02" for w in words]
-    flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    lengths = np.array([len(m) for m in marked])
+def _runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, run): for each letter and end mark of each word the ORDER letters that end there, as the bytes of one number."""
+    marked = [_BEGIN + (w.strip(_EDGES) or w) + _END for w in words]
+    flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.int64)
+    lengths = np.array([len(m) for m in marked], np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    names = [np.full(len(flat), np.uint64(7))]
-    for n in range(1, ORDER + 1):
-        before = np.concatenate([names[-1][:1] * np.uint64(0), names[-1][:-1]]) if n > 1 else names[0]
-        names.append(np.where(place >= n - 1, mixed(before * _R + flat + np.uint64(n << 8)), np.uint64(0)))
-    return owner, place, names
+    run = flat.copy()
+    for k in range(1, ORDER):
+        run[k:] |= flat[:-k] << (8 * k)
+    inside = place >= ORDER - 1
+    return owner[inside], run[inside]
+
+
+def _last(run: np.ndarray, n: int) -> np.ndarray:
+    return run & ((1 << (8 * n)) - 1)
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """(n, prior, run, toxic, ordinary): counts of letter runs of each length over ``rows`` (toxic, text)."""
+    """(run, toxic, ordinary): how often each run of ORDER letters stands in either class of ``rows`` (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            owner, place, names = _runs(list(seen))
+            owner, runs = _runs(list(seen))
             weights = np.array(list(seen.values()), np.int64)[owner]
-            for n in range(1, ORDER + 1):
-                ok = np.flatnonzero((place >= n - 1) & (place >= 1))
-                prior = names[n - 1][ok - 1]
-                key, first, back = np.unique(names[n][ok], return_index=True, return_inverse=True)
-                sums = [np.bincount(back, weights[ok, c], len(key)).astype(np.int64) for c in (1, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(prior[first].astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["n", "prior", "run", "toxic", "ordinary"])
+            key, back = np.unique(runs, return_inverse=True)
+            sums = [np.bincount(back, weights[:, c], len(key)).astype(np.int64) for c in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], names=["run", "toxic", "ordinary"])
             seen.clear()
 
         for batch in batches:
@@ -91,8 +96,8 @@ def count(rows: DataFrame) -> DataFrame:
         if seen:
             yield from out()
 
-    counted = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "n int, prior long, run long, toxic long, ordinary long")
-    return counted.groupBy("n", "prior", "run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "run long, toxic long, ordinary long")
+    return counted.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 class _Evidence(dict):
@@ -111,49 +116,26 @@ class _Evidence(dict):
 
 
 class Models:
-    """The two models as sorted tables: discounted shares by run, and the mass that each prior leaves to backoff."""
-
-    def __init__(self, n: np.ndarray, prior: np.ndarray, run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
-        shares, rests, names, priors = [], [], [], []
-        for order in range(2, ORDER + 1):
-            at = np.flatnonzero(n == order)
-            keys, back = np.unique(prior[at], return_inverse=True)
-            share, rest = np.zeros((len(at), 2)), np.ones((len(keys), 2))
-            for c, counts in enumerate((toxic[at].astype(float), ordinary[at].astype(float))):
-                total, kinds = np.bincount(back, counts, len(keys)), np.bincount(back, counts > 0, len(keys))
-                share[:, c] = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[back]
-                rest[:, c] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            shares.append(share)
-            rests.append(rest)
-            names.append(run[at])
-            priors.append(keys)
-        one, two = n == 1, n == 2
-        # Shared by both classes: after how many different letters a letter is seen.
-        letters = run[one]
-        self.letter = np.sort(letters)
-        kinds = np.ones(len(self.letter) + 1)
-        if two.any() and len(letters):
-            tails = self._tails(prior[two], run[two])
-            found = np.minimum(np.searchsorted(self.letter, tails), len(self.letter) - 1)
-            kinds[:-1] += np.bincount(found[self.letter[found] == tails], minlength=len(self.letter))
-        self.letter_share = kinds / (kinds.sum() + 1)
-        order = np.argsort(run_all := np.concatenate([*names, np.zeros(0, np.uint64)]))
-        self.run, self.share = run_all[order], np.concatenate([*shares, np.zeros((0, 2))])[order]
-        order = np.argsort(prior_all := np.concatenate([*priors, np.zeros(0, np.uint64)]))
-        self.prior, self.rest = prior_all[order], np.concatenate([*rests, np.ones((0, 2))])[order]
+    """The two models as sorted tables: discounted shares by run, and the mass that each context leaves to the shared backoff."""
+
+    def __init__(self, run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
+        order = np.argsort(run)
+        self.run, counts = run[order], np.stack([toxic[order], ordinary[order]], 1).astype(float)
+        self.context, back = np.unique(self.run >> 8, return_inverse=True)
+        total, kinds = (np.stack([np.bincount(back, v[:, c], len(self.context)) for c in (0, 1)], 1) for v in (counts, counts > 0))
+        self.share = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[back]
+        self.rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        # Shared by both classes: how many different letters stand before a shorter run, whichever class they are from.
+        self.backoff, longer = [], self.run
+        for n in range(ORDER - 1, 0, -1):
+            shorter, before = np.unique(_last(longer, n), return_counts=True)
+            context, back = np.unique(shorter >> 8, return_inverse=True)
+            total = np.bincount(back, before, len(context))
+            self.backoff.insert(0, (shorter, (before - DISCOUNT) / total[back], context, DISCOUNT * np.bincount(back, minlength=len(context)) / total))
+            longer = shorter
         self.fit = np.zeros(FEATURES)
         self.known = _Evidence({})
 
-    @staticmethod
-    def _tails(prior: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """The one-letter name of each two-letter run's last letter."""
-        letters = np.arange(256, dtype=np.uint64)
-        single = mixed(np.full(1, 7, np.uint64) * _R + letters + np.uint64(1 << 8))
-        firsts = np.unique(prior)
-        table = mixed(firsts[:, None] * _R + letters[None, :] + np.uint64(2 << 8))
-        flat, order = np.sort(table.ravel()), np.argsort(table.ravel())
-        return single[order[np.minimum(np.searchsorted(flat, run), len(flat) - 1)] % 256]
-
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
@@ -162,19 +144,25 @@ class Models:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return np.where(table[at] == keys, at, -1)
 
+    def shared(self, run: np.ndarray) -> np.ndarray:
+        """The probability of each run's last letter by the shared backoff, from no letters before it up to ORDER - 2."""
+        p = np.full(len(run), 1 / LETTERS)
+        for n, (shorter, share, context, rest) in enumerate(self.backoff, 1):
+            own, at = self._find(shorter, _last(run, n)), self._find(context, _last(run, n) >> 8)
+            if len(shorter):
+                p = np.where(at >= 0, np.where(own >= 0, share[own], 0.0) + rest[at] * p, p)
+        return p
+
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """The difference of the two log-likelihoods of each word."""
-        owner, place, names = _runs(words)
-        ends = np.flatnonzero(place >= 1)
-        p = np.repeat(self.letter_share[self._find(self.letter, names[1][ends])][:, None], 2, axis=1)
-        for n in range(2, ORDER + 1):
-            ok = place[ends] >= n - 1
-            at = self._find(self.prior, names[n - 1][ends - 1])
-            ok &= at >= 0
-            own = self._find(self.run, names[n][ends])
-            share = np.where((own >= 0)[:, None], self.share[own] if len(self.share) else 0.0, 0.0)
-            p = np.where(ok[:, None], share + (self.rest[at] if len(self.rest) else 1.0) * p, p)
-        return np.bincount(owner[ends], np.log(p[:, 0] / p[:, 1]), len(words))
+        owner, run = _runs(words)
+        at = self._find(self.context, run >> 8)
+        owner, run, at = owner[at >= 0], run[at >= 0], at[at >= 0]  # behind other contexts both have the shared backoff alone
+        own = self._find(self.run, run)
+        if not len(run):
+            return np.zeros(len(words))
+        p = np.where((own >= 0)[:, None], self.share[own], 0.0) + self.rest[at] * self.shared(run)[:, None]
+        return np.bincount(owner, np.log(p[:, 0] / p[:, 1]), len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: 1, mean evidence, strongest word, strongest window, root-normalised sum, log of the length; no words give zeros."""
@@ -225,19 +213,16 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
     A document labelled twice counts as toxic if any label says so; null labels are none."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = F.xxhash64("doc_id", F.lit("fit"))
     chosen = None
     for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(drawn).limit(fit_rows)
+        part = drawn(known.where(F.col("toxic") == label), fit_rows, "doc_id")
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = saved(chosen, "fit")
     # At most twice fit_rows ids: bounded by a parameter, so it is broadcast.
     rows = saved(docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_d")), F.col("doc_id") == F.col("_d")).select("doc_id", "toxic", "text"), "labelled")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE))
-    counts = saved(count(rows.where(fold != 0)), "counts")
-    table = counts.where(F.col("toxic") + F.col("ordinary") >= LEAST).toArrow()
-    n, prior, run_, toxic, ordinary = [table.column(k).to_numpy() for k in range(5)]
-    models = Models(n, prior.astype(np.uint64), run_.astype(np.uint64), toxic, ordinary)
+    table = count(rows.where(fold != 0)).toArrow()  # runs of at most twice fit_rows texts
+    models = Models(*[table.column(k).to_numpy() for k in range(3)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,22 +231,21 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
     table = rows.where(fold == 0).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, x array<double>").toArrow()
     x = np.array(table.column(1).to_pylist(), np.float64).reshape(-1, FEATURES)
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    y = table.column(0).to_numpy().astype(np.float64)
+    share = min(max(known.agg(F.avg("toxic")).first()[0] or 0.0, 1e-6), 1 - 1e-6)
+    own, y = 0.5, table.column(0).to_numpy().astype(np.float64)
     if len(y):
         models.calibrate(x, y)
-        # The bound may take more of one class than of the other; the intercept gets the share of all labels back.
         own = min(max(y.mean(), 1e-6), 1 - 1e-6)
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        models.fit[0] += math.log(share / (1 - share)) - math.log(own / (1 - own))
+    # The bound may take more of one class than of the other; the intercept gets the share of all labels back.
+    models.fit[0] += math.log(share / (1 - share)) - math.log(own / (1 - own))
     return models
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``.
 
-    Null and empty texts have no words and get the score of no evidence. Without any labels scores are 0.5.
-    An empty table gives an empty result; extra columns are left out."""
+    Null and empty texts have no words and get the score of no evidence. Without any labels all
+    scores are near 0: nothing is known to be toxic. An empty table gives an empty result; extra columns are left out."""
     models = learn(docs, labels, fit_rows)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
@@ -274,7 +258,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` without the documents that score at or above ``threshold``, all columns kept."""
+    """``docs`` without the documents that score at or above ``threshold``, all columns kept, whatever their names.
+
+    Null and empty texts have no evidence; without labels, nothing goes. Rows alike fare alike. An empty table gives an
+    empty result."""
     models = learn(docs, labels, fit_rows)
 
     @F.pandas_udf("boolean")
