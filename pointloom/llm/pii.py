@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import drawn, saved
+
 KINDS = ("email", "ip", "card", "phone")
 #: Sentences that the trees are grown on, trees, levels of a tree, step, bins of a feature.
 SENTENCES, TREES, LEVELS, STEP, BINS = 6000, 60, 3, 0.3, 24
@@ -167,8 +169,8 @@ def proposals(text: str, base: list[Span]) -> list[Span]:
 
 
 def contexts(docs: DataFrame, most: int = CONTEXTS) -> list[tuple[int, str, str]]:
-    """(kind, before, after) of up to ``most`` places in the corpus, drawn by a hash: base spans, and one word of each
-    text (kind -1). All texts are read; what reaches the driver is bounded by ``most``."""
+    """(kind, before, after) of up to ``most`` places in the corpus, drawn by a hash: half base spans, half one word of
+    each text (kind -1). All texts are read; what reaches any task or the driver is bounded by ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +180,13 @@ def contexts(docs: DataFrame, most: int = CONTEXTS) -> list[tuple[int, str, str]
                 if text:
                     word = text.rfind(" ", 0, 1 + xxhash.xxh3_64_intdigest(f"{doc}") % len(text)) + 1
                     for s, e, k in [*base_spans(text), (word, word, -1)]:
-                        # Half the key for a base span: places with personal data come twice as early as ordinary words.
-                        key = xxhash.xxh3_64_intdigest(f"{doc}:{s}:{k}") >> (1 if k >= 0 else 0)
-                        rows.append((key - 2**63, k, text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["key", "kind", "before", "after"])
+                        rows.append((doc, s, k, text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["doc", "at", "kind", "before", "after"])
 
-    places = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, kind int, before string, after string")
-    return [tuple(r)[1:] for r in places.orderBy("key", "kind", "before", "after").limit(most).collect()]
+    places = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, at long, kind int, before string, after string")
+    places = saved(places, "places")
+    halves = [drawn(places.where(test), most // 2, *places.columns) for test in ("kind >= 0", "kind < 0")]
+    return sorted(tuple(r) for r in halves[0].unionAll(halves[1]).select("kind", "before", "after").collect())
 
 
 def _rendered(rng: np.random.Generator, kind: int, yes: bool) -> tuple[str, int, int, bool]:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pointloom.llm import embedding_dedup
+from pointloom.llm import embedding_dedup, toxicity
 from pointloom.llm.common import components
 from pointloom.llm.embedding_dedup import embedding_groups
 from pointloom.llm.toxicity import score
@@ -37,7 +37,53 @@ def test_toxicity_held_out(spark):
     assert len(held) > 100 and np.mean(right) > 0.95
     assert got[2000].score == got[2001].score and got[2000].predicted == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in score(docs.limit(3), none).collect()} == {0.5}
+    assert all(0 <= r.score < 0.01 and r.predicted == 0 for r in score(docs.limit(3), none).collect())
+
+
+def naive_kneser_ney(words, order=toxicity.ORDER, d=toxicity.DISCOUNT):
+    """log p(word | toxic) - log p(word | ordinary) by the textbook, in dictionaries. ``words``: (word, toxic) pairs."""
+    grams = lambda w: [x[k - order + 1 : k + 1] for x in [b"\1" * (order - 1) + w + b"\2"] for k in range(order - 1, len(x))]
+    top = [Counter(g for w, toxic in words if toxic == c for g in grams(w)) for c in (0, 1)]
+    followers = {order: set(top[0]) | set(top[1])}
+    for n in range(order - 1, 0, -1):
+        followers[n] = {g[1:] for g in followers[n + 1]}
+    before = {n: Counter(g[1:] for g in followers[n + 1]) for n in range(1, order)}
+
+    def shared(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 256
+        total = sum(v for g, v in before[n].items() if g[:-1] == gram[:-1])
+        kinds = sum(g[:-1] == gram[:-1] for g in before[n])
+        return max(before[n][gram] - d, 0) / total + d * kinds / total * shared(gram[1:]) if total else shared(gram[1:])
+
+    def own(gram, c):
+        total = sum(v for g, v in top[c].items() if g[:-1] == gram[:-1])
+        kinds = sum(g[:-1] == gram[:-1] for g in top[c])
+        return max(top[c][gram] - d, 0) / total + d * kinds / total * shared(gram[1:]) if total else shared(gram[1:])
+
+    return lambda word: sum(np.log(own(g, 1) / own(g, 0)) for g in grams(word))
+
+
+def test_models_are_kneser_ney(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcé"), rng.integers(1, 9)))
+    rows = [(k, int(k % 3 == 0), " ".join(word() for _ in range(12))) for k in range(30)]
+    table = toxicity.count(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).toArrow()
+    models = toxicity.Models(*[table.column(k).to_numpy() for k in range(3)])
+    naive = naive_kneser_ney([(w.encode(), toxic) for _, toxic, text in rows for w in text.split()])
+    asked = [word() for _ in range(60)] + ["zzz", "a", "abcabc"]
+    assert models.evidence([w.encode() for w in asked]) == pytest.approx([naive(w.encode()) for w in asked])
+
+
+def test_toxicity_tells_the_drivers_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = score(docs, labels).join(labels, "doc_id").where("held_out").select("score", "toxic").toPandas()
+    rank = got.score.rank()
+    ones = got.toxic.sum()
+    auc = (rank[got.toxic == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(got) - ones))
+    assert len(got) > 50 and auc > 0.8
 
 
 def brute(vectors, cosine=0.9):

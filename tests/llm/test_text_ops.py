@@ -10,15 +10,18 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pointloom.llm import near_dedup, packing, pii, substring_dedup
 from pointloom.llm.chat import format_chats
+from pointloom.llm.common import bitmap, hot_join, in_bitmap
 from pointloom.llm.exact_dedup import drop_copies, exact_groups
 from pointloom.llm.mixing import mix_digest, mix_documents
-from pointloom.llm.near_dedup import near_groups
+from pointloom.llm.near_dedup import drop_near, near_groups
 from pointloom.llm.token_store import digest, read_tokens, write_tokens
 from pointloom.llm.tokens import Ids
+from pointloom.llm.toxicity import drop_toxic
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length long"
 
@@ -59,6 +62,44 @@ def test_exact_groups_keeps_one_of_rows_alike(spark):
     assert exact_groups(docs(spark, [])).count() == 0 and drop_copies(docs(spark, [])).count() == 0
 
 
+#: Every name that the stages use inside, and a few that look like one.
+CLASHES = ["row", "h", "s", "_h", "_t", "_d", "_s", "_keep", "_one", "_size", "_key", "_source", "_copy", "key", "size", "last0", "copy", "maybe", "_word", "_bits", "best", "none", "doc", "hash", "toxic", "score", "keep_id", "a.b", "n", "component_id"]
+
+
+@pytest.mark.parametrize("stage", [drop_copies, drop_near, mix_documents, lambda d: drop_toxic(d, d.sparkSession.createDataFrame([(2, 0), (7, 0)], "doc_id long, toxic int"))])
+def test_stages_keep_all_columns(spark, stage):
+    texts = [(1, None), (2, "a b c d e f g"), (3, "a b c d e f g"), (4, ""), (5, "x" * 300_000), (6, "1 2 3"), (7, "q r s t u v"), (None, "1 2 3"), (None, None), (6, "1 2 3")]
+    extra = ", ".join(f"`{c}` string" for c in CLASHES)
+    rows = spark.createDataFrame([(i, t, "s", *[f"{c}:{i}" for c in CLASHES]) for i, t in texts], f"doc_id long, text string, source string, {extra}")
+    got = stage(rows)
+    assert got.columns == rows.columns
+    found = got.collect()
+    assert found and all(r[k + 3] == f"{c}:{r.doc_id}" for r in found for k, c in enumerate(CLASHES))
+    assert {(r.doc_id, r.text) for r in found} <= set(texts)
+    assert stage(rows.where("false")).count() == 0
+
+
+def test_drop_copies_keeps_one_of_each_text(spark, rows):
+    found = drop_copies(docs(spark, [*rows, (None, "lone", "a"), (None, "one", "a")])).collect()
+    best = {}
+    for i, t, _ in rows:
+        best[t or ""] = max(best.get(t or "", -1), i)
+    assert sorted((r.text or "", r.doc_id) for r in found if r.doc_id is not None) == sorted(best.items())
+    assert [r.text for r in found if r.doc_id is None] == ["lone"]
+    least = drop_copies(docs(spark, rows), keep="min").collect()
+    assert sorted(r.doc_id for r in least) == sorted({(t or ""): i for i, t, _ in reversed(rows)}.values())
+
+
+def test_hot_join_is_a_join(spark):
+    left = spark.range(1000).selectExpr("case when id % 7 = 0 then null when id % 3 = 0 then 5 else id % 11 end as k", "id as v")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k is null or k < 8")
+    want = sorted((r.k is None, r.k, r.v) for r in left.collect() if r.k is None or r.k < 8)
+    assert sorted((r.k is None, r.k, r.v) for r in hot_join(left, right, ["k"], "n", 150).collect()) == want
+    assert hot_join(left, right, ["k"], "n", 150, left=True).count() == 1000
+    bits = bitmap(left.where("v < 50"), "v")
+    assert {r.v for r in in_bitmap(left, bits, "v").where("maybe").collect()} >= set(range(50)) and in_bitmap(left, bits, "v").where("maybe").count() < 60
+
+
 def test_mixing_meets_targets(spark, rows):
     got = mix_digest(docs(spark, rows)).collect()
     assert len(got) == len(rows)
