@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +44,7 @@ def colour(mode: str, z_range: tuple[float, float] = (0.0, 1.0), field: str = "f
     rgb = [F.col(c) / 255.0 for c in "rgb"]
     shine = F.col("intensity") / 255.0
     scaled = lambda c, lo, hi: (c - lo) / ((hi - lo) or 1.0)
+    # Fixed values below: the floor and the gain of shine, and the flat colour.
     if mode == "rgb":
         return rgb
     if mode == "intensity":
@@ -66,6 +66,25 @@ def toned(c: Column, bright: float = 1.0, gamma: float = 1.0) -> Column:
     return F.pow(c * bright, F.lit(1.0 / gamma))
 
 
+#: The light on a face that looks down and on one that looks up.
+SHADE = (0.45, 1.25)
+
+
+def shaded(c: Column, nz: Column) -> Column:
+    """A channel under light from above; what has no normal stays as it is."""
+    return F.coalesce(c * (F.lit(SHADE[0]) + (nz * 0.5 + 0.5) * (SHADE[1] - SHADE[0])), c)
+
+
+def tinted(rgb: list[Column], tint: tuple[float, float, float] | None) -> list[Column]:
+    """Channels multiplied by a layer's tint of 0 to 1, if it has one."""
+    return rgb if tint is None else [c * float(t) for c, t in zip(rgb, tint, strict=True)]
+
+
+def exact_sum(c: Column, places: int = 12) -> Column:
+    """A sum that does not depend on the order of rows or partitions: decimals of so many places add exactly."""
+    return F.sum(F.round(c, places).cast(f"decimal(28,{places})")).cast("double")
+
+
 def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
     """Of a symmetric 3x3 matrix, ascending, in closed form: the mean plus scaled cosines of a third of an angle."""
     q = (xx + yy + zz) / 3.0
@@ -127,13 +146,18 @@ def point_triangle(p, a, b, c) -> tuple[Column, Column]:
 
 
 def in_polygon(u: Column, v: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Even-odd: an odd number of edges crossed by a ray. The polygon is part of the plan, so edges unroll."""
-    crossed = []
-    for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1], strict=True):
-        if y1 != y2:
-            at = (v - y1) / (y2 - y1) * (x2 - x1) + x1
-            crossed.append(F.when(((F.lit(y1) > v) != (F.lit(y2) > v)) & (u < at), 1).otherwise(0))
-    return reduce(lambda a, b: a + b, crossed, F.lit(0)) % 2 == 1
+    """Even-odd: an odd number of edges crossed by a ray. The polygon is part of the plan, so edges unroll; u and v stand
+    in a struct of their own, so each is computed once, not once for each edge."""
+    edges = [(a, b) for a, b in zip(polygon, [*polygon[1:], polygon[0]], strict=True) if a[1] != b[1]]
+
+    def odd(p: Column) -> Column:
+        crossed = F.lit(0)
+        for (x1, y1), (x2, y2) in edges:
+            at = (p["v"] - y1) / (y2 - y1) * (x2 - x1) + x1
+            crossed = crossed + F.when(((F.lit(y1) > p["v"]) != (F.lit(y2) > p["v"])) & (p["u"] < at), 1).otherwise(0)
+        return crossed % 2 == 1
+
+    return F.exists(F.array(F.struct(u.alias("u"), v.alias("v"))), odd)
 
 
 def dip(nx: Column, ny: Column, nz: Column) -> tuple[Column, Column]:

@@ -75,3 +75,16 @@ def transform(cloud: DataFrame, m: np.ndarray) -> DataFrame:
 
 def spherical(r: Column, azimuth: Column, elevation: Column) -> list[Column]:
     return [r * F.cos(elevation) * F.cos(azimuth), r * F.cos(elevation) * F.sin(azimuth), r * F.sin(elevation)]
+
+
+def quaternion_of(turn: np.ndarray) -> tuple[float, float, float, float]:
+    """(w, x, y, z) of a rotation matrix: the eigenvector of the largest eigenvalue of its symmetric 4x4 form."""
+    (a, b, c), (d, e, f), (g, h, i) = turn
+    form = np.array([[a + e + i, h - f, c - g, d - b], [h - f, a - e - i, b + d, c + g], [c - g, b + d, e - a - i, f + h], [d - b, c + g, f + h, i - a - e]])
+    q = np.linalg.eigh(form)[1][:, -1]
+    return tuple((q if q[0] >= 0 else -q).tolist())
+
+
+def placement(shift, first) -> np.ndarray:
+    """Where a later layer stands in the frame of the first: moved by the difference of their shifts."""
+    return translation(*np.subtract(shift, first))

@@ -109,3 +109,8 @@ def noise(cloud: DataFrame, sigmas: float = 1.0, radius: float | None = 0.15, kn
     near = away <= (F.lit(absolute) if absolute is not None else F.sqrt("l0") * sigmas)
     keep = F.when(F.col("found") <= 3, F.lit(not drop_isolated)).otherwise(F.coalesce(near, F.lit(True)))
     return found.join(shape, "gid", "left").select("gid", keep.cast("int").alias("keep"))
+
+
+def normal_share(cloud: DataFrame) -> float:
+    """The share of points that have a normal."""
+    return cloud.agg(F.avg(F.col("nx").isNotNull().cast("double"))).first()[0] or 0.0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cell
@@ -65,6 +67,70 @@ def budget(leaves: DataFrame, points: int) -> DataFrame:
     return leaves.withColumn("_before", before).select("leaf", F.greatest(F.least("n", F.lit(points) - F.col("_before")), F.lit(0)).alias("take"))
 
 
+def allocate(leaves: DataFrame, points: int, density: float, floor: float = 0.12) -> DataFrame:
+    """(leaf, take): what to draw of leaves (leaf, n, dist, pixels), where pixels is a leaf's radius on the screen.
+
+    A leaf wants ``density`` points for each pixel of its disc, at most all it has. Room left over is shared out in
+    proportion; where room is short every leaf keeps ``floor`` of its wish, then the nearest are filled first."""
+    wish = F.least(F.col("n").cast("double"), F.ceil(F.col("pixels") * F.col("pixels") * float(density * math.pi)).cast("double"))
+    rows = leaves.select("leaf", "n", "dist", wish.alias("want"))
+    room = float(points)
+    whole = rows.agg(F.sum("want").alias("all"))
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("scale", F.when(F.col("all") > 0, F.lit(room) / F.col("all")).otherwise(1.0))
+    full = F.col("want") * F.col("scale") >= F.col("n")
+    shares = rows.agg(F.sum(F.when(full, F.col("n"))).alias("capped"), F.sum(F.when(~full, F.col("want"))).alias("open"))
+    rows = rows.crossJoin(F.broadcast(shares))
+    second = F.when(F.col("open") > 0, F.greatest(F.lit(1.0), (F.lit(room) - F.coalesce("capped", F.lit(0))) / F.col("open"))).otherwise(F.col("scale"))
+    spread = F.least(F.col("n").cast("double"), F.floor(F.col("want") * F.when(full, F.col("scale")).otherwise(second)))
+    least = F.least(F.col("n").cast("double"), F.ceil(F.col("want") * float(floor)))
+    rows = rows.select("leaf", "dist", "all", spread.alias("spread"), least.alias("least"), (F.col("want") - least).alias("more"))
+    nearest = Window.orderBy("dist", "leaf").rowsBetween(Window.unboundedPreceding, -1)  # a row for each leaf
+    left = F.lit(room) - F.sum("least").over(Window.partitionBy()) - F.coalesce(F.sum("more").over(nearest), F.lit(0.0))
+    filled = F.col("least") + F.greatest(F.least("more", left), F.lit(0.0))
+    return rows.select("leaf", F.when(F.col("all") <= room, F.col("spread")).otherwise(filled).cast("long").alias("take"))
+
+
+#: Fixed value: steps of a quantised coordinate along its leaf.
+STEPS = 65536
+
+
+def quantise(leaved: DataFrame, size: float) -> DataFrame:
+    """Adds qx, qy, qz: whole steps from the low corner of the leaf's cube, held inside it."""
+    step = lambda c: F.least(F.greatest(F.floor((F.col(c) - cell(F.col(c), size) * size) / size * float(STEPS)), F.lit(0)), F.lit(STEPS - 1))
+    return leaved.withColumns({f"q{c}": step(c).cast("int") for c in "xyz"})
+
+
+def preview(cloud: DataFrame, most: int = 1_200_000) -> DataFrame:
+    """Every k-th point by id, so that about ``most`` stay."""
+    return stride(cloud, max(1, cloud.count() // most))
+
+
+def prune(leaves: DataFrame, reference: DataFrame, reach: float, size: float) -> DataFrame:
+    """The ``reference`` leaves whose box, grown by ``reach``, meets that of a leaf: what a search needs to read.
+
+    Boxes meet in cells of ``size``, so this is an equi-join on cells and then the exact test."""
+    span = lambda c, grow: F.sequence(cell(F.col(f"{c}min") - grow, size), cell(F.col(f"{c}max") + grow, size))
+    here, there = leaves.select(*[F.col(f"{c}{e}") for c in "xyz" for e in ("min", "max")]), reference
+    for c in "xyz":
+        here, there = here.withColumn(f"c{c}", F.explode(span(c, 0.0))), there.withColumn(f"d{c}", F.explode(span(c, reach)))
+    here = here.select(*[F.col(f"{c}{e}").alias(f"_{c}{e}") for c in "xyz" for e in ("min", "max")], "cx", "cy", "cz")
+    on = F.lit(True)
+    for c in "xyz":
+        on = on & (F.col(f"c{c}") == F.col(f"d{c}")) & (F.col(f"{c}min") - reach <= F.col(f"_{c}max")) & (F.col(f"{c}max") + reach >= F.col(f"_{c}min"))
+    return there.join(here, on, "left_semi").select(reference.columns).distinct()
+
+
+def class_field(cloud: DataFrame, column: str = "cls") -> DataFrame:
+    """Adds the class as ``field`` where it tells points apart: with fewer than two values there is no field."""
+    several = cloud.agg((F.count_distinct(column) >= 2).alias("_several"))
+    return cloud.crossJoin(F.broadcast(several)).where("_several").withColumn("field", F.col(column).cast("double")).drop("_several")
+
+
+def default_voxel(spacing: Column) -> Column:
+    """The width of a surface's voxels in centimetres for a spacing in metres: two spacings to half a centimetre, 1 to 60."""
+    return F.floor(F.least(F.greatest(spacing * 200.0, F.lit(1.0)), F.lit(60.0)) * 2.0 + 0.5) / 2.0
+
+
 def merge(layers: list[DataFrame]) -> DataFrame:
     """All layers' points; ids go on from the layer before."""
     out, last = layers[0], layers[0].agg(F.max("gid")).first()[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cell
 from pointloom.plans.lineage import cut
+from pointloom.plans.prefix import running_total
 
 LAMBDA, MU = 0.5, -0.53
 
@@ -121,24 +122,37 @@ def decimate(vertices: DataFrame, triangles: DataFrame, size: float) -> tuple[Da
 
 
 def sample(vertices: DataFrame, triangles: DataFrame, count: int, seed: int = 1) -> DataFrame:
-    """(gid, x, y, z): about ``count`` points spread by area. Each triangle draws its share, whole part and one by chance, on its own: no global order."""
-    full, n = corners(vertices, triangles), face_normal()
-    full = full.withColumn("area", _length(n) / 2.0)
-    total = full.agg(F.sum("area").alias("total"))
-    part = F.col("area") / F.col("total") * float(count)
-    unit = lambda tag: F.pmod(F.xxhash64("tid", "k", F.lit(f"{seed}{tag}")), F.lit(1 << 52)) / float(1 << 52)
-    chance = F.pmod(F.xxhash64("tid", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    draws = (F.floor(part) + F.when(chance < part - F.floor(part), 1).otherwise(0)).cast("int")
-    rows = full.join(F.broadcast(total)).withColumn("n", draws).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    root, t = F.sqrt(unit("r")), unit("t")
-    at = [F.col(f"a{c}") * (F.lit(1.0) - root) + F.col(f"b{c}") * (root * (F.lit(1.0) - t)) + F.col(f"c{c}") * (root * t) for c in "xyz"]
-    return rows.select((F.col("tid") * F.lit(1 << 24) + F.col("k")).alias("gid"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)])
+    """(gid, x, y, z, and normals and colours where the vertices have them): ``count`` points spread by area.
+
+    The k-th point stands at a chance place in the k-th of ``count`` equal shares of the running area; shares and
+    triangles meet in buckets of that area, so nothing is ordered as a whole."""
+    areas = cut(cumulative_area(vertices, triangles))
+    ends = areas.agg(F.max("total").alias("whole"), F.count("*").alias("n")).first()
+    carried = [c for c in ("nx", "ny", "nz", "r", "g", "b") if c in vertices.columns]
+    chance = lambda tag: F.pmod(F.xxhash64("gid", F.lit(f"{seed}{tag}")), F.lit(1 << 52)) / float(1 << 52)
+    width = (ends["whole"] or 1.0) / max(1, ends["n"])
+    draws = vertices.sparkSession.range(count if ends["whole"] else 0).select(F.col("id").alias("gid"))
+    draws = draws.withColumn("at", (F.col("gid") + chance("a")) * ((ends["whole"] or 0.0) / max(1, count))).withColumn("bucket", F.floor(F.col("at") / width))
+    spans = areas.where("area > 0").select("tid", (F.col("total") - F.col("area")).alias("from"), F.col("total").alias("to"))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
+    hit = draws.join(spans, (F.col("bucket") == F.col("_bucket")) & (F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
+    hit = hit.groupBy("gid").agg(F.min("tid").alias("tid"))  # shares that meet at a border by rounding take one
+    corner = triangles.select("tid", "a", "b", "c").join(hit, "tid")
+    for k in "abc":
+        corner = corner.join(vertices.select(F.col("vid").alias(k), F.struct("x", "y", "z", *carried).alias(f"_{k}")), k)
+    root, t = F.sqrt(chance("r")), chance("t")
+    mixed = lambda c: F.col(f"_a.{c}") * (F.lit(1.0) - root) + F.col(f"_b.{c}") * (root * (F.lit(1.0) - t)) + F.col(f"_c.{c}") * (root * t)
+    out = corner.select("gid", *[mixed(c).alias(c) for c in ("x", "y", "z", *carried)])
+    if "nx" in carried:
+        length = F.nullif(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")), F.lit(0.0))
+        out = out.select(*[(F.col(c) / length).alias(c) if c in ("nx", "ny", "nz") else F.col(c) for c in out.columns])
+    return out.select(*[F.round(c).cast("int").alias(c) if c in ("r", "g", "b") else F.col(c) for c in out.columns])
 
 
 def cumulative_area(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """(tid, total): running area in the order of tid."""
+    """(tid, area, total): running area in the order of tid."""
     full, n = corners(vertices, triangles), face_normal()
-    return full.select("tid", (_length(n) / 2.0).alias("area")).withColumn("total", F.sum("area").over(Window.orderBy("tid").rowsBetween(Window.unboundedPreceding, 0))).select("tid", "total")
+    return running_total(full.select("tid", (_length(n) / 2.0).alias("area")), "tid", "area", "total").select("tid", "area", "total")
 
 
 def tsdf(cloud: DataFrame, voxel: float, reach: float = 2.0) -> DataFrame:
@@ -159,6 +173,21 @@ def tsdf(cloud: DataFrame, voxel: float, reach: float = 2.0) -> DataFrame:
     return sums.select("gx", "gy", "gz", (F.col("s") / F.nullif(F.col("weight"), F.lit(0.0))).alias("dist"), "weight")
 
 
+def density(cloud: DataFrame, voxel: float, iso: float = 0.5) -> DataFrame:
+    """(gx, gy, gz, dist, weight) for points without normals: each weighs on the corners around it, and the surface is
+    where the weight falls to ``iso``. Voxels beside a weighted one that have none themselves are outside."""
+    at = {c: F.col(c) / voxel for c in "xyz"}
+    bits = F.explode(F.array(*[F.struct(*[F.lit(b).alias(c) for c, b in zip("xyz", bs, strict=True)]) for bs in [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]]))
+    each = cloud.select(*[a.alias(c) for c, a in at.items()]).select("x", "y", "z", bits.alias("b"))
+    share = reduce(lambda a, b: a * b, [F.when(F.col(f"b.{c}") == 1, F.col(c) - F.floor(c)).otherwise(F.lit(1.0) - F.col(c) + F.floor(c)) for c in "xyz"])
+    weights = each.groupBy(*[(F.floor(c) + F.col(f"b.{c}")).cast("long").alias(f"g{c}") for c in "xyz"]).agg(F.sum(share).alias("weight"))
+    around = weights.select("gx", "gy", "gz", F.lit(0.0).alias("weight"))
+    for c in "xyz":
+        around = around.withColumn(f"g{c}", F.explode(F.array(*[F.col(f"g{c}") + k for k in (-1, 0, 1)])))
+    full = weights.unionAll(around.select("gx", "gy", "gz", "weight")).groupBy("gx", "gy", "gz").agg(F.max("weight").alias("weight"))
+    return full.select("gx", "gy", "gz", (F.lit(max(iso, 0.001)) - F.col("weight")).alias("dist"), "weight")
+
+
 def surface_nets(field: DataFrame, voxel: float, least: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles): a vertex at the mean of the edge crossings of each cell whose eight corners are known and
     differ in sign, and two triangles for each crossed edge whose four cells have one. Corners meet by group-by."""
@@ -197,7 +226,25 @@ def surface_nets(field: DataFrame, voxel: float, least: float = 0.15) -> tuple[D
     return vertices.select("vid", "x", "y", "z"), triangles.select("tid", "a", "b", "c")
 
 
-def build_surface(cloud: DataFrame, voxel: float = 0.06, smoothing: int = 2, least: float = 0.15) -> tuple[DataFrame, DataFrame]:
-    vertices, triangles = surface_nets(tsdf(cloud, voxel), voxel, least)
+def build_surface(cloud: DataFrame, voxel: float = 0.06, smoothing: int = 2, least: float = 0.15, iso: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles). Where most points have no normal (four to one), the surface is that of their density."""
+    share = cloud.agg(F.count("nx").alias("with"), F.count("*").alias("all")).first() if "nx" in cloud.columns else {"with": 0, "all": 1}
+    if share["with"] * 4 < share["all"] - share["with"]:
+        field, least = density(cloud, voxel, iso), 0.0
+    else:
+        field = tsdf(cloud, voxel)
+    vertices, triangles = surface_nets(field, voxel, least)
     triangles = cut(triangles)
     return smooth(vertices, triangles, smoothing, pin=False) if smoothing else vertices, triangles
+
+
+def recommended_source(measured: dict | None, from_normals: bool) -> dict:
+    """Whether to measure the points or the surface, and why: a surface must come from normals and be nearly closed."""
+    if not measured:
+        return {"source": "points", "reason": "there is no surface"}
+    ratio = measured["boundary_edges"] / measured["triangles"] if measured["triangles"] else 1.0
+    if not from_normals:
+        return {"source": "points", "reason": "the surface is one of density, rounder than what was scanned", "holeRatio": ratio}
+    if ratio >= 0.2:
+        return {"source": "points", "reason": "the surface is too open to measure", "holeRatio": ratio}
+    return {"source": "mesh", "reason": "the surface has normals and is nearly closed", "holeRatio": ratio}

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cell
+from pointloom.plans.lineage import cut, discard
 
 PLANES = {"x": ("y", "z"), "y": ("x", "z"), "z": ("x", "y")}
 LEAST_CELL, MOST_RINGS, ENOUGH = 0.005, 12, 8
+#: Cells along either side of a raster whose empty cells are wanted, lines after which no further level is drawn.
+MOST_SIDE, MOST_LINES = 2048, 400
 
 
 def raster(cloud: DataFrame, size: float, stat: str = "max", axis: str = "z", field: str | None = None, box: dict | None = None) -> DataFrame:
@@ -21,9 +24,11 @@ def raster(cloud: DataFrame, size: float, stat: str = "max", axis: str = "z", fi
     return cloud.groupBy(cell(F.col(a) - low[a], size).alias("u"), cell(F.col(b) - low[b], size).alias("v")).agg(value.alias("value"))
 
 
-def full_grid(table: DataFrame) -> DataFrame:
-    """(u, v, value) of every cell of the bounding rectangle, null where empty."""
+def full_grid(table: DataFrame, most: int = MOST_SIDE) -> DataFrame:
+    """(u, v, value) of every cell of the bounding rectangle, null where empty; an error where a side has over ``most``."""
     ends = table.agg(F.min("u").alias("a"), F.max("u").alias("b"), F.min("v").alias("c"), F.max("v").alias("d"))
+    side = F.greatest(F.col("b") - F.col("a"), F.col("d") - F.col("c")) + 1
+    ends = ends.where(F.when(side > most, F.raise_error(F.concat(F.lit("a side has "), side.cast("string"), F.lit(" cells: take wider ones"))).isNull()).otherwise(F.lit(True)))
     cells = ends.select(F.explode(F.sequence("a", "b")).alias("u"), "c", "d").select("u", F.explode(F.sequence("c", "d")).alias("v"))
     return cells.join(table, ["u", "v"], "left")
 
@@ -150,6 +155,45 @@ def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[
     return [points[k] for k in sorted(keep)]
 
 
+def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
+    """``lines`` (level, line, points, closed) with fewer points: none of those left out is farther than ``tolerance``."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            points = [simplify([(p["x"], p["y"]) for p in own], tolerance) for own in pdf["points"]]
+            yield pd.DataFrame({"level": pdf["level"], "line": pdf["line"], "points": [[{"x": x, "y": y} for x, y in own] for own in points], "closed": pdf["closed"]})
+
+    return lines.mapInPandas(run, "level double, line int, points array<struct<x:double,y:double>>, closed boolean")
+
+
+def contours(table: DataFrame, interval: float, most: int = MOST_LINES, tolerance: float = 0.4) -> DataFrame:
+    """(level, line, points, closed) of a raster, in cells: levels at multiples of ``interval`` from the least to the
+    greatest value, each line simplified to ``tolerance`` of a cell; the level that reaches ``most`` lines is the last."""
+    ends = table.agg(F.min("value"), F.max("value")).first()
+    if ends[0] is None:
+        return stitch(contour_segments(table, [0.0]))
+    lines = cut(stitch(contour_segments(table, levels_of(ends[0], ends[1], max(0.001, interval)))))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each level
+    drawn = lines.groupBy("level").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < most).select(F.col("level").alias("_l"))
+    return simplified(lines.join(F.broadcast(drawn), F.col("level") == F.col("_l"), "left_semi"), tolerance)
+
+
+def footprint(cloud: DataFrame, size: float, z: float, thickness: float, dilate: bool = False, budget: int = 4000, low: dict | None = None) -> DataFrame:
+    """(level, line, points, closed): outlines, in cells, of where a slab has points. The tolerance starts at a quarter
+    of a cell and doubles until all lines together have at most ``budget`` points, or none can lose any."""
+    lines = cut(stitch(contour_segments(occupancy(cloud, size, z, thickness, dilate, low), [0.5], midpoints=True)))
+    tolerance, last = 0.25, None
+    while True:
+        out = cut(simplified(lines, tolerance))
+        n = out.agg(F.sum(F.size("points"))).first()[0] or 0
+        if n <= budget or n == last:
+            return out
+        discard(out)
+        tolerance, last = tolerance * 2, n
+
+
 def occupancy(cloud: DataFrame, size: float, z: float, thickness: float, dilate: bool = False, low: dict | None = None) -> DataFrame:
     """(u, v, value): 1 in cells that a slab's points are nearest to, 0 in the two rings around them."""
     slab = cloud.where(F.abs(F.col("z") - z) <= thickness / 2)
@@ -190,3 +234,20 @@ def ortho_view(cloud: DataFrame, right: tuple, up: tuple, toward: tuple, per_pix
     along = lambda d: reduce(lambda a, b: a + b, [F.col(c) * float(k) for c, k in zip("xyz", d, strict=True)])
     rows = cloud.select("gid", cell(along(right), per_pixel).alias("px"), cell(along(up), per_pixel).alias("py"), along(toward).alias("depth"))
     return rows.groupBy("px", "py").agg(F.max(F.struct("depth", (-F.col("gid")).alias("g"))).alias("b")).select("px", "py", (-F.col("b.g")).alias("gid"))
+
+
+def view_mapping(right: tuple, up: tuple, toward: tuple, per_pixel: float) -> dict:
+    """How pixels of ``ortho_view`` lie in the world: metres per pixel, the step of one pixel right and up, the axis to the eye."""
+    step = lambda d: [float(k) * per_pixel for k in d]
+    return {"metresPerPixel": per_pixel, "stepRight": step(right), "stepUp": step(up), "toward": [float(k) for k in toward]}
+
+
+def probe(cloud: DataFrame, px: int, py: int, right: tuple, up: tuple, toward: tuple, per_pixel: float, reach: int = 0) -> DataFrame:
+    """(gid, x, y, z): the point that a pixel of ``ortho_view`` shows, or the one in the nearest pixel within ``reach``.
+
+    Only points that fall into those pixels are looked at."""
+    along = lambda d: reduce(lambda a, b: a + b, [F.col(c) * float(k) for c, k in zip("xyz", d, strict=True)])
+    u, v = cell(along(right), per_pixel) - px, cell(along(up), per_pixel) - py
+    near = cloud.where((F.abs(u) <= reach) & (F.abs(v) <= reach))
+    best = near.agg(F.min(F.struct((u * u + v * v).alias("away"), (-along(toward)).alias("depth"), "gid", "x", "y", "z")).alias("b"))
+    return best.where("b is not null").select("b.gid", "b.x", "b.y", "b.z")
\ No newline at end of file

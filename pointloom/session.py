@@ -4,6 +4,7 @@ A layer's versions are DataFrames; an edit appends one, undo steps back, and not
 
 from __future__ import annotations
 
+import inspect
 import re
 import time
 from dataclasses import dataclass, field, replace
@@ -23,10 +24,22 @@ from pointloom.operators import neighbours as N
 from pointloom.operators import raster as R
 from pointloom.operators import regions as RG
 from pointloom.sources import files
+from pointloom.sources.e57 import write_e57
 
 LOG, STEPS = 500, 80
-#: Commands that change data.
-EDITS = {"analysis", "regions", "transform", "entities", "register", "distance_to", "mesh", "surface", "history", "script"}
+#: Commands that change data, each with the ops that only look; a script's steps are asked one by one.
+EDITS = {
+    "analysis": (), "regions": ("list",), "transform": ("get",), "entities": ("list",), "register": (), "distance_to": (),
+    "mesh": ("list", "measure", "save"), "surface": ("export", "status"), "history": ("status", "save"), "cache": ("list", "write", "has"),
+}
+
+
+def edits(command: str, handler, args: dict) -> bool:
+    """Whether the op that the command comes to, its default included, changes data."""
+    if command not in EDITS:
+        return False
+    op = args.get("op", getattr(inspect.signature(handler).parameters.get("op"), "default", None))
+    return op not in EDITS[command]
 
 
 @dataclass
@@ -79,12 +92,12 @@ class Session:
 
     def run(self, command: str, **args) -> dict:
         """Runs a command, logs it, and returns its reply."""
-        began, entry = time.time(), {"command": command, "args": args, "edit": command in EDITS}
+        began, handler = time.time(), getattr(self, f"do_{command}", None)
+        entry = {"command": command, "args": args, "edit": handler is not None and edits(command, handler, args)}
         try:
-            handler = getattr(self, f"do_{command}", None)
             if handler is None:
                 raise ValueError(f"no command {command!r}")
-            if entry["edit"] and not self.allow_edits and args.get("op") not in ("list", "get", "status", "measure", "save", "export"):
+            if entry["edit"] and not self.allow_edits:
                 raise PermissionError("edits are off")
             reply = handler(**args)
             self.values["last"] = reply
@@ -99,14 +112,18 @@ class Session:
     def do_log(self, limit: int = 50) -> dict:
         return {"entries": self.entries[::-1][:limit]}
 
-    def do_open(self, path: str, name: str | None = None) -> dict:
+    def do_open(self, path: str, name: str | None = None, stride: int = 1) -> dict:
+        """A file with faces opens as a mesh, any other as a layer."""
         name = name or path.rstrip("/").rsplit("/", 1)[-1]
-        self.add(name, files.read(self.spark, path))
+        if files.looks_like_mesh(path):
+            self.meshes[name] = files.read_mesh(self.spark, path)
+            return {"mesh": name}
+        self.add(name, L.stride(files.read(self.spark, path), stride) if stride > 1 else files.read(self.spark, path))
         return {"layer": name}
 
     def do_export(self, path: str, format: str = "ply", stride: int = 1) -> dict:
         cloud = L.stride(self.layer.placed(), stride) if stride > 1 else self.layer.placed()
-        {"ply": files.write_ply, "las": files.write_las, "text": files.write_text, "parquet": lambda c, p: c.write.parquet(p)}[format](cloud, path)
+        {"ply": files.write_ply, "las": files.write_las, "e57": write_e57, "text": files.write_text, "parquet": lambda c, p: c.write.parquet(p)}[format](cloud, path)
         return {"path": path}
 
     def do_state(self) -> dict:
@@ -143,18 +160,30 @@ class Session:
             self.layers[to or f"{source.name} copy"] = Layer(to or f"{source.name} copy", [source.cloud], [source.matrix])
         elif op == "merge":
             back = np.linalg.inv(self.layer.matrix)
-            others = [M.transform(v.cloud, back @ v.matrix) for k, v in self.layers.items() if k != self.active and v.visible]
-            merged = L.merge([self.layer.cloud, *others])
-            self.layers = {self.active: Layer(self.active, [merged], [self.layer.matrix])}
+            others = {k: M.transform(v.cloud, back @ v.matrix) for k, v in self.layers.items() if k != self.active and v.visible}
+            merged = L.merge([self.layer.cloud, *others.values()])
+            matrix = self.layer.matrix
+            self.layers = {k: Layer(k, [merged], [matrix]) if k == self.active else v for k, v in self.layers.items() if k not in others}
         else:
             raise ValueError(f"no entities op {op!r}")
         return {"ok": True}
 
-    def do_regions(self, op: str = "list", region: dict | None = None, id: str | None = None, factor: float = 1.0) -> dict:
-        if op in ("add", "place"):
-            made = replace(_region(region), id=region.get("id") or f"r{len(self.regions) + 1}")
-            self.regions[made.id] = made
-            return {"region": made.id}
+    def _bounds(self) -> tuple[list[float], list[float]]:
+        ends = self.layer.placed().agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+        return [ends[f"{c}lo"] or 0.0 for c in "xyz"], [ends[f"{c}hi"] or 0.0 for c in "xyz"]
+
+    def do_regions(self, op: str = "list", region: dict | None = None, id: str | None = None, factor: float = 1.0, at=None, kind: str = "box", size: float | None = None, polygon=None, camera: dict | None = None, depth: float | None = None) -> dict:
+        new = id or (region or {}).get("id") or f"r{len(self.regions) + 1}"
+        if op == "add" or (op == "place" and at is None):
+            self.regions[new] = replace(_region(region), id=new)
+            return {"region": new}
+        if op == "place":
+            self.regions[new] = RG.place(at, kind, size or RG.start_size(self._bounds()), new)
+            return {"region": new}
+        if op == "lasso":
+            # camera: width, height, eye, target, up, fov of the view that the outline was drawn on
+            self.regions[new] = RG.prism_from_screen([tuple(p) for p in polygon], bounds=self._bounds(), depth_half=depth, id=new, **camera)
+            return {"region": new, "vertices": len(self.regions[new].polygon)}
         if op == "update":
             self.regions[id] = replace(_region(region), id=id)
         elif op == "remove":
@@ -198,24 +227,27 @@ class Session:
         return {"matrix": new.ravel().tolist()}
 
     def do_analysis(self, op: str, neighbours: int | None = None, nSigma: float = 1.0, cell: float = 0.1, feature: str = "roughness", radius: float | None = None, minPoints: int = 16, tolerance: float = 0.001, spacing: float = 0.1, neighbourhood: str = "sphere", absoluteError: float | None = None, removeIsolated: bool = False, orient: bool = True) -> dict:
-        cloud = self.layer.cloud
+        # Radii, spacings and tolerances are metres of the placed frame; what is found goes back to the layer's rows by id.
+        cloud, placed, back = self.layer.cloud, self.layer.placed(), np.linalg.inv(self.layer.matrix)
         if op == "normals":
-            new = cloud.drop("nx", "ny", "nz").join(FE.normals(cloud, neighbours or 16, cell), "gid")
+            new = placed.drop("nx", "ny", "nz").join(FE.normals(placed, neighbours or 16, cell), "gid")
             new = G.orient(new, neighbours or 16, cell) if orient else new
+            turned = M.transform(new.select("gid", "x", "y", "z", "nx", "ny", "nz"), back).select("gid", "nx", "ny", "nz")
+            new = cloud.drop("nx", "ny", "nz").join(turned, "gid")
         elif op == "invert":
             new = FE.invert_normals(cloud)
         elif op == "feature":
-            new = cloud.drop(feature).join(FE.feature(cloud, feature, neighbours or 16, radius or 0.1, cell).withColumnRenamed("value", feature), "gid")
+            new = cloud.drop(feature).join(FE.feature(placed, feature, neighbours or 16, radius or 0.1, cell).withColumnRenamed("value", feature), "gid")
         elif op == "components":
-            new = cloud.drop("component").join(G.components(cloud, radius or 0.1, minPoints).withColumnRenamed("label", "component"), "gid")
+            new = cloud.drop("component").join(G.components(placed, radius or 0.1, minPoints).withColumnRenamed("label", "component"), "gid")
         elif op == "sor":
-            new = _kept(cloud, FE.sor(cloud, neighbours or 8, nSigma, cell))
+            new = _kept(cloud, FE.sor(placed, neighbours or 8, nSigma, cell))
         elif op == "noise":
-            new = _kept(cloud, FE.noise(cloud, nSigma, (radius or 1.2 * cell) if neighbourhood == "sphere" else None, neighbours or 8, absoluteError, removeIsolated, cell))
+            new = _kept(cloud, FE.noise(placed, nSigma, (radius or 1.2 * cell) if neighbourhood == "sphere" else None, neighbours or 8, absoluteError, removeIsolated, cell))
         elif op == "duplicates":
-            new = _kept(cloud, G.duplicates(cloud, tolerance))
+            new = _kept(cloud, G.duplicates(placed, tolerance))
         elif op == "subsample":
-            new = L.thin(cloud, spacing)
+            new = cloud.join(L.thin(placed, spacing).select("gid"), "gid", "left_semi")
         else:
             raise ValueError(f"no analysis op {op!r}")
         self.layer.commit(new)
@@ -231,7 +263,7 @@ class Session:
             step = M.scaling(factor, [float(v) for v in moving.agg(*[(F.min(c) + F.max(c)) / 2 for c in "xyz"]).first()])
             reply = {"factor": factor}
         else:
-            if "nx" not in fixed.columns or (fixed.agg(F.avg(F.col("nx").isNotNull().cast("double"))).first()[0] or 0) < 0.5:
+            if "nx" not in fixed.columns or FE.normal_share(fixed) < 0.5:
                 fixed = fixed.drop("nx", "ny", "nz").join(FE.normals(fixed, 16, maxDistance / 2), "gid")
             reply = FI.icp(moving, fixed, maxDistance, maxIterations)
             step = np.array(reply["matrix"])
@@ -260,20 +292,34 @@ class Session:
     def do_detect(self, tolerance: float = 0.02, minPoints: int = 2000, shapes=("plane", "sphere", "cylinder")) -> dict:
         return {"shapes": FI.detect(self.layer.placed(), tolerance, minPoints, kinds=tuple(shapes))}
 
-    def do_contour(self, z: float, cell: float, thickness: float = 0.15, dilate: bool = False) -> dict:
-        lines = R.stitch(R.contour_segments(R.occupancy(self.layer.placed(), cell, z, thickness, dilate), [0.5], midpoints=True))
+    def do_contour(self, z: float, cell: float, thickness: float = 0.15, dilate: bool = False, vertices: int = 4000) -> dict:
+        lines = R.footprint(self.layer.placed(), cell, z, thickness, dilate, vertices)  # at most so many points reach the driver
         return {"lines": [[(p.x, p.y) for p in r.points] for r in lines.collect()]}
 
+    def do_contours(self, interval: float, cell: float, axis: str = "z", path: str | None = None) -> dict:
+        """Height lines of a raster of means; with ``path`` they are written as Parquet, else their number is told."""
+        lines = R.contours(R.raster(self.layer.placed(), cell, "mean", axis), interval)
+        if path:
+            lines.write.mode("overwrite").parquet(path)
+        row = lines.agg(F.count("*").alias("lines"), F.count_distinct("level").alias("levels"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("vertices")).first()
+        return row.asDict()
+
     def do_section(self, axis: str, at: float, thickness: float = 0.1) -> dict:
         return RG.section(self.layer.placed(), axis, at, thickness).agg(F.count("*").alias("points")).first().asDict()
 
     def do_view(self, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01) -> dict:
-        return {"pixels": R.ortho_view(self.layer.placed(), right, up, toward, perPixel).count()}
+        return {"pixels": R.ortho_view(self.layer.placed(), right, up, toward, perPixel).count(), **R.view_mapping(right, up, toward, perPixel)}
+
+    def do_probe(self, px: int, py: int, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01, reach: int = 0) -> dict:
+        found = R.probe(self.layer.placed(), px, py, right, up, toward, perPixel, reach).first()
+        return {"hit": found is not None, **(found.asDict() if found is not None else {})}
 
     def do_surface(self, op: str = "build", name: str = "surface", voxel: float = 0.06, smoothing: int = 2, path: str | None = None) -> dict:
         if op == "build":
-            self.meshes[name] = ME.build_surface(self.layer.placed(), voxel, smoothing)
-            return ME.measure(*self.meshes[name]).first().asDict()
+            placed = self.layer.placed()
+            self.meshes[name] = ME.build_surface(placed, voxel, smoothing)
+            measured = ME.measure(*self.meshes[name]).first().asDict()
+            return measured | {"recommended": ME.recommended_source(measured, "nx" in placed.columns and FE.normal_share(placed) >= 0.2)}
         if op == "clear":
             del self.meshes[name]
         elif op == "export":
@@ -313,22 +359,34 @@ class Session:
         grey = R.grey(R.raster(self.layer.placed(), cell, "max", axis))
         return {"cells": grey.count()}
 
-    def do_history(self, op: str = "status") -> dict:
+    def do_history(self, op: str = "status", path: str | None = None) -> dict:
         layer = self.layer
         if op == "undo" and layer.at > 0:
             layer.at -= 1
         elif op == "redo" and layer.at < len(layer.versions) - 1:
             layer.at += 1
+        elif op == "save":
+            layer.cloud.write.mode("overwrite").parquet(path)
         elif op not in ("status", "undo", "redo"):
             raise ValueError(f"no history op {op!r}")
         return {"at": layer.at, "versions": len(layer.versions)}
 
-    def do_cache(self, op: str, path: str) -> dict:
+    def do_cache(self, op: str, path: str, key: str | None = None) -> dict:
+        """Clouds kept under the folder ``path``: write, read, list, has, drop; the key is the layer's name if none is given."""
+        cache, key = files.Cache(self.spark, path), key or self.active
         if op == "write":
-            self.layer.placed().write.mode("overwrite").parquet(path)
+            cache.write(key, self.layer.placed())
         elif op == "read":
-            self.add(path, self.spark.read.parquet(path))
-        return {"path": path}
+            self.add(key, cache.read(key))
+        elif op == "list":
+            return {"keys": cache.keys()}
+        elif op == "has":
+            return {"has": cache.has(key)}
+        elif op == "drop":
+            return {"dropped": cache.drop(key)}
+        else:
+            raise ValueError(f"no cache op {op!r}")
+        return {"key": key}
 
     def do_script(self, steps: list[dict], stopOnError: bool = True) -> dict:
         """Up to STEPS commands; $last, $layers, $active and named replies go into later arguments by dotted path."""

@@ -6,10 +6,12 @@ from __future__ import annotations
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointloom.functions.matrix import quaternion
 from pointloom.sources.files import _open
@@ -53,35 +55,105 @@ def _number(node, name: str, default: float = 0.0) -> float:
     return float(found.text) if found is not None and found.text else default
 
 
-def scans(path: str) -> list[dict]:
-    """What the XML says of each scan: name, count, place, fields, pose and limits."""
-    pages = _Pages(path)
+def _tree(path: str, pages: _Pages) -> ET.Element:
     head = pages.read(0, 48)
     if head[:8] != b"ASTM-E57":
         raise ValueError(f"{path} is no E57 file")
     at, length = struct.unpack_from("<QQ", head, 24)
-    root, out = ET.fromstring(pages.read(at, length).rstrip(b"\0")), []
+    return ET.fromstring(pages.read(at, length).rstrip(b"\0"))
+
+
+def _pose(node) -> tuple[list[float], list[float]]:
+    """(rotation as w, x, y, z; translation) of a scan or an image."""
+    turn, move = _child(_child(node, "pose"), "rotation"), _child(_child(node, "pose"), "translation")
+    return [_number(turn, c, float(c == "w")) for c in "wxyz"], [_number(move, c) for c in "xyz"]
+
+
+def _text(node, name: str) -> str | None:
+    found = _child(node, name)
+    return found.text if found is not None else None
+
+
+def scans(path: str) -> list[dict]:
+    """What the XML says of each scan: name, count, place, fields, pose, limits and declared bounds."""
+    root, out = _tree(path, _Pages(path)), []
     for scan in _child(root, "data3D") if _child(root, "data3D") is not None else []:
         points = _child(scan, "points")
         if points is None:
             continue
-        pose, fields = _child(scan, "pose"), []
+        fields: list[dict] = []
         for f in _child(points, "prototype"):
             name = _local(f.tag)
             name = f"nor:{name}" if name.startswith("normal") else name
             kind, a = f.get("type"), f.attrib
             low, high = int(a.get("minimum", -(2**63))), int(a.get("maximum", 2**63 - 1))
             fields.append({"name": NAMES.get(name, name), "kind": kind, "double": a.get("precision", "double") == "double", "low": low, "high": high, "scale": float(a.get("scale", 1)), "offset": float(a.get("offset", 0))})
-        turn, move, limits = _child(pose, "rotation"), _child(pose, "translation"), {}
+        (rotation, translation), limits = _pose(scan), {}
         for group, pairs in (("intensityLimits", [("intensity", "intensityMinimum", "intensityMaximum")]), ("colorLimits", [("r", "colorRedMinimum", "colorRedMaximum"), ("g", "colorGreenMinimum", "colorGreenMaximum"), ("b", "colorBlueMinimum", "colorBlueMaximum")])):
             for field, lo, hi in pairs if _child(scan, group) is not None else []:
                 limits[field] = (_number(_child(scan, group), lo), _number(_child(scan, group), hi))
-        name = _child(scan, "name")
-        out.append({"name": name.text if name is not None else None, "count": int(points.get("recordCount")), "at": int(points.get("fileOffset")), "fields": fields, "limits": limits,
-                    "rotation": [_number(turn, c, float(c == "w")) for c in "wxyz"], "translation": [_number(move, c) for c in "xyz"]})
+        box = _child(scan, "cartesianBounds")
+        ends = [[_text(box, f"{c}{e}") for c in "xyz"] for e in ("Minimum", "Maximum")] if box is not None else [[None]]
+        bounds = [[float(v) for v in end] for end in ends] if all(v is not None for end in ends for v in end) else None
+        out.append({"name": _text(scan, "name"), "count": int(points.get("recordCount")), "at": int(points.get("fileOffset")), "fields": fields, "limits": limits, "rotation": rotation, "translation": translation,
+                    "bounds": bounds, "vendor": _text(scan, "sensorVendor"), "model": _text(scan, "sensorModel")})
     return out
 
 
+def declared_bounds(scan: dict) -> list[float] | None:
+    """The upright box around a scan's declared one, turned by its pose: low corner, then high; None where none is declared."""
+    if not scan["bounds"]:
+        return None
+    corners = np.array(np.meshgrid(*zip(*scan["bounds"], strict=True))).reshape(3, -1).T @ quaternion(*scan["rotation"]).T
+    return [*corners.min(axis=0).tolist(), *corners.max(axis=0).tolist()]
+
+
+META = "scan int, name string, points long, bounds array<double>, translation array<double>, sensor_vendor string, sensor_model string, has_color boolean, has_intensity boolean, has_normals boolean, cartesian boolean, spherical boolean, fields int"
+
+
+def meta(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each scan, from the file's XML alone."""
+    rows = []
+    for k, s in enumerate(scans(path)):
+        has = {f["name"] for f in s["fields"]}
+        rows.append((k, s["name"], s["count"], declared_bounds(s), [float(v) for v in s["translation"]], s["vendor"], s["model"], "r" in has, "intensity" in has, "nx" in has, "x" in has, "range" in has, len(s["fields"])))
+    return spark.createDataFrame(rows, META)
+
+
+#: The ways an image may be given.
+VIEWS = ("sphericalRepresentation", "pinholeRepresentation", "cylindricalRepresentation", "visualReferenceRepresentation")
+#: Bytes before the data of a binary section that holds an image.
+BLOB_HEAD = 16
+
+
+def images(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFrame:
+    """(image, name, view, w, h, t, q, size, at), a row for each image with a picture, and its JPEG or PNG bytes if asked
+    for: those are read where the rows are, image by image."""
+    rows, listed = [], _child(_tree(path, _Pages(path)), "images2D")
+    for k, image in enumerate(listed if listed is not None else []):
+        for view in VIEWS:
+            form = _child(image, view)
+            blob = next((b for b in (_child(form, n) for n in ("jpegImage", "pngImage")) if b is not None), None)
+            if blob is not None:
+                q, t = _pose(image)
+                rows.append((k, _text(image, "name"), view.removesuffix("Representation"), int(_number(form, "imageWidth")), int(_number(form, "imageHeight")), t, q, int(blob.get("length")), int(blob.get("fileOffset"))))
+                break
+    schema = "image int, name string, view string, w int, h int, t array<double>, q array<double>, size long, at long"
+    table = spark.createDataFrame(rows, schema)
+    if not with_bytes:
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = _Pages(path)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                data = pages.read(pages.after(one.column(8)[0].as_py(), BLOB_HEAD), one.column(7)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([data], pa.binary())], names=[*one.schema.names, "bytes"])
+
+    return table.repartition(max(1, len(rows))).mapInArrow(run, schema + ", bytes binary")
+
+
 def _bits(field: dict) -> int:
     if field["kind"] == "Float":
         return 64 if field["double"] else 32
@@ -142,8 +214,8 @@ def _byte(v: np.ndarray, field: str, scan: dict) -> np.ndarray:
 SCHEMA = "gid long, x double, y double, z double, r int, g int, b int, intensity int, nx double, ny double, nz double, scan int"
 
 
-def read_e57(spark: SparkSession, path: str) -> DataFrame:
-    """All scans in the file's frame. Invalid and non-finite points go; ids count records over all scans; colours and
+def read_e57(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
+    """All scans in the file's frame, or one record in ``stride`` of each. Invalid and non-finite points go; ids count records over all scans; colours and
     intensity are bytes by their limits; what a scan lacks is null."""
     found = scans(path)
     starts = np.concatenate([[0], np.cumsum([s["count"] for s in found])]).tolist()
@@ -160,7 +232,7 @@ def read_e57(spark: SparkSession, path: str) -> DataFrame:
                         p = np.column_stack([flat * np.cos(f["azimuth"]), flat * np.sin(f["azimuth"]), f["range"] * np.sin(f["elevation"])])
                     else:
                         p = np.column_stack([f["x"], f["y"], f["z"]])
-                    ok = np.isfinite(p).all(1) & (f.get("invalid", np.zeros(n)) == 0)
+                    ok = np.isfinite(p).all(1) & (f.get("invalid", np.zeros(n)) == 0) & ((at - starts[k] + np.arange(n)) % stride == 0)
                     p, ids, none = p[ok] @ turn.T + move, at + np.flatnonzero(ok), pa.nulls(int(ok.sum()))
                     columns = [pa.array(ids), *[pa.array(p[:, c]) for c in range(3)]]
                     columns += [pa.array(_byte(f[c][ok], c, scan)) if c in f else none.cast(pa.int32()) for c in ("r", "g", "b", "intensity")]
@@ -189,28 +261,57 @@ def _crc32c(pages: np.ndarray) -> np.ndarray:
 
 
 def write_e57(cloud: DataFrame, path: str, name: str = "scan") -> None:
-    """One scan in one local file: coordinates double, colours a byte, intensity a float of 0 to 1. Streams task by task."""
+    """One scan in one local file: coordinates double, normals float, colours a byte, intensity a float of 0 to 1.
+
+    Rows come task by task and pages are written as they fill; only the first page, whose places are known last, is
+    written again at the end. Null colours, intensities and normals take 180, a half and zero."""
     from pointloom.sources.files import _batches
 
-    coloured = {"r", "g", "b"} <= set(cloud.columns)
-    fields = [(f"cartesian{c}", "<f8", 'type="Float"') for c in "XYZ"] + ([(f"color{c}", "u1", 'type="Integer" minimum="0" maximum="255"') for c in ("Red", "Green", "Blue")] if coloured else [])
-    columns = ["x", "y", "z"] + (["r", "g", "b"] if coloured else [])
-    body, n, step = bytearray(b"\0" * 48 + b"\0" * 32), 0, 1500
-    for pdf in _batches(cloud.orderBy("gid").select(*columns)):
-        for at in range(0, len(pdf), step):
-            part = [pdf[c].to_numpy()[at : at + step].astype(k).tobytes() for c, (_, k, _) in zip(columns, fields, strict=True)]
-            packet = struct.pack(f"<H{len(part)}H", len(part), *map(len, part)) + b"".join(part)
-            packet += b"\0" * (-(len(packet) + 4) % 4)
-            body += struct.pack("<BBH", 1, 0, len(packet) + 3) + packet
-        n += len(pdf)
+    has = lambda *c: set(c) <= set(cloud.columns)
+    double, single, byte = 'type="Float"', 'type="Float" precision="single"', 'type="Integer" minimum="0" maximum="255"'
+    fields = [(c, f"cartesian{c.upper()}", "<f8", double) for c in "xyz"]
+    fields += [(f"n{c}", f"nor:normal{c.upper()}", "<f4", single) for c in "xyz"] if has("nx", "ny", "nz") else []
+    fields += [(c, f"color{n}", "u1", byte) for c, n in (("r", "Red"), ("g", "Green"), ("b", "Blue"))] if has("r", "g", "b") else []
+    fields += [("intensity", "intensity", "<f4", single)] if has("intensity") else []
+    value = {"r": F.coalesce("r", F.lit(180)), "g": F.coalesce("g", F.lit(180)), "b": F.coalesce("b", F.lit(180)), "intensity": F.coalesce(F.col("intensity"), F.lit(128)) / 255.0} if len(fields) > 3 else {}
+    value |= {f"n{c}": F.coalesce(F.col(f"n{c}"), F.lit(0.0)) for c in "xyz"}
+    rows = cloud.orderBy("gid").select(*[value.get(c, F.col(c)).alias(c) for c, *_ in fields])
     physical = lambda logical: logical // DATA * PAGE + logical % DATA
-    struct.pack_into("<B7xQQQ", body, 48, 1, len(body) - 48, physical(80), 0)
-    xml = '<?xml version="1.0" encoding="UTF-8"?>\n<e57Root type="Structure" xmlns="http://www.astm.org/COMMIT/E57/2010-e57-v1.0"><formatName type="String">ASTM E57 3D Imaging Data File</formatName><versionMajor type="Integer">1</versionMajor><versionMinor type="Integer">0</versionMinor>'
-    xml += f'<data3D type="Vector" allowHeterogeneousChildren="1"><vectorChild type="Structure"><name type="String">{name}</name><points type="CompressedVector" fileOffset="{physical(48)}" recordCount="{n}"><prototype type="Structure">'
-    xml += "".join(f"<{f} {t}/>" for f, _, t in fields) + '</prototype><codecs type="Vector" allowHeterogeneousChildren="1"/></points></vectorChild></data3D></e57Root>'
-    start, text = len(body), xml.encode()
-    body += text + b"\0" * (-(len(body) + len(text)) % DATA)
-    struct.pack_into("<8sIIQQQQ", body, 0, b"ASTM-E57", 1, 0, len(body) // DATA * PAGE, physical(start), len(text), PAGE)
-    pages = np.frombuffer(bytes(body), np.uint8).reshape(-1, DATA)
     with open(path, "wb") as f:
-        f.write(np.hstack([pages, _crc32c(pages).astype(">u4").view(np.uint8).reshape(-1, 4)]).tobytes())
+        held, done, n, step = bytearray(b"\0" * 80), 0, 0, 60_000 // sum(np.dtype(k).itemsize for _, _, k, _ in fields)
+
+        def flush(every: bool = False) -> None:
+            nonlocal held, done
+            if every:
+                held += b"\0" * (-len(held) % DATA)
+            whole = len(held) // DATA * DATA
+            pages = np.frombuffer(bytes(held[:whole]), np.uint8).reshape(-1, DATA)
+            f.write(np.hstack([pages, _crc32c(pages).astype(">u4").view(np.uint8).reshape(-1, 4)]).tobytes())
+            held, done = held[whole:], done + whole
+
+        for pdf in _batches(rows):
+            for at in range(0, len(pdf), step):
+                part = [pdf[c].to_numpy()[at : at + step].astype(k).tobytes() for c, _, k, _ in fields]
+                packet = struct.pack(f"<H{len(part)}H", len(part), *map(len, part)) + b"".join(part)
+                packet += b"\0" * (-(len(packet) + 4) % 4)
+                held += struct.pack("<BBH", 1, 0, len(packet) + 3) + packet
+                if len(held) > 4 << 20:
+                    flush()
+            n += len(pdf)
+        section = done + len(held) - 48
+        xml = '<?xml version="1.0" encoding="UTF-8"?>\n<e57Root type="Structure" xmlns="http://www.astm.org/COMMIT/E57/2010-e57-v1.0" xmlns:nor="http://www.libe57.org/E57_NOR_surface_normals.txt"><formatName type="String">ASTM E57 3D Imaging Data File</formatName><versionMajor type="Integer">1</versionMajor><versionMinor type="Integer">0</versionMinor>'
+        xml += f'<data3D type="Vector" allowHeterogeneousChildren="1"><vectorChild type="Structure"><name type="String">{escape(name)}</name>'
+        xml += '<intensityLimits type="Structure"><intensityMinimum type="Float">0</intensityMinimum><intensityMaximum type="Float">1</intensityMaximum></intensityLimits>' if has("intensity") else ""
+        xml += f'<points type="CompressedVector" fileOffset="{physical(48)}" recordCount="{n}"><prototype type="Structure">'
+        xml += "".join(f"<{tag} {t}/>" for _, tag, _, t in fields) + '</prototype><codecs type="Vector" allowHeterogeneousChildren="1"/></points></vectorChild></data3D></e57Root>'
+        text, start = xml.encode(), done + len(held)
+        held += text
+        flush(every=True)
+        end = done
+    # The head of the file and of its section share the first page.
+    with open(path, "r+b") as f:
+        first = bytearray(f.read(DATA))
+        struct.pack_into("<8sIIQQQQ", first, 0, b"ASTM-E57", 1, 0, end // DATA * PAGE, physical(start), len(text), PAGE)
+        struct.pack_into("<B7xQQQ", first, 48, 1, section, physical(80), 0)
+        f.seek(0)
+        f.write(bytes(first) + _crc32c(np.frombuffer(bytes(first), np.uint8)[None]).astype(">u4").tobytes())

@@ -43,6 +43,49 @@ def sniff(path: str) -> str | None:
     return {"obj": "obj", "stl": "stl", "ptx": "ptx", "xyz": "text", "txt": "text", "csv": "text", "asc": "text", "pts": "text"}.get(end)
 
 
+def looks_like_mesh(path: str) -> str | None:
+    """ply, obj or stl where the file holds faces; a PLY without any is a cloud."""
+    kind = sniff(path)
+    if kind != "ply":
+        return kind if kind in ("obj", "stl") else None
+    return "ply" if any(e["name"] == "face" and e["count"] > 0 for e in ply_header(path)["elements"]) else None
+
+
+def cache_key(name: str, size: int, modified: int, stride: int = 1) -> str:
+    """A short name for what a file was decoded to: FNV-1a over name, size, time and stride, then the length of that text."""
+    text, h = f"{name}|{size}|{modified}|{stride}", 0x811C9DC5
+    for c in text:
+        h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+    return f"{h:08x}{len(text):x}"
+
+
+class Cache:
+    """Decoded clouds as Parquet tables under one folder of any store that Spark knows, each by its key."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(self, key: str, cloud: DataFrame) -> None:
+        cloud.write.mode("overwrite").parquet(f"{self.folder}/{key}")
+
+    def read(self, key: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{key}")
+
+    def has(self, key: str) -> bool:
+        """Only what was written to its end counts."""
+        return self._store.exists(self._path(f"{self.folder}/{key}/_SUCCESS"))
+
+    def keys(self) -> list[str]:
+        if not self._store.exists(self._path(self.folder)):
+            return []
+        return sorted(k for k in (s.getPath().getName() for s in self._store.listStatus(self._path(self.folder))) if self.has(k))
+
+    def drop(self, key: str) -> bool:
+        return self.has(key) and self._store.delete(self._path(f"{self.folder}/{key}"), True)
+
+
 def _ranges(spark: SparkSession, n: int, read, schema: str) -> DataFrame:
     """``read(first, stop)`` as Arrow batches, over ranges of ``n`` records."""
     tasks = max(1, -(-n // RANGE))
