@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.columns import cell, point_triangle
+from pointloom.functions.columns import cell
 from pointloom.plans.lineage import cut
 
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -74,6 +74,28 @@ def distance_to(points: DataFrame, reference: DataFrame, reach: float, signed: b
     return near.select("gid", d.alias("d"))
 
 
+def _triangle_distance(rows: DataFrame) -> DataFrame:
+    """Adds d2 and side for (x, y, z) and corners (ax to cz), term by term: written as one expression it outgrows a method."""
+    three = lambda name: [F.col(f"_{name}{c}") for c in "xyz"]
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    rows = rows.withColumns({f"_{n}{c}": F.col(f"{e}{c}") - F.col(f"{s}{c}") for n, e, s in (("u", "b", "a"), ("v", "c", "a"), ("w", "c", "b"), ("p", "", "a"), ("q", "", "b")) for c in "xyz"})
+    u, v, w, p, q = map(three, "uvwpq")
+    rows = rows.withColumns({f"_n{c}": u[(k + 1) % 3] * v[(k + 2) % 3] - u[(k + 2) % 3] * v[(k + 1) % 3] for k, c in enumerate("xyz")})
+    pairs = {"uu": (u, u), "vv": (v, v), "uv": (u, v), "ww": (w, w), "pu": (p, u), "pv": (p, v), "qw": (q, w), "nn": (three("n"), three("n")), "pn": (p, three("n"))}
+    rows = rows.withColumns({f"_{k}": dot(*of) for k, of in pairs.items()})
+    share = lambda n, of: F.least(F.greatest(F.coalesce(F.col(n) / F.nullif(F.col(of), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    whole = F.nullif(F.col("_nn"), F.lit(0.0))
+    rows = rows.withColumns({
+        "_s": (F.col("_vv") * F.col("_pu") - F.col("_uv") * F.col("_pv")) / whole, "_t": (F.col("_uu") * F.col("_pv") - F.col("_uv") * F.col("_pu")) / whole,
+        "_a": share("_pu", "_uu"), "_b": share("_pv", "_vv"), "_c": share("_qw", "_ww"),
+    })
+    away = lambda p, d, t: dot(*[[p[k] - d[k] * F.col(t) for k in range(3)]] * 2)
+    rows = rows.withColumns({"_e1": away(p, u, "_a"), "_e2": away(p, v, "_b"), "_e3": away(q, w, "_c")})
+    inside = (F.col("_s") >= 0) & (F.col("_t") >= 0) & (F.col("_s") + F.col("_t") <= 1)
+    d2 = F.when(inside, F.col("_pn") * F.col("_pn") / whole).otherwise(F.least("_e1", "_e2", "_e3"))
+    return rows.withColumns({"d2": d2, "side": F.signum("_pn")})
+
+
 def mesh_distance(points: DataFrame, vertices: DataFrame, triangles: DataFrame, reach: float, signed: bool = False) -> DataFrame:
     """(gid, d): distance to the nearest triangle within ``reach``; null beyond. A triangle stands in every cell its box meets."""
     corners = triangles.select("tid", "a", "b", "c")
@@ -83,9 +105,10 @@ def mesh_distance(points: DataFrame, vertices: DataFrame, triangles: DataFrame,
     for c, s in zip("xyz", span, strict=True):
         corners = corners.withColumn(f"_c{c}", F.explode(s))
     asking = points.select("gid", "x", "y", "z", *[cell(F.col(c), reach).alias(f"_c{c}") for c in "xyz"])
-    d2, side = point_triangle(*[tuple(F.col(f"{k}{c}") for c in "xyz") for k in ("", "a", "b", "c")])
-    met = asking.join(corners, ["_cx", "_cy", "_cz"]).select("gid", "tid", d2.alias("d2"), side.alias("side")).where(F.col("d2") <= reach * reach)
+    met = _triangle_distance(asking.join(corners, ["_cx", "_cy", "_cz"])).select("gid", "tid", "d2", "side")
     best = met.groupBy("gid").agg(F.min(F.struct("d2", "tid", "side")).alias("b"))
+    # Only the least is held against the reach: a filter before it would be pushed down with all terms written out.
+    best = best.where(F.col("b.d2") <= reach * reach)
     d = F.sqrt("b.d2") * (F.when(F.col("b.side") < 0, -1.0).otherwise(1.0) if signed else F.lit(1.0))
     return points.select("gid").join(best.select("gid", d.alias("d")), "gid", "left")
 
