@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.neighbours import nearest, radius_join
-from pointloom.plans.lineage import cut
+from pointloom.plans import stars
+from pointloom.plans.lineage import cut, discard
 
 
 def duplicates(cloud: DataFrame, tolerance: float = 0.001) -> DataFrame:
@@ -34,17 +35,9 @@ def duplicates(cloud: DataFrame, tolerance: float = 0.001) -> DataFrame:
 
 
 def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, root): the least gid reachable over ``edges`` (gid, nb), both ways. Labels hop to neighbours' and then to their label's label."""
-    both = cut(edges.select("gid", "nb").unionAll(edges.select(F.col("nb").alias("gid"), F.col("gid").alias("nb"))).where("gid <> nb").distinct())
-    labels = cut(nodes.select("gid", F.col("gid").alias("root")))
-    while True:
-        around = both.join(labels.select(F.col("gid").alias("nb"), F.col("root").alias("r")), "nb").groupBy("gid").agg(F.min("r").alias("r"))
-        hop = labels.join(around, "gid", "left").select("gid", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        jump = hop.join(labels.select(F.col("gid").alias("root"), F.col("root").alias("rr")), "root").select("gid", "old", F.least("root", "rr").alias("root"))
-        new = cut(jump)
-        if new.where("old <> root").isEmpty():
-            return new.select("gid", "root")
-        labels = new.select("gid", "root")
+    """(gid, root): the least gid reachable over ``edges`` (gid, nb), both ways; a point without edges is its own root."""
+    named = cut(stars.components(edges.select(F.col("gid").alias("a"), F.col("nb").alias("b"))))
+    return nodes.select("gid").join(named.withColumnRenamed("node", "gid"), "gid", "left").select("gid", F.coalesce("component", "gid").alias("root"))
 
 
 def components(cloud: DataFrame, radius: float = 0.1, least: int = 16) -> DataFrame:
@@ -67,13 +60,15 @@ def orient(cloud: DataFrame, k: int = 8, cell: float = 0.1, viewpoint: tuple[flo
     agree = cut(agree.select("gid", "nb", F.when(F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("nz") * F.col("_z") < 0, -1).otherwise(1).alias("s")))
     roots = least_reachable(cloud.where("nx is not null"), edges)
     signs = cut(roots.where("gid = root").select("gid", F.lit(1).alias("sign")))
-    front = signs
+    front = cut(signs)
     while True:
         step = agree.join(front.select(F.col("gid").alias("nb"), "sign"), "nb").groupBy("gid").agg(F.min(F.struct("nb", (F.col("s") * F.col("sign")).alias("sign"))).alias("b"))
-        front = cut(step.select("gid", "b.sign").join(signs, "gid", "left_anti"))
-        if front.isEmpty():
+        ahead = cut(step.select("gid", "b.sign").join(signs, "gid", "left_anti"))
+        if ahead.isEmpty():
             break
-        signs = cut(signs.unionAll(front))
+        more = cut(signs.unionAll(ahead))
+        discard(signs, front)
+        front, signs = ahead, more
     turned = cloud.join(signs, "gid").join(roots, "gid")
     middle = turned.groupBy("root").agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"])
     away = [(F.col(c) - F.col(f"_{c}")) if viewpoint is None else (F.lit(float(p)) - F.col(c)) for c, p in zip("xyz", viewpoint or (0, 0, 0), strict=True)]
