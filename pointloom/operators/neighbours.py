@@ -31,6 +31,18 @@ def _extent(*clouds: DataFrame) -> float:
     return math.sqrt(sum(s * s for s in spans)) if spans else 0.0
 
 
+#: Points that the fullest cell may hold, for each neighbour sought, before the first radius is narrowed.
+CROWD = 64
+
+
+def _first_radius(points: DataFrame, m: int, radius: float) -> float:
+    """``radius``, or less where a cell of it is crowded: pairs there would grow with the square of its points.
+
+    Any first radius gives the same answer, as points that find too few look farther."""
+    full = points.groupBy(*[cell(F.col(c), radius) for c in "xyz"]).count().agg(F.max("count")).first()[0] or 0
+    return radius if full <= CROWD * m else radius * (CROWD * m / full) ** (1 / 3)
+
+
 def nearest(points: DataFrame, m: int, radius: float, reference: DataFrame | None = None, reach: float | None = None) -> DataFrame:
     """(gid, nb, d2, dx, dy, dz, rank) of the ``m`` nearest, ties by id, a point itself included.
 
@@ -38,7 +50,7 @@ def nearest(points: DataFrame, m: int, radius: float, reference: DataFrame | Non
     the search there; without it, it goes on to the width of the cloud, so the answer is exact."""
     end = reach if reach is not None else max(_extent(points, reference) if reference is not None else _extent(points), radius)
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("d2", "nb"))
-    size, asking, found = radius, points, None
+    size, asking, found = _first_radius(reference if reference is not None else points, m, radius), points, None
     while True:
         last = size >= end
         size = min(size, end) if reach is not None else size

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from pointloom.operators import mesh as ME
 from pointloom.operators import neighbours as N
 from pointloom.operators import raster as R
 from pointloom.operators import regions as RG
-from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, cube, micros, mu, query
+from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, _shell, cube, micros, mu, query
 from pointloom.plans.catalogue import _bounds as BOUNDS
 from pointloom.plans.catalogue import _knn_sql as knn_sql
 from pointloom.plans.catalogue import _shape_sql as shape_sql
@@ -235,3 +236,47 @@ query("a30_tsdf_table", f"with {ORD}, {_walk} select gx, gy, gz, {mu('sum(t*5.0*
 query("g13_sample_count", "select 4321::bigint points, 4321::bigint ids, true inside")(
     lambda spark, d: ME.sample(*cube(spark), 4321).agg(F.count("*").alias("points"), F.count_distinct("gid").alias("ids"), F.bool_and((F.least(*[F.least(F.abs(c), F.abs(F.lit(1.0) - F.col(c))) for c in XYZ]) < 1e-9) & F.col("x").between(-1e-9, 1 + 1e-9)).alias("inside"))
 )
+
+# ---- iterative operators on shapes whose answers are known
+
+
+@query("g1_orient_known", "select 800::bigint points, true outward")
+def orient_known(spark: SparkSession, d: str) -> DataFrame:
+    """Normals of a sphere, every other one turned in by a hash: all look out again."""
+    mixed = _shell(spark, 800).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    out = G.orient(mixed.withColumns({f"n{c}": F.col(f"n{c}") * F.col("s") for c in "xyz"}).drop("s"), 6, 0.15)
+    return out.agg(F.count("*").alias("points"), F.bool_and(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") > 0.99).alias("outward"))
+
+
+@query("g5_icp_known", "select 1500::bigint pairs, true close, true turned_back")
+def icp_known(spark: SparkSession, d: str) -> DataFrame:
+    """A stretched sphere moved by two degrees and some centimetres: the fit undoes the move."""
+    fixed = _shell(spark, 1500).withColumns({"x": F.col("x") * 2.0, "z": F.col("z") * 0.5})
+    away = M.translation(0.05, -0.03, 0.02) @ M.rotation("z", 2.0)
+    found = FI.icp(M.transform(fixed.select("gid", "x", "y", "z"), away), FE.face_stations(fixed, spark.createDataFrame([(0, 9.0, 9.0, 9.0)], "sid int, x double, y double, z double")), 0.3)
+    back = np.array(found["matrix"]).reshape(4, 4) @ away
+    return one_row(spark, pairs=int(found["pairs"]), close=bool(found["rms"] < 1e-3), turned_back=bool(np.abs(back - np.eye(4)).max() < 5e-3))
+
+
+@query("g6_detect_known", "select 2::bigint shapes, true plane, true ball")
+def detect_known(spark: SparkSession, d: str) -> DataFrame:
+    """A floor of 1600 points and a ball of radius one half above it."""
+    i, j = (F.col("id") % 40).cast("double"), F.floor(F.col("id") / 40).cast("double")
+    floor = spark.range(1600).select(F.col("id").alias("gid"), (i * 0.1).alias("x"), (j * 0.1).alias("y"), *[F.lit(v).alias(c) for c, v in (("z", 0.0), ("nx", 0.0), ("ny", 0.0), ("nz", 1.0))])
+    ball = _shell(spark, 1200, 0.5).select((F.col("gid") + 10_000).alias("gid"), *[(F.col(c) + o).alias(c) for c, o in (("x", 2.0), ("y", 2.0), ("z", 1.5))], "nx", "ny", "nz")
+    shapes = {s["kind"]: s for s in FI.detect(floor.unionAll(ball), least=500, kinds=("plane", "sphere"), trials=120, most=2)}
+    return one_row(spark, shapes=len(shapes), plane=shapes["plane"]["points"] == 1600, ball=shapes["sphere"]["points"] == 1200 and abs(shapes["sphere"]["radius"] - 0.5) < 1e-3)
+
+
+@query("g9_surface_known", "select true closed, true area_ok, true volume_ok")
+def surface_known(spark: SparkSession, d: str) -> DataFrame:
+    """A unit sphere's surface closes, with its area and volume to a twentieth."""
+    m = ME.measure(*ME.build_surface(_shell(spark), 0.1)).first()
+    return one_row(spark, closed=bool(m["closed"]), area_ok=abs(m["area"] / (4 * math.pi) - 1) < 0.05, volume_ok=abs(m["volume"] / (4 / 3 * math.pi) - 1) < 0.05)
+
+
+@query("g10_density_known", "select true closed, true area_ok")
+def density_known(spark: SparkSession, d: str) -> DataFrame:
+    """The same without normals: a shell as thick as a voxel, so two closed surfaces or one around it."""
+    m = ME.measure(*ME.build_surface(_shell(spark, 20_000).select("gid", "x", "y", "z"), 0.1, 0)).first()
+    return one_row(spark, closed=m["boundary_edges"] == 0, area_ok=4 * math.pi < m["area"] < 4 * 4 * math.pi)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 RANGE = 1_000_000
 #: PLY types, and names that mean the same.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+#: What files call the fields of a point.
 ALIASES = {"red": "r", "green": "g", "blue": "b", "diffuse_red": "r", "diffuse_green": "g", "diffuse_blue": "b", "scalar_intensity": "intensity", "reflectance": "intensity", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz", "northing": "y", "easting": "x", "height": "z", "elevation": "z", "classification": "cls"}
 #: Bytes of a LAS record by point format, and where its colours start.
 LAS_BYTES, LAS_COLOUR = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36, 8: 38}, {2: 20, 3: 28, 7: 30, 8: 30}
@@ -243,6 +244,9 @@ def read_text(spark: SparkSession, path: str, layout: dict | None = None) -> Dat
         first = rows.select("r", "g", "b").first()
         scale = 255.0 if first is not None and max(v or 0 for v in first) <= 1.001 else 1.0
         rows = rows.withColumns({c: F.least(F.greatest(F.round(F.col(c) * scale), F.lit(0)), F.lit(255)).cast("int") for c in "rgb"})
+    if {"nx", "ny", "nz"} <= set(layout["columns"]):
+        length = F.nullif(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")), F.lit(0.0))
+        rows = rows.select(*[(F.col(c) / length).alias(c) if c in ("nx", "ny", "nz") else F.col(c) for c in rows.columns])
     if "intensity" in layout["columns"]:
         v = F.col("intensity")
         ends = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
