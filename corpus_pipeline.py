@@ -12,28 +12,36 @@ from pointloom.llm.packing import pack
 from pointloom.llm.toxicity import drop_toxic
 
 
+# Each stage but the last keeps every column of its documents, whatever their names. Null texts count as empty; rows that
+# repeat an id are documents of their own; an empty table goes through as an empty table.
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go; their labels come from the labels table."""
+    """Documents that the toxicity models reject go; their labels come from the labels table.
+
+    Null and empty texts have no evidence and stay; without labels all stay. Rows alike fare alike."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null and empty texts are equal, null ids lose to others, and
+    of rows that tie any one stays."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the smallest doc_id stays."""
+    """Of near-duplicates the smallest doc_id stays. Texts without words, and rows without doc_id, are in no group."""
     return drop_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, which may be never. A null source is a source of its own; texts without
+    words have size 0 and cost nothing."""
     return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 ids with their sequence and place."""
+    """Pieces of at most 1024 ids with their sequence and place; a text without ids is its end id alone."""
     return pack(docs)
 
 
