@@ -153,6 +153,28 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == set(mixed.doc_id)
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, extra columns; then nothing at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `_d` string, `copy` int"
+    long_text = " ".join(f"w{k % 977}x{k % 131}" for k in range(30_000))
+    rows = [(1, None, None, None, None, None, None), (2, "", "en", "a", 0, "x", 1), (3, "one two three four five six", "en", "a", 27, "x", 1), (3, "one two three four five six", "en", "a", 27, "x", 1), (4, "one two three four five six", "en", "b", 27, None, 2)]
+    rows += [(None, "no id here", "en", "b", 10, "y", 3), (5, long_text, "en", "b", len(long_text), "z", 4), (6, long_text + " more", "en", "b", len(long_text) + 5, "z", 4), (7, "w" * 100_000, "en", None, 100_000, "z", 5)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SMALL)
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/{name}{len(table)}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{len(table)}")
+            if name == "exact dedup" and table:
+                assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 2, 4, 5, 6, 7]  # null and empty texts are equal
+            if name == "minhash near-dedup":
+                assert docs.columns == [c.strip("`").split()[0].strip("`") for c in schema.split(", ")]
+                assert not table or sorted((r.doc_id or 0) for r in docs.collect()) == [0, 2, 4, 5, 7]
+        assert (docs.count() > 0) == bool(table)
+
+
 def brute_mix(rows):
     """How often the mix takes each (doc_id, text, source): caps one by one, then all copies in one order, cut at the budget."""
     sizes = [(s, hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, len((t or "").encode().split())) for i, t, s in rows]
