@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointloom.plans.lineage import discard, shared_dir
+from pointloom.plans.stars import components
+
+__all__ = ["components", "discard", "shared_dir"]  # used by the operators beside what is defined here
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,18 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A local session that names none gets one of its own;
-    on a cluster that would be lost with its machine, so there it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-").join(("file://", ""))
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
@@ -52,16 +44,6 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes what ``saved`` wrote, once nothing lazy depends on it."""
-    for df in frames:
-        path = getattr(df, "_pointloom_path", None)
-        if path:
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -97,14 +79,18 @@ def drawn(rows: DataFrame, most: int, *key: str) -> DataFrame:
 def hot_join(rows: DataFrame, groups: DataFrame, key: list[str], size: str, hot: int, left: bool = False) -> DataFrame:
     """``rows`` joined to ``groups``, which has a row for each key and in ``size`` how many rows share it.
 
-    Keys of ``hot`` rows and more are broadcast, so no key's rows meet in one task: with ``hot`` a thousandth of all
-    rows there are at most a thousand of them. The others are shuffled. Unmatched rows stay if ``left``."""
-    names = {k: f"_k{i}" for i, k in enumerate(key)}
-    groups = groups.withColumnsRenamed(names)
-    large = rows.join(F.broadcast(groups.where(F.col(size) >= hot)), same(names), "left")
-    found = large.where(F.col(size).isNotNull()).drop(*names.values())
-    rest = large.where(F.col(size).isNull()).select(rows.columns)
-    return found.unionByName(rest.join(groups.where(F.col(size) < hot), same(names), "left" if left else "inner").drop(*names.values()))
+    Keys of ``hot`` rows and more are broadcast: with ``hot`` a thousandth of all rows there are at most a thousand of
+    them. Their rows then go through the shuffle for the others by a hash of the whole row, so no key's rows meet in
+    one task, and ``rows`` are computed once. Unmatched rows stay if ``left``."""
+    more = [c for c in groups.columns if c not in key]
+    sides = {tag: groups.select(*[F.col(k).alias(f"{tag}k{i}") for i, k in enumerate(key)], *[F.col(c).alias(f"{tag}_{c}") for c in more], F.lit(True).alias(f"{tag}met")) for tag in ("_h", "_c")}
+    met = rows.join(F.broadcast(sides["_h"].where(F.col(f"_h_{size}") >= hot)), same({k: f"_hk{i}" for i, k in enumerate(key)}), "left")
+    met = met.withColumn("_salt", F.when(F.col("_hmet"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1009))).otherwise(0))
+    met = met.withColumns({f"_k{i}": F.when(F.col("_hmet").isNull(), F.col(k)) for i, k in enumerate(key)})
+    cold = sides["_c"].where(F.col(f"_c_{size}") < hot).withColumn("_none", F.lit(0).cast("long"))
+    out = met.join(cold, same({f"_k{i}": f"_ck{i}" for i in range(len(key))}) & (F.col("_salt") == F.col("_none")), "left")
+    out = out if left else out.where("_hmet or _cmet")
+    return out.select(*rows.columns, *[F.when(F.col("_hmet"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in more])
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -127,40 +113,3 @@ def same(names: dict[str, str]) -> Column:
     for a, b in names.items():
         on = on & F.col(a).eqNullSafe(F.col(b))
     return on
-
-
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) for the nodes of ``links`` (a, b): the smallest node reachable.
-
-    Alternates large-star and small-star steps, each a shuffle on node ids; every round is saved, and the loop ends
-    when the edges no longer change. Steps only take minima over a node's neighbours, combined before the shuffle."""
-    first = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges, last = _marked(first)
-    for _ in range(rounds):
-        # large star: every larger neighbour of u is tied to the least of u and its neighbours
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: u and its smaller neighbours are tied to the least of them
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        after, mark = _marked(small.where("u <> v"))
-        discard(edges)
-        edges = after
-        if last == mark:
-            break
-        last = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
-
-
-def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The distinct edges, saved, with their number and a sum over their hashes, taken while they are written."""
-    seen = Observation()
-    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
-    out = saved(edges.distinct().observe(seen, *mark), "edges")
-    found = seen.get
-    return out, (found.get("n"), found.get("h"))

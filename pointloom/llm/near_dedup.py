@@ -118,18 +118,19 @@ def _paths(classes: DataFrame, trees: int, depth: int, percent: int) -> DataFram
 
 
 def _branch_on(members: DataFrame, levels: int, percent: int) -> DataFrame:
-    """(node, doc) that many levels on, for (node, doc, tokens)."""
+    """(node, doc) that many levels on, for (doc, nodes, tokens): a document's tokens come once for all its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            nodes, owner = batch.column(0).to_numpy().astype(np.uint64), np.arange(len(rows))
+            held = batch.column(1)
+            nodes, owner = held.flatten().to_numpy().astype(np.uint64), np.repeat(np.arange(len(rows)), np.diff(held.offsets.to_numpy()))
             for _ in range(levels):
                 nodes, owner = branch(nodes, owner, rows, percent)
-            docs = batch.column(1).to_numpy()
+            docs = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int64)), pa.array(docs[owner])], names=["node", "doc"])
 
-    return members.select("node", "doc", "tokens").mapInArrow(run, "node long, doc long")
+    return members.select("doc", "nodes", "tokens").mapInArrow(run, "node long, doc long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -178,7 +179,8 @@ def _candidates(classes: DataFrame, recall: float, percent: int, hot: int) -> Da
             break
         step = min(JUMP, MOST_DEPTH - depth)
         depth += step
-        level = _populated(_branch_on(large.select("node", "doc").join(classes.select("doc", "tokens"), "doc"), step, percent), hot)
+        nodes = large.groupBy("doc").agg(F.collect_list("node").alias("nodes"))  # as many as there are trees and branches
+        level = _populated(_branch_on(nodes.join(classes.select("doc", "tokens"), "doc"), step, percent), hot)
     return reduce(DataFrame.unionAll, [*found, large])
 
 
@@ -190,20 +192,26 @@ def _apart(nodes: DataFrame, links: DataFrame, hot: int) -> DataFrame:
     return saved(hot_join(label, several, ["node"], "size", hot).select(label.columns), "apart")
 
 
-def _heaped(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _heaped(apart: DataFrame, texts: DataFrame, shingle: int, percent: int, hot: int) -> DataFrame:
     """Links (a, b) within large nodes that are still apart, each exact and enough of them to connect what is alike.
 
-    Nodes that share members form one heap, so that no pair is compared once for each tree. A heap is cut into blocks,
-    each pair of blocks is a task, and in it each document is held against the other block's inverted lists; a task
-    returns the links that join components, fewer than its documents."""
-    first = apart.groupBy("node").agg(F.min("doc").alias("b")).withColumnRenamed("node", "_n")
-    tied = apart.join(first, F.col("node") == F.col("_n")).select(F.col("doc").alias("a"), "b")
+    Nodes that share members form one heap, so that no pair is compared once for each tree. What a heap's largest
+    component holds is connected already: only the others, in blocks, are held against all, in blocks. A pair of blocks
+    is a task, in which each document is held against the other side's inverted lists; it returns the links that join
+    components, fewer than its documents. Where one block takes the others, each text is sent once more than it is read."""
+    first = apart.groupBy("node").agg(F.min("doc").alias("b"), F.count("*").alias("size"))
+    tied = hot_join(apart, first, ["node"], "size", hot).select(F.col("doc").alias("a"), "b")
     heaps = components(tied).select(F.col("node").alias("doc"), F.col("component").alias("heap"))
-    members = heaps.join(apart.groupBy("doc").agg(F.first("own").alias("own")), "doc")
-    sizes = members.groupBy("heap").agg(F.count("*").alias("m"))
-    members = members.join(sizes, "heap").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = members.select("heap", "doc", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = saved(cells.select("heap", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc", "own", "block"), "cells")
+    members = saved(heaps.join(apart.groupBy("doc").agg(F.first("own").alias("own")), "doc"), "heaps")
+    parts = members.groupBy("heap", "own").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("heap").agg(F.sum("n").alias("m"), F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("most"))
+    members = hot_join(members, sizes, ["heap"], "m", hot)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    members = members.select("heap", "doc", "own", "main", blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("most")).alias("others"), F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).alias("h"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.where("own <> main").select("heap", F.expr("cast(h % others as int)").alias("x"), each("all").alias("y"), "doc", "own", F.lit(True).alias("left"))
+    right = members.where("others > 0").select("heap", each("others").alias("x"), F.expr("cast(h % all as int)").alias("y"), "doc", "own", F.lit(False).alias("left"))
+    cells = saved(left.unionByName(right), "cells")
     rows = cells.join(texts.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).repartition("heap", "x", "y").sortWithinPartitions("heap", "x", "y")
 
     def compare(docs: list[int], own: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -236,26 +244,24 @@ def _heaped(apart: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(docs) > 1:
-                side = np.array(sides)
-                same = key[1] == key[2]
-                left, right = (np.arange(len(docs)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
+                left, right = np.flatnonzero(sides), np.flatnonzero(~np.array(sides))
                 if len(left) and len(right):
                     found = compare(docs, own, sets, left, right)
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for heap, x, y, doc, label, block, text in zip(*columns, batch.column(6), strict=True):
+            for heap, x, y, doc, label, side, text in zip(*columns, batch.column(6), strict=True):
                 if (heap, x, y) != key:
                     yield from done()
                     key, docs, own, sets, sides = (heap, x, y), [], [], [], []
                 docs.append(doc)
                 own.append(label)
                 sets.append(shingle_set(text.as_py(), shingle))
-                sides.append(block == x)
+                sides.append(side)
         yield from done()
 
-    return rows.select("heap", "x", "y", "doc", "own", "block", "text").mapInArrow(run, "a long, b long")
+    return rows.select("heap", "x", "y", "doc", "own", "left", "text").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
@@ -270,7 +276,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     one = one.select("set_a", "set_b", "n_shingles", "copies", "first.doc_id", "first.text_hash").withColumn("doc", F.monotonically_increasing_id())
     classes = saved(one, "classes")
     n = classes.count()
-    hot = max(SMALL + 1, n * trees_for(recall, percent) // 1000)  # a node of so many rows is one of a few thousand at most
+    hot = max(SMALL + 1, n * trees_for(recall, percent) // 4000)  # a node of so many rows is one of some ten thousand at most
     tokens = read.select("doc_id", "text_hash", "tokens").dropDuplicates(["doc_id", "text_hash"])
     nodes = saved(_candidates(saved(classes.select("doc", "doc_id", "text_hash").join(tokens, ["doc_id", "text_hash"]).select("doc", "tokens"), "tokens"), recall, percent, hot), "candidates")
     wanted = nodes.select("doc").distinct().join(classes, "doc").select("doc", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
@@ -295,7 +301,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     links = links.unionAll(confirm(pairs, texts, shingle, percent))
     large = apart.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        links = links.unionAll(_heaped(large, texts, shingle, percent))
+        links = links.unionAll(_heaped(large, texts, shingle, percent, hot))
     links = saved(links, "links")
     named = components(links).withColumnRenamed("node", "_d")
     joined = classes.join(named, F.col("doc") == F.col("_d"), "left").withColumn("component", F.coalesce("component", "doc"))
