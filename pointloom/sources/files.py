@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Records of a task.
@@ -100,6 +100,15 @@ def _ranges(spark: SparkSession, n: int, read, schema: str) -> DataFrame:
     return spark.range(0, tasks, 1, tasks).mapInArrow(run, schema)
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines of one file by number. Lines are counted in each split; only a row for each split is summed."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"))
+    lines = lines.select("value", F.shiftright("_id", 33).alias("_split"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("_split").agg(F.count("*").alias("_n")).select(F.col("_split").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(starts), F.col("_split") == F.col("_s")).select((F.col("_before") + F.col("_at")).alias("n"), "value")
+
+
 def ply_header(path: str) -> dict:
     """format, offset of the data, and for each element its name, count and properties."""
     with _open(path) as f:
@@ -145,12 +154,9 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     element = next(e for e in head["elements"] if e["name"] == "vertex")
     kind, n = _dtype(element["properties"], head["format"] == "binary_big_endian"), element["count"]
     if head["format"] == "ascii":
-        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_order"))
-        start = lines.where("value = 'end_header'").select(F.col("_order").alias("_start"))
-        body = lines.join(F.broadcast(start)).where("_order > _start")  # one row
-        from pyspark.sql import Window
-
-        body = body.withColumn("gid", F.row_number().over(Window.orderBy("_order")) - 1).where(F.col("gid") < n)
+        lines = _numbered(spark, path)
+        start = lines.where("value = 'end_header'").agg(F.min("n").alias("_start"))  # one row
+        body = lines.join(F.broadcast(start)).select("value", (F.col("n") - F.col("_start") - 1).alias("gid")).where((F.col("gid") >= 0) & (F.col("gid") < n))
         parts = F.split(F.trim("value"), r"\s+")
         columns = []
         for k, name in enumerate(kind.names):
@@ -258,17 +264,18 @@ def read_text(spark: SparkSession, path: str, layout: dict | None = None) -> Dat
 
 def read_ptx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cloud, stations): scans behind headers of ten lines, each through its own matrix. A line's scan follows from its
-    number, and the headers, found from the counts they hold, are few."""
-    lines = spark.read.text(path, wholetext=False).rdd.zipWithIndex().map(lambda r: (r[1], r[0].value)).toDF("n long, value string")
-    heads, at = [], 0
-    total = lines.count()
-    while at < total:
-        h = [r.value for r in lines.where(F.col("n").between(at, at + 9)).orderBy("n").collect()]
-        if len(h) < 10:
-            break
-        count = int(h[0]) * int(h[1])
-        heads.append((len(heads), at + 10, at + 10 + count, [float(v) for x in h[6:10] for v in x.split()], *[float(v) for v in h[2].split()[:3]]))
-        at += 10 + count
+    number; headers are found by two passes over the file, however many there are."""
+    lines = _numbered(spark, path)
+    # A scan begins with its columns and its rows, the only lines of one number: two for each scan come to the driver.
+    alone = {r.n: r.value.strip() for r in lines.where(F.trim("value").rlike(r"^\d+$")).collect()}
+    counts, at = [], 0
+    while at in alone and at + 1 in alone:
+        counts.append((len(counts), at, int(alone[at]) * int(alone[at + 1])))
+        at += 10 + counts[-1][2]
+    wanted = spark.createDataFrame([(sid, start + k, k) for sid, start, _ in counts for k in range(10)], "sid int, _n long, k int")
+    found = lines.join(F.broadcast(wanted), F.col("n") == F.col("_n")).orderBy("sid", "k").collect()
+    text = {sid: [r.value for r in found if r.sid == sid] for sid, *_ in counts}
+    heads = [(sid, start + 10, start + 10 + n, [float(v) for x in text[sid][6:] for v in x.split()], *[float(v) for v in text[sid][2].split()[:3]]) for sid, start, n in counts if len(text[sid]) == 10]
     scans = spark.createDataFrame(heads, "sid int, start long, stop long, m array<double>, sx double, sy double, sz double")
     rows = lines.join(F.broadcast(scans), (F.col("n") >= F.col("start")) & (F.col("n") < F.col("stop")))
     p = F.split(F.trim("value"), r"\s+")
