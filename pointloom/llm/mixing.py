@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import BUCKET_ROWS, n_words, packed, running_total, saved
 
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, "mix"
+#: Slices of finish time that one round of the search for the cut sums, and rows that its last slice may hold.
+SLICES, LAST = 4096, 8192
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -40,6 +42,34 @@ def _key(seed: str, doc_id: str, size: str) -> Column:
     return F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("h"), F.col(doc_id).alias("d"), F.col(size).alias("s"))
 
 
+def _cut(copies: DataFrame, budget: float) -> DataFrame:
+    """The copies (at, order, size) before the point at which their running size passes ``budget``.
+
+    The range of finish times that the cut falls into is narrowed SLICES at a time: a round sums the sizes by slice, at
+    most SLICES numbers, and goes on in the slice that passes the budget. The last slice, of at most LAST rows unless
+    more of them finish at once, is ordered row by row."""
+    ends = copies.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("size").alias("all")).first()
+    if (ends["all"] or 0) <= budget:
+        return copies
+    lo, hi, before, inside, reached = ends["lo"], ends["hi"], F.lit(False), F.lit(True), 0
+    while True:
+        width = (hi - lo) / SLICES
+        slice_ = F.least(F.greatest(F.floor((F.col("at") - lo) / width), F.lit(0)), F.lit(SLICES - 1)) if width > 0 else F.lit(0)
+        sums = sorted(copies.where(inside).groupBy(slice_.alias("k")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect())
+        for k, words, n in sums:
+            if reached + words > budget:
+                break
+            reached += words
+        before, inside = before | (inside & (slice_ < k)), inside & (slice_ == k)
+        if n <= LAST or len(sums) == 1:
+            break
+        lo, hi = lo + k * width, lo + (k + 1) * width
+    ordered = Window.orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = copies.where(inside).withColumn("end", F.sum("size").over(ordered) + F.lit(reached))
+    cut = fits.where(F.col("end") <= F.lit(budget)).agg(F.max("order").alias("cut"))
+    return copies.crossJoin(F.broadcast(cut)).where(before | (inside & (F.col("order") <= F.col("cut")))).drop("cut")
+
+
 def cuts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The sizes table (doc_id, source, size, key) and, per source, its target and the last key each pass takes."""
     sizes = saved(docs.select("doc_id", "source", n_words("text").alias("size")).withColumn("key", _key(seed, "doc_id", "size")), "sizes")
@@ -50,20 +80,8 @@ def cuts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int =
     done = saved(done.select("key", "size", "src_no", "source_size", "target", "cum"), "finish")
     copies = [done.withColumn("pass", F.lit(p)).withColumn("at", (F.col("cum") + F.lit(p) * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))) for p in range(repeats)]
     copies = reduce(DataFrame.unionAll, copies).where(F.col("at").isNotNull()).withColumn("order", F.struct("at", "src_no", "pass", "key"))
-    total = sources.agg(F.sum("source_size"), F.sum("n_docs")).first()
-    budget, slices = float(total[0] or 0) * share, max(1, (total[1] or 0) * repeats // BUCKET_ROWS)
-    # Ranges of finish time hold about equal shares of the mix; whole ranges are passed or left, one is ordered row by row.
-    ranged = copies.withColumn("range", F.floor(F.col("at") * slices))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = ranged.groupBy("range").agg(F.sum("size").alias("words")).withColumn("end", F.sum("words").over(before))
-    hit = ends.where(F.col("end") > F.lit(budget)).orderBy("range").limit(1).first()
-    cut = None
-    if hit is not None:
-        inside = Window.orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        fits = ranged.where(F.col("range") == hit["range"]).withColumn("end", F.sum("size").over(inside) + F.lit(hit["end"] - hit["words"]))
-        cut = fits.where(F.col("end") <= F.lit(budget)).agg(F.max("order").alias("order"))
-        first = hit["range"]
-        copies = ranged.where(F.col("range") <= first).crossJoin(F.broadcast(cut.withColumnRenamed("order", "cut"))).where((F.col("range") < first) | (F.col("order") <= F.col("cut")))
+    budget = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
+    copies = _cut(copies, budget)
     last = copies.groupBy("src_no").agg(*[F.max(F.when(F.col("pass") == p, F.col("key"))).alias(f"last{p}") for p in range(repeats)])
     return sizes, saved(sources.join(last, "src_no", "left"), "cuts")
 
