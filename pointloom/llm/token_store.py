@@ -20,6 +20,8 @@ from pointloom.llm.tokens import ids_of
 END_ID, TOKENIZER = 1, "word_bpe_49k.json"
 #: Rows between index entries, and the Bloom filter's rate of false positives.
 INDEX_ROWS, FALSE_POSITIVES = 1000, 0.01
+#: Bytes of text that one file takes.
+RANGE_BYTES = 128 << 20
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -43,7 +45,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: st
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # As many ranges as the texts need, so that a task's share does not grow with the corpus.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(FALSE_POSITIVES), "orc.row.index.stride": str(INDEX_ROWS), "compression": "zstd"}
     rows.mapInArrow(run, STORED).write.options(**options).orc(path)
 
