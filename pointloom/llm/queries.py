@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 over whole tables, and their SQL where SQL can say it."""
+"""The queries of this subpackage: op1 to op13 over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pointloom.llm.chat import format_chats
 from pointloom.llm.common import shared_path, table
 from pointloom.llm.embedding_dedup import embedding_groups
 from pointloom.llm.exact_dedup import exact_groups
+from pointloom.llm.filter_audit import audit
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
 from pointloom.llm.packing import pack
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_embedding_near_dedup": lambda spark, d: embedding_groups(table(spark, d, "embeddings")),
     "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
+    "op12_filter_audit": lambda spark, d: audit(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLE_SQL = {
@@ -117,5 +119,31 @@ links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b
 reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a)
 select v.vec_id, (select count(*) from links where a = v.vec_id) n_links, min(r.b) component_id, min(r.b) = v.vec_id kept
 from v join reach r on r.a = v.vec_id group by v.vec_id
+""",
+    "op12_filter_audit": r"""
+with recursive base as (
+  select doc_id, coalesce(source::varchar, '') part, coalesce(text, '') t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) ws from documents),
+flagged as (
+  select doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] f from base),
+marks as (select doc_id, coalesce(bool_or(quality = 1), false) g, coalesce(bool_or(toxic = 1), false) x from labels where doc_id is not null group by doc_id),
+cells as (
+  select part, f, count(*) n, count(*) filter (where coalesce(g, false)) good, count(*) filter (where coalesce(x, false)) toxic
+  from flagged left join marks using (doc_id) group by part, f),
+orders(filter_order) as (
+  select '' union all select filter_order || l from orders, (select unnest(['A', 'B', 'C', 'D', 'E']) l) where not contains(filter_order, l)),
+steps as (
+  select filter_order, step, ascii(filter_order[step]) - 64 k, list_transform(string_split(filter_order[1:step - 1], ''), lambda c: ascii(c) - 64) prior
+  from orders, (select unnest(range(1, 6)) step) where len(filter_order) = 5),
+long as (
+  select c.*, s.*, f[k] here, step > 1 and list_bool_or(list_transform(prior, lambda i: f[i])) gone,
+         len(list_filter(f, lambda v: v)) = 1 and f[k] lone from cells c, steps s),
+sums as (
+  select part, filter_order, step, k, coalesce(sum(n) filter (where not here and not gone), 0)::bigint kept,
+         coalesce(sum(n) filter (where here and not gone), 0)::bigint removed, coalesce(sum(n) filter (where here and gone), 0)::bigint redundant,
+         coalesce(sum(n) filter (where lone), 0)::bigint unique_fails, coalesce(sum(good) filter (where here and not gone), 0)::bigint good_lost,
+         coalesce(sum(toxic) filter (where here and not gone), 0)::bigint toxic_lost from long group by all)
+select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, k))::bigint shapley
+from sums
 """,
 }
