@@ -7,6 +7,7 @@ from pointloom.llm.common import shared_path, table
 from pointloom.llm.embedding_dedup import embedding_groups
 from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.filter_audit import audit
+from pointloom.llm.language import languages
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
 from pointloom.llm.packing import pack
@@ -34,6 +35,7 @@ QUERIES = {
     "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
     "op12_filter_audit": lambda spark, d: audit(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op13_language_id": lambda spark, d: languages(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
