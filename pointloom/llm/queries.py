@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pointloom.llm.chat import format_chats
 from pointloom.llm.common import shared_path, table
 from pointloom.llm.embedding_dedup import embedding_groups
 from pointloom.llm.exact_dedup import exact_groups
 from pointloom.llm.filter_audit import audit
+from pointloom.llm.hard_negatives import hard_negatives
 from pointloom.llm.language import languages
 from pointloom.llm.mixing import mix_digest
 from pointloom.llm.near_dedup import near_groups
@@ -23,6 +26,12 @@ def token_store(spark, d):
     return digest(read_tokens(spark, path))
 
 
+def mined(spark, d):
+    vectors = table(spark, d, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_mixing": lambda spark, d: mix_digest(table(spark, d, "documents")),
     "op2_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
@@ -34,6 +43,7 @@ QUERIES = {
     "op8_embedding_near_dedup": lambda spark, d: embedding_groups(table(spark, d, "embeddings")),
     "op9_token_store": token_store,
     "op10_exact_dedup": lambda spark, d: exact_groups(table(spark, d, "documents")),
+    "op11_hard_negatives": mined,
     "op12_filter_audit": lambda spark, d: audit(table(spark, d, "documents"), table(spark, d, "labels")),
     "op13_language_id": lambda spark, d: languages(table(spark, d, "documents")),
 }
@@ -121,6 +131,22 @@ links as (select a.vec_id a, b.vec_id b from good a join good b on a.vec_id <> b
 reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a)
 select v.vec_id, (select count(*) from links where a = v.vec_id) n_links, min(r.b) component_id, min(r.b) = v.vec_id kept
 from v join reach r on r.a = v.vec_id group by v.vec_id
+""",
+    "op11_hard_negatives": r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) q
+  from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding) and coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)),
+scored as (
+  select a.vec_id anchor_id, a.label = c.label same, c.vec_id id, coalesce(list_inner_product(a.q, c.q), 0)::bigint score
+  from v a join v c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id),
+positives as (
+  select anchor_id, id positive_id, score positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, id))::int "rank", id negative_id, positive_score, score negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 3
 """,
     "op12_filter_audit": r"""
 with recursive base as (
