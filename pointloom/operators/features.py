@@ -53,19 +53,19 @@ def feature(cloud: DataFrame, name: str, k: int = 16, radius: float = 0.1, cell:
     """(gid, value): of the k nearest and the point itself, found within 16 cells; null where fewer than 4 are."""
     if name == "neighbours":
         return radius_join(cloud, radius).groupBy("gid").agg((F.count("*") - 1).cast("double").alias("value"))
-    shape = with_eigen(covariance(nearest(cloud, k + 1, cell, reach=16 * cell)))
+    shape = with_eigen(covariance(nearest(cloud, k + 1, reach=16 * cell)))
     return shape.select("gid", F.when(F.col("m") >= 4, _formula(name)).alias("value"))
 
 
 def features(cloud: DataFrame, names=FEATURES[:-1], k: int = 16, cell: float = 0.1) -> DataFrame:
     """Several features from one neighbour search."""
-    shape = with_eigen(covariance(nearest(cloud, k + 1, cell, reach=16 * cell)))
+    shape = with_eigen(covariance(nearest(cloud, k + 1, reach=16 * cell)))
     return shape.select("gid", *[F.when(F.col("m") >= 4, _formula(n)).alias(n) for n in names])
 
 
 def normals(cloud: DataFrame, k: int = 16, cell: float = 0.1) -> DataFrame:
     """(gid, nx, ny, nz): the direction of least spread of the k nearest and the point; null below 3."""
-    shape = with_eigen(covariance(nearest(cloud, k + 1, cell, reach=16 * cell)))
+    shape = with_eigen(covariance(nearest(cloud, k + 1, reach=16 * cell)))
     return shape.select("gid", *[F.when(F.col("m") >= 3, F.col(f"v{c}")).alias(f"n{c}") for c in "xyz"])
 
 
@@ -82,27 +82,27 @@ def invert_normals(cloud: DataFrame) -> DataFrame:
     return cloud.withColumns({f"n{c}": -F.col(f"n{c}") for c in "xyz"})
 
 
-def mean_distances(cloud: DataFrame, knn: int, cell: float) -> DataFrame:
+def mean_distances(cloud: DataFrame, knn: int, cell: float | None = None) -> DataFrame:
     """(gid, mean): mean distance to the knn - 1 nearest others; 0 where there are none."""
-    near = nearest(cloud, knn, cell)
+    near = nearest(cloud, knn)
     return near.groupBy("gid").agg(F.coalesce(F.sum(F.sqrt("d2")) / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(0.0)).alias("mean"))
 
 
-def sor(cloud: DataFrame, knn: int = 8, sigmas: float = 1.0, cell: float = 0.1) -> DataFrame:
+def sor(cloud: DataFrame, knn: int = 8, sigmas: float = 1.0, cell: float | None = None) -> DataFrame:
     """(gid, mean, keep): statistical outlier removal; points farther from their neighbours than the mean and ``sigmas`` spreads go."""
-    means = mean_distances(cloud, knn, cell)
+    means = mean_distances(cloud, knn)
     whole = means.agg(F.avg("mean").alias("mu"), F.avg(F.col("mean") * F.col("mean")).alias("sq"), F.count("*").alias("n"))  # one row
     limit = F.col("mu") + F.sqrt(F.abs(F.col("sq") - F.col("mu") * F.col("mu"))) * sigmas
     keep = (F.col("n") <= knn) | (F.col("mean") <= limit)
     return means.crossJoin(F.broadcast(whole)).select("gid", "mean", keep.cast("int").alias("keep"))
 
 
-def noise(cloud: DataFrame, sigmas: float = 1.0, radius: float | None = 0.15, knn: int = 8, absolute: float | None = None, drop_isolated: bool = False, cell: float = 0.1) -> DataFrame:
+def noise(cloud: DataFrame, sigmas: float = 1.0, radius: float | None = 0.15, knn: int = 8, absolute: float | None = None, drop_isolated: bool = False, cell: float | None = None) -> DataFrame:
     """(gid, keep): a plane through a point's neighbours, itself left out; it stays if near that plane.
 
     ``radius`` None searches the ``knn`` nearest. Near is within ``absolute``, or within ``sigmas`` spreads of the
     neighbours about the plane, which is the root of the least eigenvalue. Up to three found, itself counted: isolated."""
-    hits = radius_join(cloud, radius) if radius is not None else nearest(cloud, knn, cell)
+    hits = radius_join(cloud, radius) if radius is not None else nearest(cloud, knn)
     found = hits.groupBy("gid").agg(F.count("*").alias("found"))
     shape = with_eigen(covariance(hits.where("gid <> nb")))
     away = F.abs(F.col("mx") * F.col("vx") + F.col("my") * F.col("vy") + F.col("mz") * F.col("vz"))

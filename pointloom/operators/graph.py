@@ -53,7 +53,7 @@ def orient(cloud: DataFrame, k: int = 8, cell: float = 0.1, viewpoint: tuple[flo
 
     Signs spread level by level from each component's least gid; a point takes the sign of its least neighbour settled
     in the level before. Each component then turns as a whole by a vote of its points."""
-    near = nearest(cloud.where("nx is not null"), k + 1, cell).where("gid <> nb").select("gid", "nb")
+    near = nearest(cloud.where("nx is not null"), k + 1).where("gid <> nb").select("gid", "nb")
     edges = cut(near.unionAll(near.select(F.col("nb").alias("gid"), F.col("gid").alias("nb"))).distinct())
     n = cloud.select("gid", "nx", "ny", "nz")
     agree = edges.join(n, "gid").join(n.select(F.col("gid").alias("nb"), *[F.col(f"n{c}").alias(f"_{c}") for c in "xyz"]), "nb")

@@ -1,78 +1,90 @@
-"""Neighbour joins. Points meet in cells as wide as the search radius: one side is sent to the 27 cells around it,
-the other stands in its own, and an equi-join on three cell numbers is all Spark needs to shuffle by."""
+"""Neighbour searches over balanced tiles (``tiles``): within a radius, the nearest, the nearest of another cloud, the
+nearest triangle. Coordinates that are null or not finite are near nothing."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.columns import cell
-from pointloom.plans.lineage import cut
+from pointloom.operators.tiles import HIT, Buckets, Tiled, Triangles, gathered, hits
 
-_AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
+def radius_join(points: DataFrame, radius: float, reference: DataFrame | None = None, smaller: bool = False) -> DataFrame:
+    """(gid, nb, d2, dx, dy, dz) of all pairs within ``radius``, a point itself included; offsets are neighbour less point.
 
-def radius_join(points: DataFrame, radius: float, reference: DataFrame | None = None) -> DataFrame:
-    """(gid, nb, d2, dx, dy, dz) of all pairs within ``radius``, a point itself included; offsets are neighbour less point."""
-    other = (reference if reference is not None else points).select(F.col("gid").alias("nb"), *[F.col(c).alias(f"_{c}") for c in "xyz"], *[cell(F.col(c), radius).alias(f"_c{c}") for c in "xyz"])
-    steps = F.explode(F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for c, s in zip("xyz", step, strict=True)]) for step in _AROUND]))
-    asking = points.select("gid", "x", "y", "z", steps.alias("_s")).select("gid", "x", "y", "z", *[(cell(F.col(c), radius) + F.col(f"_s.{c}")).alias(f"_c{c}") for c in "xyz"])
-    pairs = asking.join(other, ["_cx", "_cy", "_cz"])
-    d = [F.col(f"_{c}") - F.col(c) for c in "xyz"]
-    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    return pairs.where(d2 <= radius * radius).select("gid", "nb", d2.alias("d2"), *[v.alias(f"d{c}") for c, v in zip("xyz", d, strict=True)])
+    A point asks every tile whose box stands within the radius, so what moves is the cloud once and points near the edges
+    of tiles again. ``smaller``: only pairs whose ``nb`` is less than ``gid``."""
+    tiled = Tiled(reference if reference is not None else points)
+    r2 = radius * radius
+
+    def answer(tile: int, cloud: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row, other, d2 in gathered(cloud.within(at, np.full(len(at), r2))):
+            if smaller:
+                some = cloud.gid[other] < gid[row]
+                row, other, d2 = row[some], other[some], d2[some]
+            yield pa.RecordBatch.from_arrays([pa.array(gid[row]), *hits(cloud, at, row, other, d2)], names=["gid", "d2", "nb", "dx", "dy", "dz"])
 
+    alone = reference is None and not tiled.plan.depth
+    found = tiled.search(None if alone else tiled.asked_within(points, radius), answer, f"gid long, {HIT}")
+    return found.select("gid", "nb", "d2", "dx", "dy", "dz")
 
-def _extent(*clouds: DataFrame) -> float:
-    ends = [c.agg(*[f(a).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.min, 0), (F.max, 1))]).first() for c in clouds]
-    spans = [max(e[f"{a}1"] for e in ends if e[f"{a}1"] is not None) - min(e[f"{a}0"] for e in ends if e[f"{a}0"] is not None) for a in "xyz" if any(e[f"{a}1"] is not None for e in ends)]
-    return math.sqrt(sum(s * s for s in spans)) if spans else 0.0
 
+def neighbourhoods(points: DataFrame, m: int, reference: DataFrame | None = None, reach: float | None = None) -> DataFrame:
+    """(gid, near): the ``m`` nearest as an array of (d2, nb, dx, dy, dz), from near to far, ties by id, a point itself
+    included; empty where ``reach`` holds none. Exact for outliers and whatever the reach.
 
-#: Points that the fullest cell may hold, for each neighbour sought, before the first radius is narrowed.
-CROWD = 64
+    The tile that a point falls into answers first. That bounds how far the point looks, and only tiles within the bound
+    are asked as well: those beside it, for a point near its tile's edge."""
+    tiled = Tiled(reference if reference is not None else points)
+    most, plan = (np.inf if reach is None else reach * reach), tiled.plan
 
+    def listed(cloud: Buckets, at: np.ndarray, u2: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The nearest of each place as lists, and the squared distance of the last where all ``m`` are there."""
+        parts = list(gathered(cloud.nearest(at, m, u2), 1 << 62)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        row, other, d2 = parts[0]
+        by = np.argsort(row, kind="stable")
+        row, other, d2 = row[by], other[by], d2[by]
+        counts = np.bincount(row, minlength=len(at))
+        last, full = np.full(len(at), np.inf), counts == m
+        last[full] = d2[np.cumsum(counts)[full] - 1]
+        each = pa.StructArray.from_arrays(hits(cloud, at, row, other, d2), names=["d2", "nb", "dx", "dy", "dz"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), each), last
 
-def _first_radius(points: DataFrame, m: int, radius: float) -> float:
-    """``radius``, or less where a cell of it is crowded: pairs there would grow with the square of its points.
+    def first(cloud: Buckets, gid: np.ndarray, at: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+        lists, last = listed(cloud, at, np.full(len(at), most))
+        bound = np.minimum(last, most)
+        open_ = np.flatnonzero(np.isinf(bound))  # fewer than m at home: what boxes and their numbers say
+        if plan.depth and len(open_):
+            bound[open_] = plan.upper(at[open_], m)
+        return [lists], bound
 
-    Any first radius gives the same answer, as points that find too few look farther."""
-    full = points.groupBy(*[cell(F.col(c), radius) for c in "xyz"]).count().agg(F.max("count")).first()[0] or 0
-    return radius if full <= CROWD * m else radius * (CROWD * m / full) ** (1 / 3)
+    def second(cloud: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> list[pa.Array]:
+        return [listed(cloud, at, u2)[0]]
 
+    home, beyond = tiled.bounded(None if reference is None else points, first, second, f"near array<struct<{HIT}>>")
+    if beyond is None:
+        return home.select("gid", "near")
+    # As many lists as a point has asked tiles, each of at most m.
+    edge = home.where("faces > 0").select("gid", "near").unionAll(beyond)
+    merged = edge.groupBy("gid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, m).alias("near"))
+    return home.where("faces = 0").select("gid", "near").unionAll(merged)
 
-def nearest(points: DataFrame, m: int, radius: float, reference: DataFrame | None = None, reach: float | None = None) -> DataFrame:
-    """(gid, nb, d2, dx, dy, dz, rank) of the ``m`` nearest, ties by id, a point itself included.
 
-    Points with m neighbours inside the radius are done; the rest, and only they, look twice as far. ``reach`` ends
-    the search there; without it, it goes on to the width of the cloud, so the answer is exact."""
-    end = reach if reach is not None else max(_extent(points, reference) if reference is not None else _extent(points), radius)
-    rank = F.row_number().over(Window.partitionBy("gid").orderBy("d2", "nb"))
-    size, asking, found = _first_radius(reference if reference is not None else points, m, radius), points, None
-    while True:
-        last = size >= end
-        size = min(size, end) if reach is not None else size
-        hits = radius_join(asking, size, reference if reference is not None else points)
-        top = cut(hits.withColumn("rank", rank).where(F.col("rank") <= m))
-        if last:
-            done = top
-        else:
-            full = top.where(F.col("rank") == m).select("gid")
-            done = top.join(full, "gid", "left_semi")
-            asking = cut(asking.join(full, "gid", "left_anti"))
-        found = done if found is None else found.unionAll(done)
-        if last or asking.isEmpty():
-            return found
-        size *= 2
+def nearest(points: DataFrame, m: int, radius: float | None = None, reference: DataFrame | None = None, reach: float | None = None) -> DataFrame:
+    """(gid, nb, d2, dx, dy, dz, rank) of the ``m`` nearest, ties by id, a point itself included, within ``reach`` if given.
+
+    ``radius``, a guess of how far neighbours are, may be given and changes nothing: tiles bound the search."""
+    each = neighbourhoods(points, m, reference, reach).select("gid", F.posexplode("near").alias("rank", "h"))
+    return each.select("gid", "h.nb", "h.d2", "h.dx", "h.dy", "h.dz", (F.col("rank") + 1).alias("rank"))
 
 
 def nearest_one(points: DataFrame, reference: DataFrame, reach: float) -> DataFrame:
     """(gid, nb, d2, dx, dy, dz): the nearest within ``reach``, nulls where there is none; ties go to the least id."""
-    hits = radius_join(points, reach, reference)
-    best = hits.groupBy("gid").agg(F.min(F.struct("d2", "nb", "dx", "dy", "dz")).alias("b")).select("gid", "b.*")
-    return points.select("gid").join(best, "gid", "left")
+    return points.select("gid").join(nearest(points, 1, None, reference, reach).drop("rank"), "gid", "left")
 
 
 def distance_to(points: DataFrame, reference: DataFrame, reach: float, signed: bool = False) -> DataFrame:
@@ -86,41 +98,26 @@ def distance_to(points: DataFrame, reference: DataFrame, reach: float, signed: b
     return near.select("gid", d.alias("d"))
 
 
-def _triangle_distance(rows: DataFrame) -> DataFrame:
-    """Adds d2 and side for (x, y, z) and corners (ax to cz), term by term: written as one expression it outgrows a method."""
-    three = lambda name: [F.col(f"_{name}{c}") for c in "xyz"]
-    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
-    rows = rows.withColumns({f"_{n}{c}": F.col(f"{e}{c}") - F.col(f"{s}{c}") for n, e, s in (("u", "b", "a"), ("v", "c", "a"), ("w", "c", "b"), ("p", "", "a"), ("q", "", "b")) for c in "xyz"})
-    u, v, w, p, q = map(three, "uvwpq")
-    rows = rows.withColumns({f"_n{c}": u[(k + 1) % 3] * v[(k + 2) % 3] - u[(k + 2) % 3] * v[(k + 1) % 3] for k, c in enumerate("xyz")})
-    pairs = {"uu": (u, u), "vv": (v, v), "uv": (u, v), "ww": (w, w), "pu": (p, u), "pv": (p, v), "qw": (q, w), "nn": (three("n"), three("n")), "pn": (p, three("n"))}
-    rows = rows.withColumns({f"_{k}": dot(*of) for k, of in pairs.items()})
-    share = lambda n, of: F.least(F.greatest(F.coalesce(F.col(n) / F.nullif(F.col(of), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    whole = F.nullif(F.col("_nn"), F.lit(0.0))
-    rows = rows.withColumns({
-        "_s": (F.col("_vv") * F.col("_pu") - F.col("_uv") * F.col("_pv")) / whole, "_t": (F.col("_uu") * F.col("_pv") - F.col("_uv") * F.col("_pu")) / whole,
-        "_a": share("_pu", "_uu"), "_b": share("_pv", "_vv"), "_c": share("_qw", "_ww"),
-    })
-    away = lambda p, d, t: dot(*[[p[k] - d[k] * F.col(t) for k in range(3)]] * 2)
-    rows = rows.withColumns({"_e1": away(p, u, "_a"), "_e2": away(p, v, "_b"), "_e3": away(q, w, "_c")})
-    inside = (F.col("_s") >= 0) & (F.col("_t") >= 0) & (F.col("_s") + F.col("_t") <= 1)
-    d2 = F.when(inside, F.col("_pn") * F.col("_pn") / whole).otherwise(F.least("_e1", "_e2", "_e3"))
-    return rows.withColumns({"d2": d2, "side": F.signum("_pn")})
-
-
 def mesh_distance(points: DataFrame, vertices: DataFrame, triangles: DataFrame, reach: float, signed: bool = False) -> DataFrame:
-    """(gid, d): distance to the nearest triangle within ``reach``; null beyond. A triangle stands in every cell its box meets."""
-    corners = triangles.select("tid", "a", "b", "c")
+    """(gid, d): distance to the nearest triangle within ``reach``; null beyond, ties to the least tid. The nearest of the tile
+    that a point falls into bounds how far it looks; ``signed`` takes the side of the triangle's plane."""
+    corners = triangles.select(F.col("tid").alias("gid"), "a", "b", "c")
     for k in "abc":
         corners = corners.join(vertices.select(F.col("vid").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"]), k)
-    span = [F.sequence(cell(F.least(*[F.col(f"{k}{c}") for k in "abc"]) - reach, reach), cell(F.greatest(*[F.col(f"{k}{c}") for k in "abc"]) + reach, reach)) for c in "xyz"]
-    for c, s in zip("xyz", span, strict=True):
-        corners = corners.withColumn(f"_c{c}", F.explode(s))
-    asking = points.select("gid", "x", "y", "z", *[cell(F.col(c), reach).alias(f"_c{c}") for c in "xyz"])
-    met = _triangle_distance(asking.join(corners, ["_cx", "_cy", "_cz"])).select("gid", "tid", "d2", "side")
-    best = met.groupBy("gid").agg(F.min(F.struct("d2", "tid", "side")).alias("b"))
-    # Only the least is held against the reach: a filter before it would be pushed down with all terms written out.
-    best = best.where(F.col("b.d2") <= reach * reach)
+    tiled = Tiled(corners, tuple(f"{k}{c}" for k in "abc" for c in "xyz"))
+    r2 = reach * reach
+
+    def first(mesh: Triangles, gid: np.ndarray, at: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+        found = mesh.nearest(at, np.full(len(at), r2))
+        return [pa.array(x) for x in found], np.minimum(found[0], r2)
+
+    def second(mesh: Triangles, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x) for x in mesh.nearest(at, u2)]
+
+    home, beyond = tiled.bounded(points, first, second, "d2 double; tid long; side double")
+    each = home.select("gid", "d2", "tid", "side")
+    each = (each if beyond is None else each.unionAll(beyond)).where("d2 < double('infinity')")
+    best = each.groupBy("gid").agg(F.min(F.struct("d2", "tid", "side")).alias("b"))
     d = F.sqrt("b.d2") * (F.when(F.col("b.side") < 0, -1.0).otherwise(1.0) if signed else F.lit(1.0))
     return points.select("gid").join(best.select("gid", d.alias("d")), "gid", "left")
 
@@ -129,7 +126,7 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     """(gid, sid): the nearest station. Stations are few; they are broadcast after a check of their number."""
     n = stations.count()
     if n > 100_000:
-        near = nearest(points, 1, _extent(points, stations) / max(1.0, n ** (1 / 3)), stations.withColumnRenamed("sid", "gid"))
+        near = nearest(points, 1, None, stations.withColumnRenamed("sid", "gid"))
         return near.select("gid", F.col("nb").alias("sid"))
     s = stations.select("sid", *[F.col(c).alias(f"_{c}") for c in "xyz"])
     d = [F.col(f"_{c}") - F.col(c) for c in "xyz"]
