@@ -67,7 +67,11 @@ def budget(leaves: DataFrame, points: int) -> DataFrame:
     return leaves.withColumn("_before", before).select("leaf", F.greatest(F.least("n", F.lit(points) - F.col("_before")), F.lit(0)).alias("take"))
 
 
-def allocate(leaves: DataFrame, points: int, density: float, floor: float = 0.12) -> DataFrame:
+#: Fixed value: the share of its wish that a leaf keeps when room is short.
+KEPT = 0.12
+
+
+def allocate(leaves: DataFrame, points: int, density: float, floor: float = KEPT) -> DataFrame:
     """(leaf, take): what to draw of leaves (leaf, n, dist, pixels), where pixels is a leaf's radius on the screen.
 
     A leaf wants ``density`` points for each pixel of its disc, at most all it has. Room left over is shared out in

@@ -141,7 +141,11 @@ def sample(vertices: DataFrame, triangles: DataFrame, count: int, seed: int = 1)
     for k in "abc":
         corner = corner.join(vertices.select(F.col("vid").alias(k), F.struct("x", "y", "z", *carried).alias(f"_{k}")), k)
     root, t = F.sqrt(chance("r")), chance("t")
-    mixed = lambda c: F.col(f"_a.{c}") * (F.lit(1.0) - root) + F.col(f"_b.{c}") * (root * (F.lit(1.0) - t)) + F.col(f"_c.{c}") * (root * t)
+    def mixed(name: str) -> Column:
+        a, b, c = (F.col(f"_{k}.{name}") for k in "abc")
+        inside = a + root * ((b - a) * (F.lit(1.0) - t) + (c - a) * t)
+        return F.least(F.greatest(inside, F.least(a, b, c)), F.greatest(a, b, c))  # rounding never leaves the triangle's box
+
     out = corner.select("gid", *[mixed(c).alias(c) for c in ("x", "y", "z", *carried)])
     if "nx" in carried:
         length = F.nullif(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")), F.lit(0.0))
@@ -238,13 +242,14 @@ def build_surface(cloud: DataFrame, voxel: float = 0.06, smoothing: int = 2, lea
     return smooth(vertices, triangles, smoothing, pin=False) if smoothing else vertices, triangles
 
 
+#: Fixed value: the share of boundary edges to triangles from which a surface is too open to measure.
+OPEN = 0.2
+
+
 def recommended_source(measured: dict | None, from_normals: bool) -> dict:
-    """Whether to measure the points or the surface, and why: a surface must come from normals and be nearly closed."""
-    if not measured:
-        return {"source": "points", "reason": "there is no surface"}
-    ratio = measured["boundary_edges"] / measured["triangles"] if measured["triangles"] else 1.0
-    if not from_normals:
-        return {"source": "points", "reason": "the surface is one of density, rounder than what was scanned", "holeRatio": ratio}
-    if ratio >= 0.2:
-        return {"source": "points", "reason": "the surface is too open to measure", "holeRatio": ratio}
-    return {"source": "mesh", "reason": "the surface has normals and is nearly closed", "holeRatio": ratio}
+    """(source, reason, holeRatio): ``mesh`` where no rule of the table speaks against it, else ``points`` and the first that does."""
+    found = measured or {}
+    ratio = found.get("boundary_edges", 0) / found["triangles"] if found.get("triangles") else 1.0
+    rules = {"no_surface": not found, "no_normals": not from_normals, "open": ratio >= OPEN}
+    against = [code for code, holds in rules.items() if holds]
+    return {"source": "points" if against else "mesh", "reason": against[0] if against else "closed", "holeRatio": ratio if found else None}
