@@ -1,78 +1,239 @@
-"""Operators on the neighbour graph: greedy duplicates, connected components, orientation of normals."""
+"""Operators on the neighbour graph: greedy duplicates, connected components, orientation of normals.
+
+Each settles first, in every tile, what the tile alone decides; Spark's rounds then run over what crosses from tile to
+tile, which is little."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.neighbours import nearest, radius_join
+from pointloom.operators.neighbours import neighbourhoods
+from pointloom.operators.tiles import Buckets, Tiled, gathered
 from pointloom.plans import stars
 from pointloom.plans.lineage import cut, discard
 
 
+def _by_tile(rows: DataFrame, tile: str, settle: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs ``settle`` over all rows of each tile, which a task holds at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            own = batch.column(tile).to_numpy()
+            turns = np.flatnonzero(np.diff(own)) + 1
+            for a, b in zip([0, *turns], [*turns, len(own)], strict=True):
+                if a == b:
+                    continue
+                if own[a] != key:
+                    if held:
+                        yield from settle(pa.Table.from_batches(held))
+                    key, held = own[a], []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    return rows.repartition(tile).sortWithinPartitions(tile).mapInArrow(run, schema)
+
+
 def duplicates(cloud: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """(gid, keep): in order of gid a point that stays removes later ones within ``tolerance``; removed ones remove nothing.
 
-    That is the first independent set in gid order. Each round settles every point whose smaller neighbours are
-    settled: it stays if none of them stays."""
-    edges = cut(radius_join(cloud, tolerance).where("nb < gid").select("gid", "nb"))
-    keep = cut(edges.select(F.col("nb").alias("gid")).distinct().join(edges.select("gid").distinct(), "gid", "left_anti"))
-    gone, open_ = None, edges
+    That is the first independent set in gid order. Of points at the very same place only the first can stay, so one of
+    each goes on. A tile walks its points in order and settles all that no open point of another tile can change; what is
+    left waits for the next round, so rounds follow chains of tiles. Points without a place stay."""
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
+    first = cut(cloud.where(finite).groupBy("x", "y", "z").agg(F.min("gid").alias("gid")).select("gid", "x", "y", "z"))
+    tiled = Tiled(first)
+    r2 = tolerance * tolerance
+
+    def pairs(tile: int, tile_cloud: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row, other, _ in gathered(tile_cloud.within(at, np.full(len(at), r2))):
+            some = tile_cloud.gid[other] != gid[row]
+            yield pa.RecordBatch.from_arrays([pa.array(gid[row[some]]), pa.array(tile_cloud.gid[other[some]]), pa.array(np.full(some.sum(), tile))], names=["gid", "nb", "there"])
+
+    if tiled.plan.depth:
+        homes = tiled.dealt.select("gid", F.col("tile").alias("home"))
+        found = tiled.search(tiled.asked_within(first, tolerance), pairs, "gid long, nb long, there long").where("nb < gid")
+        edges = found.join(homes, "gid")
+    else:
+        edges = tiled.search(None, pairs, "gid long, nb long, there long").where("nb < gid").withColumn("home", F.col("there"))
+    # known: what is settled of a neighbour in another tile, null while it is open
+    edges = cut(edges.select("gid", "nb", "home", (F.col("home") == F.col("there")).alias("inside"), F.lit(None).cast("boolean").alias("known")))
+    gone, rounds = None, 0
     while True:
-        removed = open_.join(keep.select(F.col("gid").alias("nb")), "nb", "left_semi").select("gid").distinct()
-        removed = cut(removed)
+        rounds += 1
+        result = cut(_by_tile(edges, "home", _settle, "gid long, nb long, home long, inside boolean, kept boolean"))
+        settled = result.where("nb is null").select("gid", "kept")
+        removed = settled.where("not kept").select("gid")
         gone = removed if gone is None else gone.unionAll(removed)
-        left = open_.join(removed, "gid", "left_anti")
-        left = cut(left.join(removed.select(F.col("gid").alias("nb")), "nb", "left_anti").select("gid", "nb"))
-        if open_.isEmpty():
-            break
-        settled = open_.select("gid").distinct().join(removed, "gid", "left_anti").join(left.select("gid").distinct(), "gid", "left_anti")
-        free = left.select(F.col("nb").alias("gid")).distinct().join(left.select("gid").distinct(), "gid", "left_anti")
-        keep, open_ = cut(settled.unionAll(free).distinct()), left
+        left = result.where("nb is not null")
         if left.isEmpty():
             break
-    return cloud.select("gid").join(gone.distinct().withColumn("_gone", F.lit(1)), "gid", "left").select("gid", F.coalesce(1 - F.col("_gone"), F.lit(1)).alias("keep"))
+        told = settled.withColumnsRenamed({"gid": "nb", "kept": "told"})
+        more = left.select("gid", "nb", "home", "inside").join(told, "nb", "left")
+        if rounds == 1:  # a neighbour without a smaller one has no edge of its own, and stays
+            more = more.join(result.select(F.col("gid").alias("nb"), F.lit(True).alias("has")).distinct(), "nb", "left").withColumn("told", F.coalesce("told", F.when(F.col("has").isNull(), True)))
+        after = cut(more.select("gid", "nb", "home", "inside", F.col("told").alias("known")))
+        discard(edges)
+        edges = after
+    rest = first.join(gone, "gid", "left_anti").select("gid")
+    keep = rest.unionAll(cloud.where(f"not coalesce({finite}, false)").select("gid")).withColumn("_keep", F.lit(1))
+    return cloud.select("gid").join(keep, "gid", "left").select("gid", F.coalesce("_keep", F.lit(0)).alias("keep"))
 
 
-def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, root): the least gid reachable over ``edges`` (gid, nb), both ways; a point without edges is its own root."""
-    named = cut(stars.components(edges.select(F.col("gid").alias("a"), F.col("nb").alias("b"))))
-    return nodes.select("gid").join(named.withColumnRenamed("node", "gid"), "gid", "left").select("gid", F.coalesce("component", "gid").alias("root"))
+def _settle(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows with nb null: points settled and whether they are kept. Other rows: edges of open points, without neighbours known to be gone."""
+    gid, nb, home, inside = (edges.column(c).to_numpy() for c in ("gid", "nb", "home", "inside"))
+    known = edges.column("known").to_pylist()
+    order = np.lexsort((nb, gid))
+    own = set(gid.tolist())
+    state: dict[int, bool | None] = {}
+    alive = np.ones(len(gid), bool)
+    names, others, within = gid.tolist(), nb.tolist(), inside.tolist()
+    at = 0
+    order = order.tolist()
+    while at < len(order):
+        point, to, kept, open_ = names[order[at]], at, True, False
+        while to < len(order) and names[order[to]] == point:
+            k = order[to]
+            to += 1
+            # inside the tile a neighbour without edges of its own has no smaller neighbour and stays
+            s = known[k] if not within[k] else (state[others[k]] if others[k] in own else (known[k] is not False))
+            if s is True:
+                kept = False
+            elif s is None:
+                open_ = True
+            else:
+                alive[k] = False
+        state[point] = False if not kept else None if open_ else True
+        at = to
+    done = np.array([state[g] is not None for g in names], bool) if names else np.zeros(0, bool)
+    settled = sorted(g for g, s in state.items() if s is not None)
+    if settled:
+        empty = pa.nulls(len(settled), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(settled, pa.int64()), empty, empty, pa.nulls(len(settled), pa.bool_()), pa.array([state[g] for g in settled])], names=["gid", "nb", "home", "inside", "kept"])
+    left = ~done & alive
+    if left.any():
+        yield pa.RecordBatch.from_arrays([pa.array(gid[left]), pa.array(nb[left]), pa.array(home[left]), pa.array(inside[left]), pa.nulls(int(left.sum()), pa.bool_())], names=["gid", "nb", "home", "inside", "kept"])
+
+
+def united(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least of 0 .. n - 1 that each is tied to by the pairs (i, j) and by ``root`` so far."""
+    root = np.arange(n) if root is None else root
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def least_reachable(cloud: DataFrame, radius: float) -> DataFrame:
+    """(gid, root): the least gid reachable by steps of at most ``radius``. Tiles unite their own points; only pairs across
+    the edges of tiles, by the roots they have there, go on to Spark's rounds."""
+    tiled = Tiled(cloud)
+    r2 = radius * radius
+
+    def unite(tile: int, points: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(points.gid, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        root = np.arange(len(by))
+        for row, other, _ in gathered(points.within(points.at, np.full(len(by), r2)), 1 << 20):
+            root = united(len(by), place[row], place[other], root)
+        yield pa.RecordBatch.from_arrays([pa.array(points.gid[by]), pa.array(points.gid[by][root])], names=["gid", "root"])
+
+    def across(tile: int, points: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row, other, _ in gathered(points.within(at, np.full(len(at), r2))):
+            some = gid[row] > points.gid[other]
+            yield pa.RecordBatch.from_arrays([pa.array(gid[row[some]]), pa.array(points.gid[other[some]])], names=["a", "b"])
+
+    local = tiled.search(None, unite, "gid long, root long")
+    if tiled.plan.depth:
+        local = cut(local)
+        asked = tiled.asked_within(cloud, radius).join(tiled.dealt.select("gid", F.col("tile").alias("home")), "gid").where("tile <> home")
+        met = tiled.search(asked.select("tile", "gid", "x", "y", "z"), across, "a long, b long")
+        ends = met.join(local.withColumnsRenamed({"gid": "a", "root": "u"}), "a").join(local.withColumnsRenamed({"gid": "b", "root": "v"}), "b")
+        named = cut(stars.components(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()))
+        local = local.join(named.withColumnRenamed("node", "root"), "root", "left").select("gid", F.coalesce("component", "root").alias("root"))
+    return cloud.select("gid").join(local, "gid", "left").select("gid", F.coalesce("root", "gid").alias("root"))
 
 
 def components(cloud: DataFrame, radius: float = 0.1, least: int = 16) -> DataFrame:
     """(gid, label): connected within ``radius``; labels by size, ties by least gid; null below ``least`` points."""
-    roots = least_reachable(cloud, radius_join(cloud, radius).where("nb < gid"))
+    roots = cut(least_reachable(cloud, radius))
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ranked = sizes.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n"), "root")) - 1)  # a row for each component kept
     return roots.join(ranked.select("root", "label"), "root", "left").select("gid", "label")
 
 
-def orient(cloud: DataFrame, k: int = 8, cell: float = 0.1, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
-    """The cloud with normals that agree along the neighbour graph: out from each component's middle, or toward ``viewpoint``.
+def _signs(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(gid, root, sign) within one tile: edges join the strongest agreement first, as a spanning tree grows by weight."""
+    gid, nb, weight = (edges.column(c).to_numpy() for c in ("gid", "nb", "weight"))
+    names, ends = np.unique(np.concatenate([gid, nb]), return_inverse=True)
+    i, j = ends[: len(gid)], ends[len(gid) :]
+    order = np.lexsort((np.maximum(i, j), np.minimum(i, j), -np.abs(weight)))
+    up, turn = list(range(len(names))), [1] * len(names)
 
-    Signs spread level by level from each component's least gid; a point takes the sign of its least neighbour settled
-    in the level before. Each component then turns as a whole by a vote of its points."""
-    near = nearest(cloud.where("nx is not null"), k + 1).where("gid <> nb").select("gid", "nb")
-    edges = cut(near.unionAll(near.select(F.col("nb").alias("gid"), F.col("gid").alias("nb"))).distinct())
-    n = cloud.select("gid", "nx", "ny", "nz")
-    agree = edges.join(n, "gid").join(n.select(F.col("gid").alias("nb"), *[F.col(f"n{c}").alias(f"_{c}") for c in "xyz"]), "nb")
-    agree = cut(agree.select("gid", "nb", F.when(F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("nz") * F.col("_z") < 0, -1).otherwise(1).alias("s")))
-    roots = least_reachable(cloud.where("nx is not null"), edges)
-    signs = cut(roots.where("gid = root").select("gid", F.lit(1).alias("sign")))
-    front = cut(signs)
-    while True:
-        step = agree.join(front.select(F.col("gid").alias("nb"), "sign"), "nb").groupBy("gid").agg(F.min(F.struct("nb", (F.col("s") * F.col("sign")).alias("sign"))).alias("b"))
-        ahead = cut(step.select("gid", "b.sign").join(signs, "gid", "left_anti"))
-        if ahead.isEmpty():
-            break
-        more = cut(signs.unionAll(ahead))
-        discard(signs, front)
-        front, signs = ahead, more
-    turned = cloud.join(signs, "gid").join(roots, "gid")
-    middle = turned.groupBy("root").agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"])
-    away = [(F.col(c) - F.col(f"_{c}")) if viewpoint is None else (F.lit(float(p)) - F.col(c)) for c, p in zip("xyz", viewpoint or (0, 0, 0), strict=True)]
-    vote = turned.join(middle, "root").groupBy("root").agg(F.sum(F.col("sign") * (away[0] * F.col("nx") + away[1] * F.col("ny") + away[2] * F.col("nz"))).alias("vote"))
-    final = signs.join(roots, "gid").join(vote, "root").select("gid", (F.col("sign") * F.when(F.col("vote") < 0, -1).otherwise(1)).alias("_sign"))
-    out = cloud.join(final, "gid", "left").withColumn("_sign", F.coalesce("_sign", F.lit(1)))
-    return out.withColumns({f"n{c}": F.col(f"n{c}") * F.col("_sign") for c in "xyz"}).select(cloud.columns)
+    def find(k: int) -> tuple[int, int]:
+        way, sign = [], 1
+        while up[k] != k:
+            way.append(k)
+            k = up[k]
+        for w in reversed(way):
+            sign = turn[w] * sign if up[w] != k else turn[w]
+            up[w], turn[w] = k, sign
+        return k, turn[way[0]] if way else 1
+
+    for a, b, w in zip(i[order].tolist(), j[order].tolist(), weight[order].tolist(), strict=True):
+        (p, s), (q, t) = find(a), find(b)
+        if p != q:
+            low, high = min(p, q), max(p, q)
+            up[high], turn[high] = low, s * t * (-1 if w < 0 else 1)
+    found = [find(k) for k in range(len(names))]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[[f[0] for f in found]]), pa.array([f[1] for f in found], pa.int32())], names=["gid", "root", "sign"])
+
+
+def orient(cloud: DataFrame, k: int = 8, cell: float | None = None, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
+    """The cloud with normals that agree along the graph of ``k`` neighbours: away from the cloud's middle, or toward ``viewpoint``.
+
+    Within a tile signs spread along the strongest agreements. What stands between tiles is summed up for each pair of
+    their parts, and a signed union of the parts gives every part its sign; its rounds grow with the logarithm of how many
+    tiles lie in a row. Then each component as a whole turns by a vote of its points. ``cell`` changes nothing."""
+    with_normal = cloud.where("nx is not null and ny is not null and nz is not null")
+    tiled = Tiled(with_normal)
+    near = neighbourhoods(with_normal, k + 1, tiled=tiled).select("gid", F.explode("near.nb").alias("nb")).where("gid <> nb")
+    side = tiled.dealt.select("gid", "tile").join(with_normal.select("gid", "nx", "ny", "nz"), "gid")
+    there = side.select(F.col("gid").alias("nb"), F.col("tile").alias("there"), *[F.col(f"n{c}").alias(f"_{c}") for c in "xyz"])
+    agree = F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("nz") * F.col("_z")
+    edges = cut(near.join(side, "gid").join(there, "nb").select("gid", "nb", "tile", "there", F.when(agree == 0, F.lit(1e-300)).otherwise(agree).alias("weight")))
+    parts = _by_tile(edges.where("tile = there").select("gid", "nb", "tile", "weight"), "tile", _signs, "gid long, root long, sign int")
+    parts = cut(tiled.dealt.select("gid").join(parts, "gid", "left").select("gid", F.coalesce("root", "gid").alias("root"), F.coalesce("sign", F.lit(1)).alias("sign")))
+    across = edges.where("tile <> there").join(parts.withColumnsRenamed({"root": "a", "sign": "s"}), "gid")
+    across = across.join(parts.select(F.col("gid").alias("nb"), F.col("root").alias("b"), F.col("sign").alias("t")), "nb")
+    links = across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight") * F.col("s") * F.col("t")).alias("weight"))
+    named = cut(stars.signed_components(links.withColumn("weight", F.when(F.col("weight") == 0, F.lit(1e-300)).otherwise(F.col("weight")))))
+    whole = with_normal.agg(*[F.avg(c).alias(f"_{c}") for c in "xyz"])  # one row
+    turned = with_normal.join(parts, "gid").crossJoin(F.broadcast(whole))
+    out = [(F.col(c) - F.col(f"_{c}")) if viewpoint is None else (F.lit(float(p)) - F.col(c)) for c, p in zip("xyz", viewpoint or (0, 0, 0), strict=True)]
+    facing = F.col("sign") * (out[0] * F.col("nx") + out[1] * F.col("ny") + out[2] * F.col("nz"))
+    # A part's points vote before parts meet: for, against, and neither, which counts against either way.
+    count = lambda test: F.sum(test.cast("long"))
+    votes = turned.groupBy("root").agg((count(facing > 0) - count(facing < 0)).alias("lean"), count(facing == 0).alias("flat"))
+    joined = votes.join(named.withColumnRenamed("node", "root"), "root", "left").select("root", F.coalesce("component", "root").alias("component"), F.coalesce("sign", F.lit(1)).alias("turn"), "lean", "flat")
+    verdict = joined.groupBy("component").agg((F.sum(F.col("lean") * F.col("turn")) - F.sum("flat")).alias("vote"))
+    final = joined.join(verdict, "component").select("root", (F.col("turn") * F.when(F.col("vote") < 0, -1).otherwise(1)).alias("_turn"))
+    signs = parts.join(final, "root").select("gid", (F.col("sign") * F.col("_turn")).alias("_sign"))
+    result = cloud.join(signs, "gid", "left").withColumn("_sign", F.coalesce("_sign", F.lit(1)))
+    return result.withColumns({f"n{c}": F.col(f"n{c}") * F.col("_sign") for c in "xyz"}).select(cloud.columns)

@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 from pointloom.operators.tiles import HIT, Buckets, Tiled, Triangles, gathered, hits
 
 
-def radius_join(points: DataFrame, radius: float, reference: DataFrame | None = None, smaller: bool = False) -> DataFrame:
+def radius_join(points: DataFrame, radius: float, reference: DataFrame | None = None) -> DataFrame:
     """(gid, nb, d2, dx, dy, dz) of all pairs within ``radius``, a point itself included; offsets are neighbour less point.
 
     A point asks every tile whose box stands within the radius, so what moves is the cloud once and points near the edges
-    of tiles again. ``smaller``: only pairs whose ``nb`` is less than ``gid``."""
+    of tiles again."""
     tiled = Tiled(reference if reference is not None else points)
     r2 = radius * radius
 
     def answer(tile: int, cloud: Buckets, gid: np.ndarray, at: np.ndarray, u2: np.ndarray) -> Iterator[pa.RecordBatch]:
         for row, other, d2 in gathered(cloud.within(at, np.full(len(at), r2))):
-            if smaller:
-                some = cloud.gid[other] < gid[row]
-                row, other, d2 = row[some], other[some], d2[some]
             yield pa.RecordBatch.from_arrays([pa.array(gid[row]), *hits(cloud, at, row, other, d2)], names=["gid", "d2", "nb", "dx", "dy", "dz"])
 
     alone = reference is None and not tiled.plan.depth
@@ -33,13 +30,13 @@ def radius_join(points: DataFrame, radius: float, reference: DataFrame | None =
     return found.select("gid", "nb", "d2", "dx", "dy", "dz")
 
 
-def neighbourhoods(points: DataFrame, m: int, reference: DataFrame | None = None, reach: float | None = None) -> DataFrame:
+def neighbourhoods(points: DataFrame, m: int, reference: DataFrame | None = None, reach: float | None = None, tiled: Tiled | None = None) -> DataFrame:
     """(gid, near): the ``m`` nearest as an array of (d2, nb, dx, dy, dz), from near to far, ties by id, a point itself
     included; empty where ``reach`` holds none. Exact for outliers and whatever the reach.
 
     The tile that a point falls into answers first. That bounds how far the point looks, and only tiles within the bound
-    are asked as well: those beside it, for a point near its tile's edge."""
-    tiled = Tiled(reference if reference is not None else points)
+    are asked as well: those beside it, for a point near its tile's edge. ``tiled``: the tiles, if they are there already."""
+    tiled = tiled or Tiled(reference if reference is not None else points)
     most, plan = (np.inf if reach is None else reach * reach), tiled.plan
 
     def listed(cloud: Buckets, at: np.ndarray, u2: np.ndarray) -> tuple[pa.Array, np.ndarray]:
