@@ -82,9 +82,12 @@ def in_bitmap(rows: DataFrame, bits: DataFrame, *key: str) -> DataFrame:
 
 
 def drawn(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """At most ``most`` of ``rows``: of each of ``most`` shares of the hashes of ``key`` the row with the least one.
+    """All of ``rows`` while they are at most ``most``; beyond that, of each of ``most`` shares of the hashes of ``key`` the row
+    with the least one. ``rows`` are counted first.
 
     Minima are taken before the shuffle, so no task and no driver ever holds more, however many partitions there are."""
+    if rows.count() <= most:
+        return rows
     at = F.xxhash64(*key, F.lit("drawn"))
     one = rows.groupBy(F.pmod(at, F.lit(most)).alias("_share")).agg(F.min_by(F.struct(*rows.columns), at).alias("_row"))
     return one.select("_row.*")

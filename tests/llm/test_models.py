@@ -1,6 +1,7 @@
 """Toxicity on held-out rows, embeddings against all pairs, the pipeline against its own rules, and the queries' SQL."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -123,6 +124,48 @@ def test_embedding_groups(spark, monkeypatch, leaf):
     assert embedding_groups(df.where("false")).count() == 0
 
 
+def test_embeddings_of_any_size_link_by_their_cosine(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (4, [1e200, 1e200]), (5, [1.0, 1.0]), (6, [5e-324, 0.0]), (7, [2e300, 1e297])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 4: (2, 1), 5: (2, 1), 2: (2, 2), 6: (2, 2), 7: (2, 2), 3: (0, 3)}
+
+
+@pytest.mark.parametrize(("shift", "depth", "most"), [(0.0, 10, 25), (0.7, 10, 35), (0.7, 13, 70)])
+def test_deep_trees_bring_pairs_together_with_few_copies(shift, depth, most):
+    """Pairs of cosine exactly 0.9 among vectors with a common mean: recall, and how often a vector is copied."""
+    rng = np.random.default_rng(1)
+    mean = np.zeros(64)
+    mean[0] = shift
+    x = embedding_dedup.unit_rows(mean + rng.standard_normal((45_000, 64)) / 8)
+    forest = embedding_dedup.Forest(x[5000:], depth)
+    own = x[:2000]
+    away = rng.standard_normal(own.shape)
+    away -= (away * own).sum(axis=1, keepdims=True) * own
+    other = 0.9 * own + math.sqrt(0.19) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    met, copies = np.zeros(len(own), bool), 0
+    for (_, a, i), (_, b, j) in zip(forest.leaves(own), forest.leaves(other), strict=True):
+        met[np.unique(np.intersect1d(a * 2000 + i, b * 2000 + j) % 2000)] = True
+        copies += len(i)
+        assert np.bincount(np.unique(a, return_inverse=True)[1]).max() < 2000 * 8 / 2 ** min(depth, 8)  # leaves stay even
+    assert met.mean() >= 0.985 and copies / len(own) < most
+
+
+def test_pairs_count_once_and_links_span(spark, monkeypatch):
+    """Many vectors all near each other: the links that go on are a forest, and the counts are whole."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 25)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(12)
+    rows = [(k, (base + 0.01 * rng.standard_normal(12)).tolist(), 2) for k in range(160)] + [(900 + k, rng.standard_normal(12).tolist(), 1) for k in range(40)]
+    classes = spark.createDataFrame([(i, v, c) for i, v, c in rows], "id long, embedding array<double>, copies long")
+    counts, links = embedding_dedup.similar_classes(classes, 12, 200)
+    total = {r.id: r.n for r in counts.groupBy("id").agg({"others": "sum"}).withColumnRenamed("sum(others)", "n").collect()}
+    assert all(total[k] <= 2 * 159 for k in range(160)) and sum(total[k] for k in range(160)) >= 0.99 * 160 * 2 * 159
+    assert links.count() < 160 * 60  # of 12 720 pairs in each of several trees
+    named = {r.node: r.component for r in components(links).collect()}
+    assert {named[k] for k in range(160)} == {0}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -239,4 +282,4 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_queries_are_complete():
     from pointloom.llm.queries import ORACLE_SQL, QUERIES
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from pointloom.llm import near_dedup, packing, pii, substring_dedup
 from pointloom.llm.chat import format_chats
-from pointloom.llm.common import bitmap, hot_join, in_bitmap
+from pointloom.llm.common import bitmap, drawn, hot_join, in_bitmap
 from pointloom.llm.exact_dedup import drop_copies, exact_groups
 from pointloom.llm.mixing import mix_digest, mix_documents
 from pointloom.llm.near_dedup import drop_near, near_groups
@@ -356,3 +356,9 @@ def test_chats_collapse(spark):
     assert format_chats(rows.where("false")).count() == 0
     many = spark.range(2500).selectExpr("1L as conv_id", "id as turn", "'u' as role", "cast(id as string) as text")
     assert sorted((r.part, r.n_turns, r.text.count("<|im_end|>")) for r in format_chats(many).collect()) == [(0, 2500, 1024), (1, 2500, 1024), (2, 2500, 452)]
+
+
+def test_drawn_takes_all_up_to_its_bound(spark):
+    rows = spark.range(3000)
+    assert drawn(rows, 3000, "id").count() == 3000 and drawn(rows, 5000, "id").count() == 3000
+    assert 1000 < drawn(rows, 2000, "id").count() <= 2000 and drawn(rows.limit(0), 5, "id").count() == 0
