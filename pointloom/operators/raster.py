@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import cell
 from pointloom.plans.lineage import cut, discard
+from pointloom.plans.stars import components
 
 PLANES = {"x": ("y", "z"), "y": ("x", "z"), "z": ("x", "y")}
 LEAST_CELL, MOST_RINGS, ENOUGH = 0.005, 12, 8
@@ -102,38 +103,86 @@ def contour_segments(table: DataFrame, levels: list[float], midpoints: bool = Fa
     return crossed.select("level", F.explode(found).alias("s")).select("level", "s.*")
 
 
-def stitch(segments: DataFrame) -> DataFrame:
-    """(level, line, points, closed): segments joined end to end, each level's by itself."""
-
-    def join(pdf):
-        import pandas as pd
-
-        ends: dict[tuple, list[int]] = {}
-        rows = [((round(r.x1, 9), round(r.y1, 9)), (round(r.x2, 9), round(r.y2, 9))) for r in pdf.sort_values(["y1", "x1", "y2", "x2"]).itertuples()]
-        rows = [(p, q) for p, q in rows if p != q]  # a level that meets a corner exactly
-        for k, (p, q) in enumerate(rows):
-            ends.setdefault(p, []).append(k)
-            ends.setdefault(q, []).append(k)
-        used, lines = [False] * len(rows), []
-        for k in [*[k for k, (p, q) in enumerate(rows) if len(ends[p]) == 1 or len(ends[q]) == 1], *range(len(rows))]:
-            if used[k]:
-                continue
-            used[k] = True
-            p, q = rows[k]
-            line = [q, p] if len(ends[q]) == 1 else [p, q]
-            while True:
-                following = next((j for j in ends[line[-1]] if not used[j]), None)
-                if following is None:
-                    break
-                used[following] = True
-                s, e = rows[following]
-                line.append(e if s == line[-1] else s)
-            lines.append(line)
-        level = pdf["level"].iloc[0]
-        columns = ["level", "line", "points", "closed"]
-        return pd.DataFrame([{"level": level, "line": n, "points": [{"x": x, "y": y} for x, y in line], "closed": line[0] == line[-1]} for n, line in enumerate(lines)], columns=columns)
-
-    return segments.groupBy("level").applyInPandas(join, "level double, line int, points array<struct<x:double,y:double>>, closed boolean")
+#: Cells along either side of a tile in which one task joins a level's segments.
+STITCHED = 1024
+LINE = "level double, points array<struct<x:double,y:double>>, closed boolean"
+
+
+def _pieces(pdf):
+    """Segments of one level and tile, joined end to end; of lines that cross no tile's edge these are the whole."""
+    import pandas as pd
+
+    ends: dict[tuple, list[int]] = {}
+    rows = [((round(r.x1, 9), round(r.y1, 9)), (round(r.x2, 9), round(r.y2, 9))) for r in pdf.sort_values(["y1", "x1", "y2", "x2"]).itertuples()]
+    rows = [(p, q) for p, q in rows if p != q]  # a level that meets a corner exactly
+    for k, (p, q) in enumerate(rows):
+        ends.setdefault(p, []).append(k)
+        ends.setdefault(q, []).append(k)
+    used, lines = [False] * len(rows), []
+    for k in [*[k for k, (p, q) in enumerate(rows) if len(ends[p]) == 1 or len(ends[q]) == 1], *range(len(rows))]:
+        if used[k]:
+            continue
+        used[k] = True
+        p, q = rows[k]
+        line = [q, p] if len(ends[q]) == 1 else [p, q]
+        while True:
+            following = next((j for j in ends[line[-1]] if not used[j]), None)
+            if following is None:
+                break
+            used[following] = True
+            s, e = rows[following]
+            line.append(e if s == line[-1] else s)
+        lines.append(line)
+    level = pdf["level"].iloc[0]
+    return pd.DataFrame([{"level": level, "points": [{"x": x, "y": y} for x, y in line], "closed": line[0] == line[-1]} for line in lines], columns=["level", "points", "closed"])
+
+
+def stitch(segments: DataFrame, tile: int = STITCHED) -> DataFrame:
+    """(level, line, points, closed): segments joined end to end.
+
+    Tasks join what lies in tiles of ``tile`` cells. Pieces that meet at a tile's edge are tied there, two and two, and each
+    piece finds its rank in its line by doubling: in every round it knows twice as many pieces ahead. So a line may cross
+    any number of tiles, and no task holds more than one tile of a level, or one whole line."""
+    at = [F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / (2.0 * tile)).alias(f"t{c}") for c in "xy"]
+    pieces = segments.select("level", "x1", "y1", "x2", "y2", *at).groupBy("level", "tx", "ty").applyInPandas(_pieces, LINE)
+    pieces = cut(pieces.withColumn("piece", F.monotonically_increasing_id()))
+    open_ = pieces.where("not closed").select("level", "piece", F.element_at("points", 1).alias("p0"), F.element_at("points", -1).alias("p1"))
+    ports = open_.select("level", "piece", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"p{k}").alias("p")) for k in (0, 1)])).alias("e"))
+    # Few ends share a place: as many as segments can meet in one point of a grid.
+    met = ports.groupBy("level", "e.p.x", "e.p.y").agg(F.array_sort(F.collect_list(F.struct("piece", "e.side"))).alias("ends")).where("size(ends) > 1")
+    two = met.select(F.explode(F.sequence(F.lit(1), F.floor(F.size("ends") / 2).cast("int"))).alias("k"), "ends").select(F.element_at("ends", F.col("k") * 2 - 1).alias("a"), F.element_at("ends", F.col("k") * 2).alias("b"))
+    both = two.select("a", "b").unionAll(two.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = cut(both.select(F.col("a.piece").alias("piece"), F.col("a.side").alias("side"), F.col("b.piece").alias("other"), F.col("b.side").alias("at")))
+    if links.isEmpty():
+        return pieces.select("level", F.col("piece").alias("line"), "points", "closed")
+    named = cut(components(links.select(F.col("piece").alias("a"), F.col("other").alias("b"))))
+    # A piece that ends where it began by way of others has no free end anywhere in its line: a ring, cut before its least piece.
+    free = links.groupBy("piece").count().join(named, F.col("piece") == F.col("node")).groupBy("component").agg(F.sum("count").alias("ends"), F.count("*").alias("n"))
+    alone = links.where("piece = other").select(F.col("piece").alias("component")).distinct()  # a ring of one piece
+    rings = free.where("ends = 2 * n").select("component").unionAll(alone).distinct()
+    cut_at = rings.select(F.col("component").alias("piece"), F.lit(0).alias("side"))
+    kept = links.join(cut_at, ["piece", "side"], "left_anti").join(cut_at.withColumnsRenamed({"piece": "other", "side": "at"}), ["other", "at"], "left_anti")
+    # A state is a piece and the side it is left by; what follows is the next piece, left by the side it is not entered by.
+    states = named.select(F.col("node").alias("piece"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    ahead = cut(states.join(kept, ["piece", "side"], "left").select("piece", "side", "other", (1 - F.col("at")).alias("out"), F.when(F.col("other").isNull(), 0).otherwise(1).cast("long").alias("far"), F.coalesce("other", "piece").alias("end"), F.coalesce(1 - F.col("at"), F.col("side")).alias("end_side")))
+    while not ahead.where("other is not null").isEmpty():
+        there = ahead.select(F.col("piece").alias("other"), F.col("side").alias("out"), F.col("other").alias("_other"), F.col("out").alias("_out"), F.col("far").alias("_far"), F.col("end").alias("_end"), F.col("end_side").alias("_side"))
+        more = ahead.join(there, ["other", "out"], "left")
+        after = cut(more.select("piece", "side", F.col("_other").alias("other"), F.col("_out").alias("out"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.coalesce("_end", "end").alias("end"), F.coalesce("_side", "end_side").alias("end_side")))
+        discard(ahead)
+        ahead = after
+    # Both ways out of a piece reach an end of its line; the line begins at the lesser of the two.
+    ways = ahead.groupBy("piece").agg(*[F.max(F.when(F.col("side") == k, F.struct("end", "end_side", "far"))).alias(f"w{k}") for k in (0, 1)])
+    first = F.struct("w0.end", "w0.end_side") <= F.struct("w1.end", "w1.end_side")
+    placed = ways.select("piece", F.when(first, F.col("w0.far")).otherwise(F.col("w1.far")).alias("rank"), first.alias("onward"))
+    placed = placed.join(named, F.col("piece") == F.col("node")).select("piece", "rank", "onward", F.col("component").alias("line"))
+    parts = pieces.join(placed, "piece").select("level", "line", "rank", F.when(F.col("onward"), F.col("points")).otherwise(F.reverse("points")).alias("points"))
+    lined = parts.groupBy("level", "line").agg(F.array_sort(F.collect_list(F.struct("rank", "points"))).alias("parts"))
+    whole = F.concat(F.array(F.element_at("parts", 1)["points"][0]), F.flatten(F.transform("parts", lambda p: F.slice(p["points"], 2, F.greatest(F.size(p["points"]) - 1, F.lit(0))))))
+    lined = lined.select("level", "line", whole.alias("points"))
+    lined = lined.withColumn("closed", (F.element_at("points", 1)["x"] == F.element_at("points", -1)["x"]) & (F.element_at("points", 1)["y"] == F.element_at("points", -1)["y"]))
+    single = pieces.join(placed.select("piece"), "piece", "left_anti").select("level", F.col("piece").alias("line"), "points", "closed")
+    return single.unionAll(lined)
 
 
 def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
@@ -165,7 +214,7 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
             points = [simplify([(p["x"], p["y"]) for p in own], tolerance) for own in pdf["points"]]
             yield pd.DataFrame({"level": pdf["level"], "line": pdf["line"], "points": [[{"x": x, "y": y} for x, y in own] for own in points], "closed": pdf["closed"]})
 
-    return lines.mapInPandas(run, "level double, line int, points array<struct<x:double,y:double>>, closed boolean")
+    return lines.mapInPandas(run, "level double, line long, points array<struct<x:double,y:double>>, closed boolean")
 
 
 def contours(table: DataFrame, interval: float, most: int = MOST_LINES, tolerance: float = 0.4) -> DataFrame:
