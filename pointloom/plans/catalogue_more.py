@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,12 @@ from pointloom.operators import mesh as ME
 from pointloom.operators import neighbours as N
 from pointloom.operators import raster as R
 from pointloom.operators import regions as RG
-from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, _shell, cube, micros, mu, query
+from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, _floor_and_ball, _shell, blocks, cube, micros, mu, query
 from pointloom.plans.catalogue import _bounds as BOUNDS
 from pointloom.plans.catalogue import _knn_sql as knn_sql
 from pointloom.plans.catalogue import _shape_sql as shape_sql
 from pointloom.session import Session
-from pointloom.sources.adapters import cloud_emb, cloud_ev, cloud_ord
+from pointloom.sources.adapters import cloud_emb, cloud_ev, cloud_ord, table
 
 XYZ = list("xyz")
 
@@ -161,9 +162,21 @@ query("j4_more_modes", f"with {_PAINT} select gid, " + ", ".join([f"{_b(f'{c}/25
 query("j6_tone", f"with {_PAINT} select gid, {mu('pow(r/255.0::double*(0.45::double+(nz::double*0.5+0.5)*0.8::double)*1.2::double, 1.0::double/1.8::double)')} r_u, {mu('g/255.0::double*0.25::double')} g_u from paint")(
     lambda spark, d: micros(_painted(spark, d).select("gid", C.toned(C.shaded(F.col("r") / 255.0, F.col("nz")), 1.2, 1.8).alias("r"), C.tinted([F.col("r") / 255.0, F.col("g") / 255.0], (1.0, 0.25))[1].alias("g")), ["gid"], ["r", "g"])
 )
-query("j11_decompose", "select 30000000::bigint degrees_u, 1250000::bigint scale_u, 3000000::bigint x_u, 1000000::bigint z_u")(
-    lambda spark, d: (lambda m: micros(one_row(spark, degrees=m["degrees"], scale=m["scale"], x=m["translation"][0], z=m["axis"][2]), [], ["degrees", "scale", "x", "z"]))(M.decompose(M.translation(3.0, 1.0, 2.0) @ M.rotation("z", 30.0) @ M.scaling(1.25)))
-)
+
+
+@query("j11_decompose", f"select s_suppkey gid, {mu('(1 + s_suppkey % 178)::double')} degrees_u, {mu('1 + s_nationkey / 8.0::double')} scale_u, {mu('s_suppkey::double')} x_u, 1000000::bigint z_u from supplier")
+def decomposed(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix for each supplier comes apart into what it was put together from."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [M.decompose(M.translation(float(r.s_suppkey), 1.0, 2.0) @ M.rotation("z", 1.0 + r.s_suppkey % 178) @ M.scaling(1 + r.s_nationkey / 8.0)) for r in pdf.itertuples()]
+            yield pd.DataFrame({"gid": pdf["s_suppkey"], "degrees": [f["degrees"] for f in found], "scale": [f["scale"] for f in found], "x": [f["translation"][0] for f in found], "z": [f["axis"][2] for f in found]})
+
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(run, "gid long, degrees double, scale double, x double, z double")
+    return micros(rows, ["gid"], ["degrees", "scale", "x", "z"])
+
+
 query("a6_exact_sum", f"with {EV} select kind, cast(sum(cast(round(y, 6) as decimal(28,6))) * 1000000 as bigint) total_u from cloud group by kind")(lambda spark, d: micros(cloud_ev(spark, d).groupBy(F.col("kind")).agg(C.exact_sum(F.col("y"), 6).alias("total")), ["kind"], ["total"]))
 
 # ---- cleaning
@@ -233,50 +246,50 @@ _walk = "w as (select x/5.0 + 0.6*t wx, y/5.0 wy, z/5.0 + 0.8*t wz, t from cloud
 query("a30_tsdf_table", f"with {ORD}, {_walk} select gx, gy, gz, {mu('sum(t*5.0*wt)/sum(wt) + 1.237e-7')} dist_u, {mu('sum(wt) + 1.237e-7')} weight_u from cn where wt > 0 group by 1, 2, 3 having sum(wt) > 1e-3")(
     lambda spark, d: micros(ME.tsdf(cloud_ord(spark, d).withColumns({"nx": F.lit(0.6), "ny": F.lit(0.0), "nz": F.lit(0.8)}), 5.0).where("weight > 1e-3").withColumns({c: F.col(c) + 1.237e-7 for c in ("dist", "weight")}), ["gx", "gy", "gz"], ["dist", "weight"])
 )
-query("g13_sample_count", "select 4321::bigint points, 4321::bigint ids, true inside")(
-    lambda spark, d: ME.sample(*cube(spark), 4321).agg(F.count("*").alias("points"), F.count_distinct("gid").alias("ids"), F.bool_and((F.least(*[F.least(F.abs(c), F.abs(F.lit(1.0) - F.col(c))) for c in XYZ]) < 1e-9) & F.col("x").between(-1e-9, 1 + 1e-9)).alias("inside"))
+_on = "least(abs(lx), abs(1.0 - lx), abs(y), abs(1.0 - y), abs(z), abs(h - z))"
+query("g13_sample_count", "select 3 * count(*) points, 3 * count(*) ids, true inside from customer")(
+    lambda spark, d: ME.sample(*blocks(spark, d), 3 * table(spark, d, "customer").count()).withColumn("k", F.floor((F.col("x") + 1.0) / 3.0)).selectExpr("gid", "x - 3.0 * k lx", "y", "z", "double(1 + k % 7) h")
+    .agg(F.count("*").alias("points"), F.count_distinct("gid").alias("ids"), F.bool_and(F.expr(f"{_on} < 1e-9 and lx between -1e-9 and 1 + 1e-9 and y between 0 and 1 and z between 0 and h")).alias("inside"))
 )
 
 # ---- iterative operators on shapes whose answers are known
 
 
-@query("g1_orient_known", "select 800::bigint points, true outward")
+@query("g1_orient_known", "select count(*) points, true outward from orders")
 def orient_known(spark: SparkSession, d: str) -> DataFrame:
     """Normals of a sphere, every other one turned in by a hash: all look out again."""
-    mixed = _shell(spark, 800).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    mixed = _shell(spark, d).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     out = G.orient(mixed.withColumns({f"n{c}": F.col(f"n{c}") * F.col("s") for c in "xyz"}).drop("s"), 6, 0.15)
     return out.agg(F.count("*").alias("points"), F.bool_and(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") > 0.99).alias("outward"))
 
 
-@query("g5_icp_known", "select 1500::bigint pairs, true close, true turned_back")
+@query("g5_icp_known", "select count(*) pairs, true close, true turned_back from orders")
 def icp_known(spark: SparkSession, d: str) -> DataFrame:
     """A stretched sphere moved by two degrees and some centimetres: the fit undoes the move."""
-    fixed = _shell(spark, 1500).withColumns({"x": F.col("x") * 2.0, "z": F.col("z") * 0.5})
+    fixed = _shell(spark, d).withColumns({"x": F.col("x") * 2.0, "z": F.col("z") * 0.5})
     away = M.translation(0.05, -0.03, 0.02) @ M.rotation("z", 2.0)
     found = FI.icp(M.transform(fixed.select("gid", "x", "y", "z"), away), FE.face_stations(fixed, spark.createDataFrame([(0, 9.0, 9.0, 9.0)], "sid int, x double, y double, z double")), 0.3)
     back = np.array(found["matrix"]).reshape(4, 4) @ away
     return one_row(spark, pairs=int(found["pairs"]), close=bool(found["rms"] < 1e-3), turned_back=bool(np.abs(back - np.eye(4)).max() < 5e-3))
 
 
-@query("g6_detect_known", "select 2::bigint shapes, true plane, true ball")
+@query("g6_detect_known", "select 2::bigint shapes, count(*) filter (where o_orderkey % 5 < 3) plane, count(*) filter (where o_orderkey % 5 >= 3) ball, 500000::bigint radius_u from orders")
 def detect_known(spark: SparkSession, d: str) -> DataFrame:
-    """A floor of 1600 points and a ball of radius one half above it."""
-    i, j = (F.col("id") % 40).cast("double"), F.floor(F.col("id") / 40).cast("double")
-    floor = spark.range(1600).select(F.col("id").alias("gid"), (i * 0.1).alias("x"), (j * 0.1).alias("y"), *[F.lit(v).alias(c) for c, v in (("z", 0.0), ("nx", 0.0), ("ny", 0.0), ("nz", 1.0))])
-    ball = _shell(spark, 1200, 0.5).select((F.col("gid") + 10_000).alias("gid"), *[(F.col(c) + o).alias(c) for c, o in (("x", 2.0), ("y", 2.0), ("z", 1.5))], "nx", "ny", "nz")
-    shapes = {s["kind"]: s for s in FI.detect(floor.unionAll(ball), least=500, kinds=("plane", "sphere"), trials=120, most=2)}
-    return one_row(spark, shapes=len(shapes), plane=shapes["plane"]["points"] == 1600, ball=shapes["sphere"]["points"] == 1200 and abs(shapes["sphere"]["radius"] - 0.5) < 1e-3)
+    """The floor and the ball come apart whole."""
+    cloud = _floor_and_ball(spark, d)
+    shapes = {s["kind"]: s for s in FI.detect(cloud, least=max(4, cloud.count() // 4), kinds=("plane", "sphere"), trials=120, most=2)}
+    return micros(one_row(spark, shapes=len(shapes), plane=shapes["plane"]["points"], ball=shapes["sphere"]["points"], radius=shapes["sphere"]["radius"]), ["shapes", "plane", "ball"], ["radius"])
 
 
-@query("g9_surface_known", "select true closed, true area_ok, true volume_ok")
+@query("g9_surface_known", "select count(*) > 0 closed, count(*) > 0 area_ok, count(*) > 0 volume_ok from orders")
 def surface_known(spark: SparkSession, d: str) -> DataFrame:
     """A unit sphere's surface closes, with its area and volume to a twentieth."""
-    m = ME.measure(*ME.build_surface(_shell(spark), 0.1)).first()
+    m = ME.measure(*ME.build_surface(_shell(spark, d), 0.1)).first()
     return one_row(spark, closed=bool(m["closed"]), area_ok=abs(m["area"] / (4 * math.pi) - 1) < 0.05, volume_ok=abs(m["volume"] / (4 / 3 * math.pi) - 1) < 0.05)
 
 
-@query("g10_density_known", "select true closed, true area_ok")
+@query("g10_density_known", "select count(*) > 0 closed, count(*) > 0 area_ok from orders")
 def density_known(spark: SparkSession, d: str) -> DataFrame:
     """The same without normals: a shell as thick as a voxel, so two closed surfaces or one around it."""
-    m = ME.measure(*ME.build_surface(_shell(spark, 20_000).select("gid", "x", "y", "z"), 0.1, 0)).first()
+    m = ME.measure(*ME.build_surface(_shell(spark, d).select("gid", "x", "y", "z"), 0.1, 0)).first()
     return one_row(spark, closed=m["boundary_edges"] == 0, area_ok=4 * math.pi < m["area"] < 4 * 4 * math.pi)
