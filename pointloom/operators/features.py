@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.columns import eigenvalues, eigenvector
+from pointloom.functions.columns import eigenvalues, eigenvector, exact_sum
 from pointloom.operators.neighbours import nearest, nearest_station, radius_join
+from pointloom.plans.lineage import cut
 
 TINY = 1e-18
 #: The features by name.
@@ -90,8 +91,12 @@ def mean_distances(cloud: DataFrame, knn: int, cell: float | None = None) -> Dat
 
 def sor(cloud: DataFrame, knn: int = 8, sigmas: float = 1.0, cell: float | None = None) -> DataFrame:
     """(gid, mean, keep): statistical outlier removal; points farther from their neighbours than the mean and ``sigmas`` spreads go."""
-    means = mean_distances(cloud, knn)
-    whole = means.agg(F.avg("mean").alias("mu"), F.avg(F.col("mean") * F.col("mean")).alias("sq"), F.count("*").alias("n"))  # one row
+    means = cut(mean_distances(cloud, knn))
+    # Shares of the largest add up exactly, whatever the order of rows and the size of the cloud, so the cut is always one.
+    top = means.agg(F.coalesce(F.nullif(F.max("mean"), F.lit(0.0)), F.lit(1.0)).alias("top"))  # one row
+    share = F.col("mean") / F.col("top")
+    total = lambda v: exact_sum(v, 14) / F.nullif(F.count("*"), F.lit(0))
+    whole = means.crossJoin(F.broadcast(top)).agg((total(share) * F.max("top")).alias("mu"), (total(share * share) * F.max("top") * F.max("top")).alias("sq"), F.count("*").alias("n"))  # one row
     limit = F.col("mu") + F.sqrt(F.abs(F.col("sq") - F.col("mu") * F.col("mu"))) * sigmas
     keep = (F.col("n") <= knn) | (F.col("mean") <= limit)
     return means.crossJoin(F.broadcast(whole)).select("gid", "mean", keep.cast("int").alias("keep"))

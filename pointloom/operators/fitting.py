@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.matrix import applied, scaling, translation
 from pointloom.operators.neighbours import nearest_one
-from pointloom.plans.lineage import cut
+from pointloom.operators.tiles import Tiled, bucketed, places
+from pointloom.plans.lineage import cut, discard
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -151,97 +152,165 @@ def _off(kind: str, shape: tuple):
     return F.abs(F.sqrt(F.greatest(square - along * along if kind == "cylinder" else square, F.lit(0.0))) - r)
 
 
-def _neighbourhoods(left: DataFrame, count: int, tolerance: float, low: np.ndarray, side: float, seed: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Up to ``count`` minimal samples (4 rows of x, y, z, nx, ny, nz, less ``low``). Each starts at a point of ``left`` drawn at random, and is drawn
-    from all points of the cell around it; cells are of every size from the whole cloud, by halves, to four tolerances."""
-    names = ["x", "y", "z", "nx", "ny", "nz"]
-    levels = max(1, int(np.floor(np.log2(max(side / (4 * tolerance), 1.0)))) + 1)
-    starts = left.orderBy(F.xxhash64("gid", F.lit(seed)), "gid").limit(count).select("x", "y", "z").toPandas().to_numpy(float) - low
-    level = rng.integers(levels, size=len(starts))
-    at = np.column_stack([level, np.floor(starts / (side / 2.0**level)[:, None])]).astype(int)
-    cells, wanted = np.unique(at, axis=0, return_counts=True)
-    # As many cells as starts at most: bounded by ``count``, so they are broadcast. A point meets one cell of a level at most.
-    asked = left.sparkSession.createDataFrame([(*map(int, c), 4 * int(n)) for c, n in zip(cells, wanted, strict=True)], "_l int, _x long, _y long, _z long, _n int")
-    local = left.select("gid", *[(F.col(c) - float(o)).alias(c) for c, o in zip("xyz", low, strict=True)], *names[3:], F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_l"))
-    local = local.select("*", *[F.floor(F.col(c) / (F.lit(side) / F.pow(F.lit(2.0), F.col("_l")))).alias(f"_{c}") for c in "xyz"])
-    cell = ["_l", "_x", "_y", "_z"]
-    local = local.join(F.broadcast(asked), cell)
-    # A share of each cell's points, chosen by hash: six more than its starts need on average, so that few cells come out short.
-    sizes = local.groupBy(*cell).agg(F.count("*").alias("_m"))
-    chance = F.pmod(F.xxhash64("gid", "_l", F.lit(seed + 1)), F.lit(2**52)) / F.lit(2.0**52)
-    drawn = local.join(F.broadcast(sizes), cell).where(chance * F.col("_m") < F.col("_n") + 6)
-    rows = drawn.select(*cell, *names, "gid").toPandas().sort_values([*cell, "gid"])[[*cell, *names]].to_numpy(float)
-    pools: dict[tuple, list] = {}
-    for row in rows:
-        pools.setdefault(tuple(row[:4].astype(int)), []).append(row[4:])
-    pools = {cell: np.array(pool) for cell, pool in pools.items() if len(pool) >= 4}
-    found = [pools.get(tuple(c)) for c in at]
-    return [pool[rng.choice(len(pool), 4, replace=False)] for pool in found if pool is not None]
-
-
-def _supports(left: DataFrame, shapes: list[tuple], tolerance: float, low: np.ndarray) -> np.ndarray:
-    """How many points of the whole of ``left`` lie within ``tolerance`` of each (kind, shape), in one aggregate. Shapes stand off ``low``."""
-    kinds = np.array([k for k, _ in shapes])
-    centre, axis, radius = (np.array([s[i] for _, s in shapes], float) for i in range(3))
-    blocks = [(kind, ids[k : k + 256]) for kind in np.unique(kinds) for ids in [np.flatnonzero(kinds == kind)] for k in range(0, len(ids), 256)]
-
-    def run(batches):
-        total = np.zeros(len(shapes), np.int64)
-        for batch in batches:
-            every = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]) - low
-            for p in (every[k : k + 4096] for k in range(0, len(every), 4096)):
-                square = (p * p).sum(1)[:, None]
-                for kind, ids in blocks:
-                    c, a = centre[ids], axis[ids]
-                    along = p @ a.T - (c * a).sum(1)
-                    if kind == "plane":
-                        far = np.abs(along)
-                    else:
-                        far = square - 2 * (p @ c.T) + (c * c).sum(1)
-                        far = np.abs(np.sqrt(np.maximum(far - along * along if kind == "cylinder" else far, 0)) - radius[ids])
-                    total[ids] += (far <= tolerance).sum(0)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["trial", "points"])
-
-    spread = left.select("x", "y", "z").repartition(left.sparkSession.sparkContext.defaultParallelism)
-    sums = spread.mapInArrow(run, "trial long, points long").groupBy("trial").agg(F.sum("points").alias("points")).toPandas()
-    out = np.zeros(len(shapes), np.int64)
-    out[sums["trial"].to_numpy(int)] = sums["points"].to_numpy(int)
+#: Minimal samples of each kind in a tile, shapes of each kind that a tile proposes, shapes that are scored over the whole cloud in a round,
+#: the least points that speak for a proposal in its tile, and the largest radius of a shape.
+TRIALS, PROPOSED, SCORED, SPOKEN, WIDEST = 160, 4, 256, 24, 1e3
+_SHAPE = "kind string, cx double, cy double, cz double, ax double, ay double, az double, r double"
+
+
+def _far(kinds: np.ndarray, shapes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How far each place (row) is from each shape's surface (column). ``shapes``: centre, axis, radius; a plane's axis is its normal."""
+    out = np.empty((len(p), len(shapes)))
+    for kind in np.unique(kinds):
+        ids = np.flatnonzero(kinds == kind)
+        c, a, r = shapes[ids, :3], shapes[ids, 3:6], shapes[ids, 6]
+        d = p[:, None] - c
+        along = (d * a).sum(axis=2)
+        if kind == "plane":
+            out[:, ids] = np.abs(along)
+        else:
+            square = (d * d).sum(axis=2)
+            out[:, ids] = np.abs(np.sqrt(np.maximum(square - along * along if kind == "cylinder" else square, 0)) - r)
     return out
 
 
-def detect(cloud: DataFrame, tolerance: float = 0.02, least: int = 2000, most: int = 12, kinds=("plane", "sphere", "cylinder"), trials: int = 400, seed: int = 7, miss: float = 0.01) -> list[dict]:
-    """Shapes, best supported first: all trials are scored over the whole cloud in one aggregate, the winner is fitted to its
-    points, which leave the cloud. The first trial wins ties; radii stay over two tolerances.
+def _refined(kind: str, shape: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A plane or a sphere through all of its points, by least squares; a cylinder as it is."""
+    middle = own.mean(axis=0)
+    if kind == "plane":
+        return np.array([*middle, *np.linalg.svd(own - middle, full_matrices=False)[2][2], 0.0])
+    if kind == "sphere":
+        q = own - middle
+        s = np.linalg.lstsq(np.column_stack([2 * q, np.ones(len(q))]), (q * q).sum(axis=1), rcond=None)[0]
+        return np.array([*(s[:3] + middle), 0, 0, 0, np.sqrt(max(s[3] + s[:3] @ s[:3], 0.0))])
+    return shape
+
+
+def _proposals(p: np.ndarray, n: np.ndarray, kinds: tuple, tolerance: float, trials: int, rng: np.random.Generator) -> list[tuple[str, np.ndarray, int]]:
+    """(kind, shape, points) of one tile: minimal samples from neighbourhoods of every size, best supported in the tile first,
+    each counted without the points of those before."""
+    order, _ = bucketed(p)  # runs of this order are neighbourhoods
+    sizes = 2 ** rng.integers(3, max(4, int(np.log2(len(p))) + 1), trials * len(kinds))
+    names, shapes = [], []
+    for k, size in enumerate(np.minimum(sizes, len(p))):
+        kind, start = kinds[k % len(kinds)], int(rng.integers(0, len(p) - size + 1))
+        rows = order[start + rng.choice(size, min(4, size), replace=False)]
+        found = _candidate(kind, p[rows], n[rows]) if len(rows) == 4 else None
+        if found is not None and (kind == "plane" or 2 * tolerance < found[2] < WIDEST) and np.isfinite(np.concatenate([*found[:2], [found[2]]])).all():
+            names.append(kind)
+            shapes.append(np.array([*found[0], *found[1], found[2]]))
+    if not shapes:
+        return []
+    names, shapes = np.array(names), np.array(shapes)
+    near = np.concatenate([_far(names, shapes, p[k : k + 1024]) <= tolerance for k in range(0, len(p), 1024)])
+    out = []
+    for kind in kinds:  # each by itself: a wide ball may take a wall's patch, but not its place among the proposals
+        own_kind, left = np.flatnonzero(names == kind), np.ones(len(p), bool)
+        for _ in range(PROPOSED if len(own_kind) else 0):
+            counts = near[np.ix_(left, own_kind)].sum(axis=0)
+            best = int(own_kind[counts.argmax()])
+            if counts.max() < SPOKEN:
+                break
+            own = near[:, best] & left
+            better = _refined(kind, shapes[best], p[own])
+            sound = kind == "plane" or 2 * tolerance < better[6] < WIDEST
+            with_it = int((_far(names[[best]], better[None], p[left])[:, 0] <= tolerance).sum()) if sound else 0
+            out.append((kind, better if with_it >= counts.max() else shapes[best], max(with_it, int(counts.max()))))
+            left &= ~own
+    return out
+
+
+def _passes(kinds: np.ndarray, shapes: np.ndarray, lo: np.ndarray, hi: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether a shape's surface can come within ``tolerance`` of a place in a box: by the ball around the box."""
+    middle = (lo + hi) / 2
+    return _far(kinds, shapes, middle[None])[0] <= tolerance + float(np.linalg.norm(hi - lo)) / 2 * (1 + 1e-9)
+
+
+def detect(cloud: DataFrame, tolerance: float = 0.02, least: int = 2000, most: int = 12, kinds=("plane", "sphere", "cylinder"), trials: int = TRIALS, seed: int = 7) -> list[dict]:
+    """Shapes, best supported first; a shape's points leave the cloud before the next is sought. Radii stay over two tolerances.
+
+    Every tile of the cloud proposes what its own points speak for, from ``trials`` minimal samples of each kind whatever the cloud's size; so
+    a round's work is linear in the points. Of proposals that are alike one goes on, and the SCORED best supported, summed over
+    tiles, are counted over the whole cloud, in each tile only those whose surface passes its box. The driver holds SCORED shapes.
+    A shape of ``least`` points is proposed where it is SPOKEN points of some tile's neighbourhoods; others may be missed."""
+    tiled, found = Tiled(cloud), []
+    plan, kinds = tiled.plan, tuple(kinds)
+    columns = ["gid", "x", "y", "z", "nx", "ny", "nz"]
+    lows = [float(v or 0.0) for v in cloud.agg(*[F.min(c) for c in "xyz"]).first()]
+    rows = cloud.select(F.col("gid").cast("long").alias("gid"), *[F.col(c).cast("double").alias(c) for c in columns[1:]])
+
+    def deal(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(plan.home(places(batch, 1))), *batch.columns], names=["tile", *columns])
+
+    left = cut(rows.where("x is not null and y is not null and z is not null").mapInArrow(deal, "tile long, gid long, " + ", ".join(f"{c} double" for c in columns[1:])))
+    tasks = max(int(tiled.spark.conf.get("spark.sql.shuffle.partitions")), 2**plan.depth // 8)
+
+    def by_tile(answer, schema):
+        """Tiles of what is left, one after another; a task holds one."""
+
+        def run(batches):
+            key, held = None, []
+
+            def close():
+                table = pa.Table.from_batches(held)
+                yield from answer(int(key), np.stack([table.column(c).to_numpy() for c in columns[1:]], axis=1).astype(float))
+
+            for batch in batches:
+                tile = batch.column(0).to_numpy()
+                turns = np.flatnonzero(np.diff(tile)) + 1
+                for a, b in zip([0, *turns], [*turns, len(tile)], strict=True):
+                    if a < b and tile[a] != key:
+                        if held:
+                            yield from close()
+                        key, held = tile[a], []
+                    if a < b:
+                        held.append(batch.slice(a, b - a))
+            if held:
+                yield from close()
+
+        return left.repartition(min(tasks, 2**plan.depth), "tile").sortWithinPartitions("tile", "gid").mapInArrow(run, schema)
+
+    def propose(tile, rows):
+        rng = np.random.default_rng([seed, len(found), tile])
+        made = _proposals(rows[:, :3] - lows, rows[:, 3:], kinds, tolerance, trials, rng) if len(rows) >= 4 else []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), *[pa.array([m[1][k] for m in made]) for k in range(7)], pa.array([m[2] for m in made])], names=["kind", "cx", "cy", "cz", "ax", "ay", "az", "r", "n"])
 
-    Minimal samples come from neighbourhoods of all sizes in the whole cloud. ``trials`` is the least number of them: there are as
-    many as a shape of ``least`` points needs to be proposed with probability 1 - ``miss``, if a third of the sizes suit it. So
-    their number grows with points over ``least``, and the work of a shape with the square of the points."""
-    rng, left, found = np.random.default_rng(seed), cut(cloud), []
     while len(found) < most:
-        ends = left.agg(F.count("*"), *[F.min(c) for c in "xyz"], *[F.max(c) for c in "xyz"]).first()
-        if ends[0] < max(4, least):
-            break
-        low = np.array(ends[1:4], float)
-        side = max(float((np.array(ends[4:7], float) - low).max()) * (1 + 1e-9), 1e-9)
-        count = max(trials, int(np.ceil(-np.log(miss) * 3 * len(kinds) * ends[0] / max(least, 1))))
-        shapes = []
-        for t, rows in enumerate(_neighbourhoods(left, count, tolerance, low, side, seed + 2 * len(found), rng)):
-            kind = kinds[t % len(kinds)]
-            shape = _candidate(kind, rows[:, :3], rows[:, 3:])
-            if shape is not None and (kind == "plane" or 2 * tolerance < shape[2] < 1e3):
-                shapes.append((kind, shape))
+        made = cut(by_tile(propose, f"{_SHAPE}, n long"))
+        # Alike: the same kind, with direction, place and radius within small steps; those that are right agree from tile to tile
+        # and add up. A plane's place is how far along its normal it is.
+        turn = F.when(F.coalesce(F.nullif(F.round(F.col("az"), 1), F.lit(0.0)), F.nullif(F.round(F.col("ay"), 1), F.lit(0.0)), F.col("ax")) < 0, -1.0).otherwise(1.0)
+        along = F.col("cx") * F.col("ax") + F.col("cy") * F.col("ay") + F.col("cz") * F.col("az")
+        place = [F.when(F.col("kind") == "plane", along * F.col(f"a{c}")).otherwise(F.col(f"c{c}") - (F.when(F.col("kind") == "cylinder", along).otherwise(0.0)) * F.col(f"a{c}")) for c in "xyz"]
+        alike = [F.round(F.col(f"a{c}") * turn * 400).alias(f"_a{c}") for c in "xyz"] + [F.round(v / (2 * tolerance)).alias(f"_c{k}") for k, v in enumerate(place)] + [F.round(F.col("r") / (2 * tolerance)).alias("_r")]
+        groups = made.groupBy("kind", *alike).agg(F.sum("n").alias("n"), F.max_by(F.struct("cx", "cy", "cz", "ax", "ay", "az", "r"), F.struct("n", "cx", "cy", "cz")).alias("s"))
+        shapes = groups.select("kind", "s.*", "n").orderBy(F.desc("n"), "kind", "cx", "cy", "cz").limit(SCORED).collect()
         if not shapes:
             break
-        counts = _supports(left, shapes, tolerance, low)
-        best = int(counts.argmax())
-        if counts[best] < least:
+        names, values = np.array([s.kind for s in shapes]), np.array([[s[k] for k in range(1, 8)] for s in shapes])
+
+        def score(tile, rows, names=names, values=values):
+            p = rows[:, :3] - lows
+            some = np.flatnonzero(_passes(names, values, p.min(axis=0), p.max(axis=0), tolerance))
+            total = sum((_far(names[some], values[some], p[k : k + 1024]) <= tolerance).sum(axis=0) for k in range(0, len(p), 1024)) if len(some) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.asarray(total, np.int64))], names=["trial", "points"])
+
+        sums = by_tile(score, "trial long, points long").groupBy("trial").agg(F.sum("points").alias("points")).orderBy(F.desc("points"), "trial").first()  # at most SCORED rows
+        if sums is None or sums.points < least:
             break
-        kind, (c, a, r) = shapes[best]
-        off = _off(kind, (c + low, a, r))
-        own = left.where(off <= tolerance)
-        found.append(FITS[kind](own) | {"shape": len(found)})
-        left = cut(left.where(off > tolerance))
+        kind, best = names[sums.trial], values[sums.trial]
+        off = _off(kind, (best[:3] + lows, best[3:6], best[6]))
+        fit = FITS[kind](left.where(off <= tolerance))
+        # What was fitted to all of its points may reach more of them than the sample that proposed it.
+        again = _off(kind, (fit["center"], fit.get({"plane": "normal", "cylinder": "axis"}.get(kind)) or (0.0, 0.0, 0.0), fit.get("radius", 0.0)))
+        if left.where(again <= tolerance).count() > sums.points:
+            off, fit = again, FITS[kind](left.where(again <= tolerance))
+        found.append(fit | {"shape": len(found)})
+        after = cut(left.where(off > tolerance))
+        discard(left, made)
+        left = after
     return found
 
 

@@ -164,7 +164,7 @@ def test_volume_and_contour_of_a_pyramid(spark):
 def test_detect_finds_plane_and_ball(spark):
     from pointloom.plans.catalogue import detect
 
-    assert [r.kind for r in detect(spark, "").orderBy("shape").collect()] == ["plane", "sphere"]
+    assert [r.kind for r in detect(spark, "/root/testdata/sf0.001").orderBy("shape").collect()] == ["plane", "sphere"]
 
 
 def test_detect_finds_a_small_ball_in_a_large_cloud(spark):
@@ -181,3 +181,26 @@ def test_detect_finds_a_small_ball_in_a_large_cloud(spark):
     found = FI.detect(spark.createDataFrame(table), least=2500)
     assert [s["kind"] for s in found] == ["sphere"] and found[0]["points"] >= m
     assert found[0]["radius"] == pytest.approx(0.5, abs=1e-3) and found[0]["center"] == pytest.approx([7.3, 11.9, 4.2], abs=1e-3)
+
+
+def test_detect_over_many_tiles(spark, monkeypatch):
+    """Two walls that cross, two balls and a pipe, with noise, over some thirty tiles: each is found whole, once."""
+    from pointloom.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE_POINTS", 2000)
+    rng = np.random.default_rng(4)
+    flat = lambda n: rng.random((n, 2)) * 8
+    unit = rng.standard_normal((9000, 3))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    a, b, turn = flat(20_000), flat(15_000), rng.random(6000) * 2 * np.pi
+    parts = [
+        (np.column_stack([a, np.zeros(len(a))]), np.tile([0.0, 0, 1], (len(a), 1))), (np.column_stack([b[:, 0], np.full(len(b), 4.0), b[:, 1]]), np.tile([0.0, 1, 0], (len(b), 1))),
+        (unit[:5000] * 0.7 + [2, 2, 2], unit[:5000]), (unit[5000:] * 0.4 + [6, 2, 5], unit[5000:]),
+        (np.column_stack([np.cos(turn) * 0.3 + 6, np.sin(turn) * 0.3 + 6.5, rng.random(6000) * 6 + 1]), np.column_stack([np.cos(turn), np.sin(turn), turn * 0])), (rng.random((3000, 3)) * 8, unit[:3000]),
+    ]
+    rows = np.column_stack([np.vstack([p for p, _ in parts]) + rng.standard_normal((53_000, 3)) * 0.002, np.vstack([n for _, n in parts])])
+    table = pd.DataFrame(rows, columns=["x", "y", "z", "nx", "ny", "nz"])
+    table.insert(0, "gid", np.arange(len(table)))
+    found = FI.detect(spark.createDataFrame(table), tolerance=0.02, least=2500)
+    assert [(s["kind"], round(s["points"], -3)) for s in found] == [("plane", 20_000), ("plane", 15_000), ("cylinder", 6000), ("sphere", 5000), ("sphere", 4000)]
+    assert [round(s["radius"], 2) for s in found[2:]] == [0.3, 0.7, 0.4]
