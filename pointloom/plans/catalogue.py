@@ -252,7 +252,7 @@ query("g7_scales", f"with {ORD}, a as (select max(x)-min(x) x, max(y)-min(y) y,
 query("a21_fitplane", f"with {EMB}, c0 as (select avg(x) ax, avg(y) ay, avg(z) az from cloud), k as (select 0 gid, x-ax dx, y-ay dy, z-az dz, 0.0 d2 from cloud, c0), {_shape_sql('z9 as (select 1)')} select count(*) points, {mu('sqrt(avg((dx*vx+dy*vy+dz*vz)*(dx*vx+dy*vy+dz*vz)))')} rms_u, {mu('max(abs(dx*vx+dy*vy+dz*vz))')} worst_u from k, s")(lambda spark, d: (lambda f: micros(spark.createDataFrame([(f["points"], f["rms"], f["worst"])], "points long, rms double, worst double"), ["points"], ["rms", "worst"]))(FI.fit_plane(cloud_emb(spark, d))))
 
 
-query("a23_sphere", "select count(*) points, 3000000::bigint radius_u, 1000000::bigint x_u, -2000000::bigint y_u, 500000::bigint z_u from orders")(lambda spark, d: (lambda f: micros(spark.createDataFrame([(f["points"], f["radius"], *f["center"])], "points long, radius double, x double, y double, z double"), ["points"], ["radius", "x", "y", "z"]))(FI.fit_sphere(_shell(spark, d, 3.0).select("gid", (F.col("x") + 1).alias("x"), (F.col("y") - 2).alias("y"), (F.col("z") + 0.5).alias("z")))))
+query("a23_sphere", "select count(*) points, 3000000::bigint radius_u, 1000000::bigint x_u, -2000000::bigint y_u, 500000::bigint z_u from orders")(lambda spark, d: (lambda f: micros(spark.createDataFrame([(f["points"], f["radius"], *f["center"])], "points long, radius double, x double, y double, z double"), ["points"], ["radius", "x", "y", "z"]))(FI.fit_sphere(_shell_of_orders(spark, d, 3.0).select("gid", (F.col("x") + 1).alias("x"), (F.col("y") - 2).alias("y"), (F.col("z") + 0.5).alias("z")))))
 
 # ---- rasters
 
@@ -299,7 +299,16 @@ def cube(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(CUBE_V, "vid long, x double, y double, z double"), spark.createDataFrame(CUBE_T, "tid long, a long, b long, c long")
 
 
-def grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def grid(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFrame]:
+    """A grid lifted by a wave of whole numbers, for tests."""
+    i, j = F.col("id") % (n + 1), F.floor(F.col("id") / (n + 1))
+    v = spark.range((n + 1) ** 2).select(F.col("id").alias("vid"), i.cast("double").alias("x"), j.cast("double").alias("y"), ((i * i + 3 * j) % 5 / 4.0).alias("z"))
+    p = F.floor(F.col("id") / n) * (n + 1) + F.col("id") % n
+    t = spark.range(n * n).select((F.col("id") * 2).alias("tid"), p.alias("a"), (p + 1).alias("b"), (p + n + 2).alias("c"))
+    return v, t.unionAll(spark.range(n * n).select((F.col("id") * 2 + 1).alias("tid"), p.alias("a"), (p + n + 2).alias("b"), (p + n + 1).alias("c")))
+
+
+def grid_of_orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A strip of squares 64 wide whose vertices are the orders: a mesh that grows with its table."""
     v = table(spark, d, "orders").select(F.col("o_orderkey").alias("vid"), F.floor(F.col("o_orderkey") / 64).cast("double").alias("x"), (F.col("o_orderkey") % 64).cast("double").alias("y"), ((F.col("o_custkey") % 100) / 25.0).alias("z"))
     # The table's keys are all whole numbers from 0, so a square exists where its last corner does.
@@ -329,15 +338,15 @@ _GRIDM = (
 _FULL = "w as (select tid, a, b, c, p.x ax, p.y ay, p.z az, (q.y-p.y)*(r.z-p.z)-(q.z-p.z)*(r.y-p.y) nx, (q.z-p.z)*(r.x-p.x)-(q.x-p.x)*(r.z-p.z) ny, (q.x-p.x)*(r.y-p.y)-(q.y-p.y)*(r.x-p.x) nz from t join v p on p.vid = a join v q on q.vid = b join v r on r.vid = c)"
 _EDGES = "ed as (select least(s, e) p, greatest(s, e) q, count(*) uses from (select a s, b e from t union all select b, c from t union all select c, a from t) group by 1, 2)"
 _MEASURE = f"select count(*) triangles, {mu('sum(sqrt(nx*nx+ny*ny+nz*nz))/2')} area_u, {mu('abs(sum((ax*nx+ay*ny+az*nz)/6))')} volume_u, (select count(*) from ed where uses = 1) boundary_edges, (select bool_and(uses = 2) from ed) closed from w"
-for _n, _cte, _mesh in (("cube", _CUBE, blocks), ("grid", _GRIDM, grid)):
+for _n, _cte, _mesh in (("cube", _CUBE, blocks), ("grid", _GRIDM, grid_of_orders)):
     query(f"a26_mesh_measure_{_n}", f"with {_cte}, {_FULL}, {_EDGES} {_MEASURE}")(lambda spark, d, m=_mesh: micros(ME.measure(*m(spark, d)), ["triangles", "boundary_edges", "closed"], ["area", "volume"]))
-query("a27_boundary", f"with {_GRIDM}, {_EDGES} select p, q from ed where uses = 1")(lambda spark, d: ME.boundary(grid(spark, d)[1]))
-query("a28_normals", f"with {_GRIDM}, {_FULL}, e as (select a vid, nx, ny, nz from w union all select b, nx, ny, nz from w union all select c, nx, ny, nz from w), s as (select vid, sum(nx) x, sum(ny) y, sum(nz) z from e group by vid) select vid, {mu('x/sqrt(x*x+y*y+z*z)')} nx_u, {mu('y/sqrt(x*x+y*y+z*z)')} ny_u, {mu('z/sqrt(x*x+y*y+z*z)')} nz_u from s")(lambda spark, d: micros(ME.vertex_normals(*grid(spark, d)), ["vid"], ["nx", "ny", "nz"]))
-query("g12_flip", f"with {_GRIDM} select tid, a, c b, b c from t")(lambda spark, d: ME.flip(grid(spark, d)[1]))
-query("w3_cumulative_area", f"with {_GRIDM}, {_FULL} select tid, {mu('sum(sqrt(nx*nx+ny*ny+nz*nz)/2) over (order by tid rows unbounded preceding) / 1000')} total_u from w")(lambda spark, d: micros(ME.cumulative_area(*grid(spark, d)).withColumn("total", F.col("total") / 1000), ["tid"], ["total"]))
-query("g11_smooth", f"with {_GRIDM}, {_EDGES}, b as (select p, q from ed union all select q, p from ed), pin as (select p vid from ed where uses = 1 union select q from ed where uses = 1), m as (select b.p vid, avg(v.x) x, avg(v.y) y, avg(v.z) z from b join v on v.vid = b.q group by 1) select v.vid, " + ", ".join(mu(f"case when v.vid in (select vid from pin) then v.{c} else v.{c}+(m.{c}-v.{c})*0.5 end") + f" {c}_u" for c in "xyz") + " from v join m on m.vid = v.vid")(lambda spark, d: micros(ME.smooth(*grid(spark, d), passes=1, taubin=False), ["vid"], list("xyz")))
-query("a29_decimate", f"with {_GRIDM}, o as (select vid, min(vid) over (partition by floor(x/3.0), floor(y/3.0), floor(z/3.0)) cid from v), n as (select p.cid a, q.cid b, r.cid c from t join o p on p.vid = a join o q on q.vid = b join o r on r.vid = c where p.cid <> q.cid and q.cid <> r.cid and r.cid <> p.cid) select (select count(distinct cid) from o) vertices, count(distinct list_sort([a, b, c])) triangles from n")(lambda spark, d: (lambda m: m[0].agg(F.count("*").alias("vertices")).join(m[1].agg(F.count("*").alias("triangles"))))(ME.decimate(*grid(spark, d), 3.0)))
-query("g13_sample")(lambda spark, d: ME.sample(*grid(spark, d), 5000).select("gid", "x", "y", "z"))
+query("a27_boundary", f"with {_GRIDM}, {_EDGES} select p, q from ed where uses = 1")(lambda spark, d: ME.boundary(grid_of_orders(spark, d)[1]))
+query("a28_normals", f"with {_GRIDM}, {_FULL}, e as (select a vid, nx, ny, nz from w union all select b, nx, ny, nz from w union all select c, nx, ny, nz from w), s as (select vid, sum(nx) x, sum(ny) y, sum(nz) z from e group by vid) select vid, {mu('x/sqrt(x*x+y*y+z*z)')} nx_u, {mu('y/sqrt(x*x+y*y+z*z)')} ny_u, {mu('z/sqrt(x*x+y*y+z*z)')} nz_u from s")(lambda spark, d: micros(ME.vertex_normals(*grid_of_orders(spark, d)), ["vid"], ["nx", "ny", "nz"]))
+query("g12_flip", f"with {_GRIDM} select tid, a, c b, b c from t")(lambda spark, d: ME.flip(grid_of_orders(spark, d)[1]))
+query("w3_cumulative_area", f"with {_GRIDM}, {_FULL} select tid, {mu('sum(sqrt(nx*nx+ny*ny+nz*nz)/2) over (order by tid rows unbounded preceding) / 1000')} total_u from w")(lambda spark, d: micros(ME.cumulative_area(*grid_of_orders(spark, d)).withColumn("total", F.col("total") / 1000), ["tid"], ["total"]))
+query("g11_smooth", f"with {_GRIDM}, {_EDGES}, b as (select p, q from ed union all select q, p from ed), pin as (select p vid from ed where uses = 1 union select q from ed where uses = 1), m as (select b.p vid, avg(v.x) x, avg(v.y) y, avg(v.z) z from b join v on v.vid = b.q group by 1) select v.vid, " + ", ".join(mu(f"case when v.vid in (select vid from pin) then v.{c} else v.{c}+(m.{c}-v.{c})*0.5 end") + f" {c}_u" for c in "xyz") + " from v join m on m.vid = v.vid")(lambda spark, d: micros(ME.smooth(*grid_of_orders(spark, d), passes=1, taubin=False), ["vid"], list("xyz")))
+query("a29_decimate", f"with {_GRIDM}, o as (select vid, min(vid) over (partition by floor(x/3.0), floor(y/3.0), floor(z/3.0)) cid from v), n as (select p.cid a, q.cid b, r.cid c from t join o p on p.vid = a join o q on q.vid = b join o r on r.vid = c where p.cid <> q.cid and q.cid <> r.cid and r.cid <> p.cid) select (select count(distinct cid) from o) vertices, count(distinct list_sort([a, b, c])) triangles from n")(lambda spark, d: (lambda m: m[0].agg(F.count("*").alias("vertices")).join(m[1].agg(F.count("*").alias("triangles"))))(ME.decimate(*grid_of_orders(spark, d), 3.0)))
+query("g13_sample")(lambda spark, d: ME.sample(*grid_of_orders(spark, d), 5000).select("gid", "x", "y", "z"))
 
 TRI = ((-0.1, -0.1, 0.0), (0.15, -0.05, 0.05), (0.0, 0.2, -0.05))
 
@@ -371,7 +380,16 @@ def mesh_distance(spark: SparkSession, d: str) -> DataFrame:
     return micros(N.mesh_distance(cloud_emb(spark, d), v, spark.createDataFrame([(0, 0, 1, 2)], "tid long, a long, b long, c long"), 2.0), ["gid"], ["d"])
 
 
-def _shell(spark: SparkSession, d: str, radius: float = 1.0, rows: str = "true") -> DataFrame:
+def _shell(spark: SparkSession, n: int = 6000, radius: float = 1.0) -> DataFrame:
+    """A sphere of so many points, for tests."""
+    k = F.col("id").cast("double")
+    z = F.lit(1.0) - (k * 2 + 1.0) / float(n)
+    flat = F.sqrt(F.lit(1.0) - z * z)
+    unit = spark.range(n).select(F.col("id").alias("gid"), (flat * F.cos(k * 2.399963229728653)).alias("nx"), (flat * F.sin(k * 2.399963229728653)).alias("ny"), z.alias("nz"))
+    return unit.select("gid", *[(F.col(f"n{c}") * radius).alias(c) for c in "xyz"], "nx", "ny", "nz")
+
+
+def _shell_of_orders(spark: SparkSession, d: str, radius: float = 1.0, rows: str = "true") -> DataFrame:
     """The orders spread evenly over a sphere, by multiples of two irrational steps, with the normals they stand on."""
     share = lambda step: F.col("o_orderkey") * step - F.floor(F.col("o_orderkey") * step)
     z, turn = share(0.7548776662466927) * 2.0 - 1.0, share(0.5698402909980532) * (2 * np.pi)
@@ -386,18 +404,18 @@ def _floor_and_ball(spark: SparkSession, d: str) -> DataFrame:
     flat = table(spark, d, "orders").where("o_orderkey % 5 < 3").select(
         F.col("o_orderkey").alias("gid"), ((step % 100) * 0.05).alias("x"), (F.floor(step / 100) * 0.05).alias("y"), *[F.lit(v).alias(c) for c, v in (("z", 0.0), ("nx", 0.0), ("ny", 0.0), ("nz", 1.0))]
     )
-    ball = _shell(spark, d, 0.5, "o_orderkey % 5 >= 3")
+    ball = _shell_of_orders(spark, d, 0.5, "o_orderkey % 5 >= 3")
     return flat.unionAll(ball.select("gid", *[(F.col(c) + o).alias(c) for c, o in (("x", 2.0), ("y", 2.0), ("z", 1.5))], "nx", "ny", "nz"))
 
 
-query("a30_tsdf")(lambda spark, d: micros(ME.tsdf(_shell(spark, d), 0.1), ["gx", "gy", "gz"], ["dist", "weight"]))
-query("g9_surface_nets")(lambda spark, d: micros(ME.measure(*ME.build_surface(_shell(spark, d), 0.1)), ["triangles", "boundary_edges", "closed"], ["area", "volume"]))
-query("g1_orient")(lambda spark, d: G.orient(_shell(spark, d).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0)).withColumns({f"n{c}": F.col(f"n{c}") * F.col("s") for c in "xyz"}).drop("s"), 6, 0.15).select("gid", C.micro(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")).alias("out_u")))
+query("a30_tsdf")(lambda spark, d: micros(ME.tsdf(_shell_of_orders(spark, d), 0.1), ["gx", "gy", "gz"], ["dist", "weight"]))
+query("g9_surface_nets")(lambda spark, d: micros(ME.measure(*ME.build_surface(_shell_of_orders(spark, d), 0.1)), ["triangles", "boundary_edges", "closed"], ["area", "volume"]))
+query("g1_orient")(lambda spark, d: G.orient(_shell_of_orders(spark, d).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0)).withColumns({f"n{c}": F.col(f"n{c}") * F.col("s") for c in "xyz"}).drop("s"), 6, 0.15).select("gid", C.micro(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")).alias("out_u")))
 
 
 @query("g5_icp")
 def icp(spark: SparkSession, d: str) -> DataFrame:
-    fixed = _shell(spark, d).withColumn("x", F.col("x") * 2).withColumn("z", F.col("z") * 0.5)
+    fixed = _shell_of_orders(spark, d).withColumn("x", F.col("x") * 2).withColumn("z", F.col("z") * 0.5)
     moved = M.transform(fixed.select("gid", "x", "y", "z"), M.translation(0.05, -0.03, 0.02) @ M.rotation("z", 2.0))
     found = FI.icp(moved, FE.face_stations(fixed, spark.createDataFrame([(0, 9.0, 9.0, 9.0)], "sid int, x double, y double, z double")), 0.3)
     return micros(spark.createDataFrame([(found["pairs"], found["rms"])], "pairs long, rms double"), ["pairs"], ["rms"])

@@ -20,7 +20,7 @@ from pointloom.operators import mesh as ME
 from pointloom.operators import neighbours as N
 from pointloom.operators import raster as R
 from pointloom.operators import regions as RG
-from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, _floor_and_ball, _shell, blocks, cube, micros, mu, query
+from pointloom.plans.catalogue import EMB, EV, ORD, PAIRS, _floor_and_ball, _shell_of_orders, blocks, cube, micros, mu, query
 from pointloom.plans.catalogue import _bounds as BOUNDS
 from pointloom.plans.catalogue import _knn_sql as knn_sql
 from pointloom.plans.catalogue import _shape_sql as shape_sql
@@ -258,7 +258,7 @@ query("g13_sample_count", "select 3 * count(*) points, 3 * count(*) ids, true in
 @query("g1_orient_known", "select count(*) points, true outward from orders")
 def orient_known(spark: SparkSession, d: str) -> DataFrame:
     """Normals of a sphere, every other one turned in by a hash: all look out again."""
-    mixed = _shell(spark, d).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    mixed = _shell_of_orders(spark, d).withColumn("s", F.when(F.pmod(F.xxhash64("gid"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     out = G.orient(mixed.withColumns({f"n{c}": F.col(f"n{c}") * F.col("s") for c in "xyz"}).drop("s"), 6, 0.15)
     return out.agg(F.count("*").alias("points"), F.bool_and(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") > 0.99).alias("outward"))
 
@@ -266,7 +266,7 @@ def orient_known(spark: SparkSession, d: str) -> DataFrame:
 @query("g5_icp_known", "select count(*) pairs, true close, true turned_back from orders")
 def icp_known(spark: SparkSession, d: str) -> DataFrame:
     """A stretched sphere moved by two degrees and some centimetres: the fit undoes the move."""
-    fixed = _shell(spark, d).withColumns({"x": F.col("x") * 2.0, "z": F.col("z") * 0.5})
+    fixed = _shell_of_orders(spark, d).withColumns({"x": F.col("x") * 2.0, "z": F.col("z") * 0.5})
     away = M.translation(0.05, -0.03, 0.02) @ M.rotation("z", 2.0)
     found = FI.icp(M.transform(fixed.select("gid", "x", "y", "z"), away), FE.face_stations(fixed, spark.createDataFrame([(0, 9.0, 9.0, 9.0)], "sid int, x double, y double, z double")), 0.3)
     back = np.array(found["matrix"]).reshape(4, 4) @ away
@@ -284,12 +284,12 @@ def detect_known(spark: SparkSession, d: str) -> DataFrame:
 @query("g9_surface_known", "select count(*) > 0 closed, count(*) > 0 area_ok, count(*) > 0 volume_ok from orders")
 def surface_known(spark: SparkSession, d: str) -> DataFrame:
     """A unit sphere's surface closes, with its area and volume to a twentieth."""
-    m = ME.measure(*ME.build_surface(_shell(spark, d), 0.1)).first()
+    m = ME.measure(*ME.build_surface(_shell_of_orders(spark, d), 0.1)).first()
     return one_row(spark, closed=bool(m["closed"]), area_ok=abs(m["area"] / (4 * math.pi) - 1) < 0.05, volume_ok=abs(m["volume"] / (4 / 3 * math.pi) - 1) < 0.05)
 
 
 @query("g10_density_known", "select count(*) > 0 closed, count(*) > 0 area_ok from orders")
 def density_known(spark: SparkSession, d: str) -> DataFrame:
     """The same without normals: a shell as thick as a voxel, so two closed surfaces or one around it."""
-    m = ME.measure(*ME.build_surface(_shell(spark, d).select("gid", "x", "y", "z"), 0.1, 0)).first()
+    m = ME.measure(*ME.build_surface(_shell_of_orders(spark, d).select("gid", "x", "y", "z"), 0.1, 0)).first()
     return one_row(spark, closed=m["boundary_edges"] == 0, area_ok=4 * math.pi < m["area"] < 4 * 4 * math.pi)
