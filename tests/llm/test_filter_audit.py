@@ -21,7 +21,7 @@ def fails(rows):
 
 
 def brute(rows, labels):
-    good, toxic = ({d for d, *marks in labels if marks[k] == 1} for k in (0, 1))
+    good, toxic = ({d for d, *marks in labels if marks[k] == 1 and d is not None} for k in (0, 1))
     parts, shares = defaultdict(list), defaultdict(int)
     for (doc, _, source), bad in zip(rows, fails(rows), strict=True):
         parts[source or ""].append((doc, bad))
