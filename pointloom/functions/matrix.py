@@ -85,6 +85,22 @@ def quaternion_of(turn: np.ndarray) -> tuple[float, float, float, float]:
     return tuple((q if q[0] >= 0 else -q).tolist())
 
 
+def perspective(width: int, height: int, eye, target, up, fov: float, near: float = 0.01, far: float | None = None) -> np.ndarray:
+    """World to clip space of a camera: its last row is the distance along the sight, ``fov`` the angle of the picture's
+    height in degrees. Without ``far`` the view has no end."""
+    ahead = np.subtract(target, eye).astype(float)
+    right = np.cross(ahead, np.asarray(up, float))
+    if not np.linalg.norm(right):
+        raise ValueError("a camera looks somewhere, and not along its up")
+    ahead, right = ahead / np.linalg.norm(ahead), right / np.linalg.norm(right)
+    tall = math.tan(math.radians(fov) / 2)
+    seen = np.eye(4)
+    seen[:3, :3] = right * height / (width * tall), np.cross(right, ahead) / tall, ahead
+    scale, offset = (1.0, -2 * near) if far is None else ((far + near) / (far - near), -2 * far * near / (far - near))
+    lens = np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, scale, offset], [0, 0, 1, 0]])
+    return lens @ seen @ translation(*np.negative(eye))
+
+
 def placement(shift, first) -> np.ndarray:
     """Where a later layer stands in the frame of the first: moved by the difference of their shifts."""
     return translation(*np.subtract(shift, first))

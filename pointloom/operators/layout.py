@@ -61,6 +61,17 @@ def median_spacing(bounds: DataFrame, least: int = 64) -> DataFrame:
     return rows.agg(F.coalesce(F.max(F.when(F.col("k") == F.floor(F.col("all") / 2), F.col("spacing"))), F.lit(0.05)).alias("spacing"))
 
 
+def cloud_spacing(cloud: DataFrame) -> float:
+    """The median spacing over a cloud's own octree leaves; 0.05 for clouds too small or too flat to tell."""
+    ends = cloud.agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    if ends["xlo"] is None:
+        return 0.05
+    size = max(ends[f"{c}hi"] - ends[f"{c}lo"] for c in "xyz")
+    if not 0 < size < math.inf:
+        return 0.05
+    return float(median_spacing(leaf_bounds(octree(cloud, size), size)).first()[0])
+
+
 def budget(leaves: DataFrame, points: int) -> DataFrame:
     """(leaf, take): nearest leaves first, whole while the budget lasts. ``leaves``: (leaf, n, dist)."""
     before = F.coalesce(F.sum("n").over(Window.orderBy("dist", "leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -299,4 +300,55 @@ def probe(cloud: DataFrame, px: int, py: int, right: tuple, up: tuple, toward: t
     u, v = cell(along(right), per_pixel) - px, cell(along(up), per_pixel) - py
     near = cloud.where((F.abs(u) <= reach) & (F.abs(v) <= reach))
     best = near.agg(F.min(F.struct((u * u + v * v).alias("away"), (-along(toward)).alias("depth"), "gid", "x", "y", "z")).alias("b"))
-    return best.where("b is not null").select("b.gid", "b.x", "b.y", "b.z")
\ No newline at end of file
+    return best.where("b is not null").select("b.gid", "b.x", "b.y", "b.z")
+
+
+def _planes(view: np.ndarray) -> list[np.ndarray]:
+    """(a, b, c, d) of the six sides of what a 4x4 projection shows, each at least 0 within."""
+    return [view[3] + sign * view[k] for k in range(3) for sign in (1, -1)]
+
+
+def leaves_seen(leaves: DataFrame, view: np.ndarray) -> DataFrame:
+    """The leaves whose box (xmin to zmax) isn't wholly beyond one side of a view: what a picture needs to read."""
+    seen = F.lit(True)
+    for plane in _planes(view):
+        ends = [F.col(f"{c}{'max' if k > 0 else 'min'}") * float(k) for c, k in zip("xyz", plane, strict=False)]
+        seen = seen & (ends[0] + ends[1] + ends[2] + float(plane[3]) >= 0)
+    return leaves.where(seen)
+
+
+def _shown(cloud: DataFrame, view: np.ndarray, width: int, height: int) -> DataFrame:
+    """The points within a view, with px, py (from the upper left) and depth along the sight. Where the view ends, the
+    upright box around it goes to the scan as well."""
+    corners = np.linalg.inv(view) @ np.array([[x, y, z, 1] for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], float).T
+    if np.abs(corners[3]).min() > 1e-9 * np.abs(corners[3]).max():
+        places = corners[:3] / corners[3]
+        for c, at in zip("xyz", places, strict=True):
+            slack = 1e-6 * (1 + np.abs(at).max())
+            cloud = cloud.where(F.col(c).between(float(at.min() - slack), float(at.max() + slack)))
+    along = lambda r: F.col("x") * float(r[0]) + F.col("y") * float(r[1]) + F.col("z") * float(r[2]) + float(r[3])
+    clip = cloud.withColumns({"_z": along(view[2]), "depth": along(view[3]), "_u": along(view[0]), "_v": along(view[1])})
+    clip = clip.where((F.col("depth") > 0) & (F.col("depth") < float("inf")))  # NaN is above all in Spark
+    for c in ("_z", "_u", "_v"):
+        clip = clip.where(F.abs(c) <= F.col("depth"))
+    place = lambda c, n: F.floor((F.col(c) / F.nullif(F.col("depth"), F.lit(0.0)) + 1.0) * (n / 2.0)).cast("long")
+    out = clip.withColumns({"px": place("_u", width), "py": height - 1 - place("_v", height)}).drop("_z", "_u", "_v")
+    return out.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
+
+
+def perspective_view(cloud: DataFrame, view: np.ndarray, width: int, height: int) -> DataFrame:
+    """(px, py, gid, depth): the point nearest the eye in each pixel under a 4x4 projection (``matrix.perspective``), rows
+    from the top; equal depths go to the least gid. Points behind the eye, out of the picture or without coordinates
+    aren't shown."""
+    rows = _shown(cloud.select("gid", "x", "y", "z"), view, width, height)
+    best = rows.groupBy("px", "py").agg(F.min(F.struct("depth", "gid")).alias("b"))
+    return best.select("px", "py", "b.gid", "b.depth")
+
+
+def pick(cloud: DataFrame, px: int, py: int, view: np.ndarray, width: int, height: int, reach: int = 0) -> DataFrame:
+    """(gid, x, y, z, depth): what ``perspective_view`` shows in a pixel, or in the nearest one within ``reach`` that shows
+    anything; no row if none does. Only points of those pixels are compared."""
+    u, v = F.col("px") - px, F.col("py") - py
+    near = _shown(cloud.select("gid", "x", "y", "z"), view, width, height).where((F.abs(u) <= reach) & (F.abs(v) <= reach))
+    best = near.agg(F.min(F.struct((u * u + v * v).alias("away"), "depth", "gid", "x", "y", "z")).alias("b"))
+    return best.where("b is not null").select("b.gid", "b.x", "b.y", "b.z", "b.depth")

@@ -293,3 +293,61 @@ def density_known(spark: SparkSession, d: str) -> DataFrame:
     """The same without normals: a shell as thick as a voxel, so two closed surfaces or one around it."""
     m = ME.measure(*ME.build_surface(_shell_of_orders(spark, d).select("gid", "x", "y", "z"), 0.1, 0)).first()
     return one_row(spark, closed=m["boundary_edges"] == 0, area_ok=4 * math.pi < m["area"] < 4 * 4 * math.pi)
+
+
+# ---- perspective views
+
+CAMERA = {"width": 320, "height": 200, "eye": (203.7, -310.3, 147.9), "target": (231.3, 102.1, 45.7), "up": (0.0, 0.0, 1.0), "fov": 37.0}
+#: The same camera in SQL: its axes by cross products, then each point's place in its frame and its pixel.
+_EYE = """
+eye as (select 203.7::double ex, -310.3::double ey, 147.9::double ez, tan(radians(37.0) / 2) tall),
+sight as (select *, 231.3 - ex sx, 102.1 - ey sy, 45.7 - ez sz, sqrt((231.3 - ex)^2 + (102.1 - ey)^2 + (45.7 - ez)^2) far from eye),
+side as (select *, sy / sqrt(sx^2 + sy^2) rx, -sx / sqrt(sx^2 + sy^2) ry from sight),
+cam as (select *, sx / far ax, sy / far ay, sz / far az, ry * sz / far ux, -rx * sz / far uy, (rx * sy - ry * sx) / far uz from side)
+"""
+_SEEN = f"""{ORD}, {_EYE},
+framed as (select gid, (x-ex)*ax + (y-ey)*ay + (z-ez)*az depth, (x-ex)*rx + (y-ey)*ry u, (x-ex)*ux + (y-ey)*uy + (z-ez)*uz v, tall from cloud, cam),
+seen as (select gid, depth, cast(floor(160 + 100 * u / (depth * tall)) as bigint) px, cast(199 - floor(100 + 100 * v / (depth * tall)) as bigint) py
+  from framed where depth >= 0.01),
+shown as (select * from seen where px between 0 and 319 and py between 0 and 199)
+"""
+
+
+@query("v1_perspective", f"with {_SEEN} select px, py, (min(struct_pack(d := depth, g := gid))).g gid from shown group by px, py")
+def perspective_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return R.perspective_view(cloud_ord(spark, d), M.perspective(**CAMERA), 320, 200).drop("depth")
+
+
+@query(
+    "v3_pick",
+    f"with {_SEEN} select gid, {mu('depth')} depth_u from shown where abs(px - 170) <= 9 and abs(py - 90) <= 9"
+    " order by (px - 170)^2 + (py - 90)^2, depth, gid limit 1",
+)
+def picked(spark: SparkSession, d: str) -> DataFrame:
+    return micros(R.pick(cloud_ord(spark, d), 170, 90, M.perspective(**CAMERA), 320, 200, 9), ["gid"], ["depth"])
+
+
+_CORNER = "case when {k} > 0 then {c}max else {c}min end"
+
+
+def _side_sql(a: str, b: str, c: str) -> str:
+    """The most that a linear form may be in a leaf's box, from the eye."""
+    ends = [f"({k}) * ({_CORNER.format(k=k, c=n)} - e{n})" for n, k in zip("xyz", (a, b, c), strict=True)]
+    return " + ".join(ends)
+
+
+_sides = [_side_sql("ax", "ay", "az") + " >= 0.01"]
+for _sign in ("+", "-"):
+    _sides.append(_side_sql(*[f"(a{c}*tall*1.6 {_sign} r{c})" for c in "xy"], "(az*tall*1.6)") + " >= 0")
+    _sides.append(_side_sql(*[f"(a{c}*tall {_sign} u{c})" for c in "xyz"]) + " >= 0")
+
+
+@query(
+    "v1_leaves_seen",
+    f"with {ORD}, {_EYE}, b as (select cast(floor(x/20.0) as bigint) || '_' || cast(floor(y/20.0) as bigint) || '_' || cast(floor(z/20.0) as bigint) leaf,"
+    " count(*) n, min(x) xmin, max(x) xmax, min(y) ymin, max(y) ymax, min(z) zmin, max(z) zmax from cloud group by 1)"
+    f" select leaf, n from b, cam where {' and '.join(_sides)}",
+)
+def leaves_in_view(spark: SparkSession, d: str) -> DataFrame:
+    leaves = L.leaf_bounds(L.with_leaf(cloud_ord(spark, d), 20.0), 20.0)
+    return R.leaves_seen(leaves, M.perspective(**CAMERA)).select("leaf", "n")

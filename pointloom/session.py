@@ -31,8 +31,15 @@ LOG, STEPS = 500, 80
 EDITS = {
     "analysis": (), "regions": ("list",), "transform": ("get",), "entities": ("list",), "register": (), "distance_to": (),
     "mesh": ("list", "measure", "save"), "surface": ("export", "status"), "history": ("status", "save"), "cache": ("list", "write", "has"),
+    "shapes": ("list",),
 }
 
+#: Default widths as multiples of the spacing (reach and gate: of the cell), and the least they may be, in metres.
+SPACINGS = {"cell": 2.5, "section": 8, "contour": 10, "reach": 200, "gate": 7.2}
+LEAST = {"cell": 0.01, "section": 0.1, "contour": 0.15, "reach": 2.0}
+#: Cells along a footprint's longer side, and vertices of all its lines.
+ACROSS, VERTICES = 400, 12_000
+
 
 def edits(command: str, handler, args: dict) -> bool:
     """Whether the op that the command comes to, its default included, changes data."""
@@ -49,6 +56,7 @@ class Layer:
     model: list[np.ndarray] = field(default_factory=lambda: [np.eye(4)])
     at: int = 0
     visible: bool = True
+    spacings: dict[int, float] = field(default_factory=dict)  # by version, as they are asked for
 
     @property
     def cloud(self) -> DataFrame:
@@ -61,7 +69,15 @@ class Layer:
     def placed(self) -> DataFrame:
         return M.transform(self.cloud, self.matrix)
 
+    def spacing(self) -> float:
+        """How far apart neighbours are in the placed frame."""
+        if self.at not in self.spacings:
+            self.spacings[self.at] = L.cloud_spacing(self.cloud)
+        return self.spacings[self.at] * abs(M.decompose(self.matrix)["scale"])
+
     def commit(self, cloud: DataFrame | None = None, matrix: np.ndarray | None = None) -> None:
+        known = {k: v for k, v in self.spacings.items() if k <= self.at}
+        self.spacings = known | ({self.at + 1: known[self.at]} if cloud is None and self.at in known else {})
         self.versions = [*self.versions[: self.at + 1], cloud if cloud is not None else self.cloud]
         self.model = [*self.model[: self.at + 1], matrix if matrix is not None else self.matrix]
         self.at += 1
@@ -74,6 +90,9 @@ class Session:
         self.active: str | None = None
         self.regions: dict[str, RG.Region] = {}
         self.meshes: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.shapes: list[dict] = []
+        self.views: dict[str, DataFrame] = {}
+        self.frame: tuple[float, float, float] | None = None  # the shift of the first layer that was opened near its own origin
         self.entries: list[dict] = []
         self.values: dict[str, Any] = {}
 
@@ -88,6 +107,10 @@ class Session:
             raise ValueError("no layer is active")
         return self.layers[self.active]
 
+    def _cell(self) -> float:
+        """The width of search cells: two and a half spacings of the active layer, a centimetre at least."""
+        return max(self.layer.spacing() * SPACINGS["cell"], LEAST["cell"])
+
     # -- the command surface
 
     def run(self, command: str, **args) -> dict:
@@ -112,14 +135,32 @@ class Session:
     def do_log(self, limit: int = 50) -> dict:
         return {"entries": self.entries[::-1][:limit]}
 
-    def do_open(self, path: str, name: str | None = None, stride: int = 1) -> dict:
-        """A file with faces opens as a mesh, any other as a layer."""
+    def do_open(self, path: str, name: str | None = None, stride: int = 1, local: bool = False, cache: str | None = None) -> dict:
+        """A file with faces opens as a mesh, any other as a layer.
+
+        ``local``: coordinates less the file's own shift, and the layer placed by how its shift differs from the first
+        one's. ``cache``: a folder of decoded clouds; a file of the same name, size, time and stride is read from there."""
         name = name or path.rstrip("/").rsplit("/", 1)[-1]
         if files.looks_like_mesh(path):
             self.meshes[name] = files.read_mesh(self.spark, path)
             return {"mesh": name}
-        self.add(name, L.stride(files.read(self.spark, path), stride) if stride > 1 else files.read(self.spark, path))
-        return {"layer": name}
+        shift = files.shift_of(path) if local else (0.0, 0.0, 0.0)
+        key = files.file_key(path, stride) + ("l" if local else "") if cache else None
+        store = files.Cache(self.spark, cache) if cache else None
+        hit = store is not None and store.has(key)
+        if hit:
+            cloud = store.read(key)
+        else:
+            cloud = files.read_las(self.spark, path, shift) if any(shift) else files.read(self.spark, path)
+            cloud = L.stride(cloud, stride) if stride > 1 else cloud
+            if store is not None:
+                store.write(key, cloud)
+                cloud = store.read(key)
+        layer = self.add(name, cloud)
+        if local:
+            self.frame = self.frame or tuple(shift)
+            layer.model = [M.placement(shift, self.frame)]
+        return {"layer": name} | ({"cached": hit, "key": key} if cache else {})
 
     def do_export(self, path: str, format: str = "ply", stride: int = 1) -> dict:
         cloud = L.stride(self.layer.placed(), stride) if stride > 1 else self.layer.placed()
@@ -178,7 +219,7 @@ class Session:
             self.regions[new] = replace(_region(region), id=new)
             return {"region": new}
         if op == "place":
-            self.regions[new] = RG.place(at, kind, size or RG.start_size(self._bounds()), new)
+            self.regions[new] = RG.place(at, kind, size or RG.start_size(self._bounds(), self.layer.spacing()), new)
             return {"region": new}
         if op == "lasso":
             # camera: width, height, eye, target, up, fov of the view that the outline was drawn on
@@ -226,9 +267,11 @@ class Session:
         self.layer.commit(matrix=new)
         return {"matrix": new.ravel().tolist()}
 
-    def do_analysis(self, op: str, neighbours: int | None = None, nSigma: float = 1.0, cell: float = 0.1, feature: str = "roughness", radius: float | None = None, minPoints: int = 16, tolerance: float = 0.001, spacing: float = 0.1, neighbourhood: str = "sphere", absoluteError: float | None = None, removeIsolated: bool = False, orient: bool = True) -> dict:
+    def do_analysis(self, op: str, neighbours: int | None = None, nSigma: float = 1.0, cell: float | None = None, feature: str = "roughness", radius: float | None = None, minPoints: int = 16, tolerance: float = 0.001, spacing: float | None = None, neighbourhood: str = "sphere", absoluteError: float | None = None, removeIsolated: bool = False, orient: bool = True) -> dict:
         # Radii, spacings and tolerances are metres of the placed frame; what is found goes back to the layer's rows by id.
+        # What isn't given follows from the cloud's own spacing, in whatever unit it is.
         cloud, placed, back = self.layer.cloud, self.layer.placed(), np.linalg.inv(self.layer.matrix)
+        cell = cell or (None if op in ("invert", "duplicates") else self._cell())
         if op == "normals":
             new = placed.drop("nx", "ny", "nz").join(FE.normals(placed, neighbours or 16, cell), "gid")
             new = G.orient(new, neighbours or 16, cell) if orient else new
@@ -237,9 +280,9 @@ class Session:
         elif op == "invert":
             new = FE.invert_normals(cloud)
         elif op == "feature":
-            new = cloud.drop(feature).join(FE.feature(placed, feature, neighbours or 16, radius or 0.1, cell).withColumnRenamed("value", feature), "gid")
+            new = cloud.drop(feature).join(FE.feature(placed, feature, neighbours or 16, radius or cell, cell).withColumnRenamed("value", feature), "gid")
         elif op == "components":
-            new = cloud.drop("component").join(G.components(placed, radius or 0.1, minPoints).withColumnRenamed("label", "component"), "gid")
+            new = cloud.drop("component").join(G.components(placed, radius or cell, minPoints).withColumnRenamed("label", "component"), "gid")
         elif op == "sor":
             new = _kept(cloud, FE.sor(placed, neighbours or 8, nSigma, cell))
         elif op == "noise":
@@ -247,13 +290,13 @@ class Session:
         elif op == "duplicates":
             new = _kept(cloud, G.duplicates(placed, tolerance))
         elif op == "subsample":
-            new = cloud.join(L.thin(placed, spacing).select("gid"), "gid", "left_semi")
+            new = cloud.join(L.thin(placed, spacing or cell).select("gid"), "gid", "left_semi")
         else:
             raise ValueError(f"no analysis op {op!r}")
         self.layer.commit(new)
         return {"points": new.count()}
 
-    def do_register(self, op: str, reference: str, maxDistance: float = 0.5, maxIterations: int = 30) -> dict:
+    def do_register(self, op: str, reference: str, maxDistance: float | None = None, maxIterations: int = 30) -> dict:
         fixed, moving = self.layers[reference].placed(), self.layer.placed()
         reply: dict = {}
         if op == "centres":
@@ -263,6 +306,7 @@ class Session:
             step = M.scaling(factor, [float(v) for v in moving.agg(*[(F.min(c) + F.max(c)) / 2 for c in "xyz"]).first()])
             reply = {"factor": factor}
         else:
+            maxDistance = maxDistance or self._cell() * SPACINGS["gate"]
             if "nx" not in fixed.columns or FE.normal_share(fixed) < 0.5:
                 fixed = fixed.drop("nx", "ny", "nz").join(FE.normals(fixed, 16, maxDistance / 2), "gid")
             reply = FI.icp(moving, fixed, maxDistance, maxIterations)
@@ -270,8 +314,8 @@ class Session:
         self.layer.commit(matrix=step @ self.layer.matrix)
         return reply | {"matrix": (step @ self.layer.matrix).ravel().tolist()}
 
-    def do_distance_to(self, reference: str, reach: float = 2.0, signed: bool = False) -> dict:
-        cloud = self.layer.cloud
+    def do_distance_to(self, reference: str, reach: float | None = None, signed: bool = False) -> dict:
+        cloud, reach = self.layer.cloud, reach or max(self._cell() * SPACINGS["reach"], LEAST["reach"])
         d = N.distance_to(self.layer.placed(), self.layers[reference].placed(), reach, signed).withColumnRenamed("d", "distance")
         self.layer.commit(cloud.drop("distance").join(d, "gid"))
         return self.layer.cloud.agg(F.count("distance").alias("points"), F.avg("distance").alias("mean"), F.max("distance").alias("max")).first().asDict()
@@ -290,11 +334,33 @@ class Session:
         return self.do_fit("plane", region)
 
     def do_detect(self, tolerance: float = 0.02, minPoints: int = 2000, shapes=("plane", "sphere", "cylinder")) -> dict:
-        return {"shapes": FI.detect(self.layer.placed(), tolerance, minPoints, kinds=tuple(shapes))}
-
-    def do_contour(self, z: float, cell: float, thickness: float = 0.15, dilate: bool = False, vertices: int = 4000) -> dict:
-        lines = R.footprint(self.layer.placed(), cell, z, thickness, dilate, vertices)  # at most so many points reach the driver
-        return {"lines": [[(p.x, p.y) for p in r.points] for r in lines.collect()]}
+        """Shapes of the active layer; normals that it lacks are made on the way."""
+        placed = self.layer.placed()
+        if "nx" not in placed.columns:
+            placed = placed.join(FE.normals(placed, 16, self._cell()), "gid")
+        self.shapes = [f | {"tolerance": tolerance} for f in FI.detect(placed, tolerance, minPoints, kinds=tuple(shapes))]
+        return {"shapes": self.shapes}
+
+    def do_shapes(self, op: str = "list") -> dict:
+        """What ``detect`` found last: listed, put on the points as ``shape`` (label), or the only points that stay (keep) or go (remove)."""
+        if op == "list":
+            return {"shapes": self.shapes}
+        if op not in ("label", "keep", "remove"):
+            raise ValueError(f"no shapes op {op!r}")
+        if not self.shapes:
+            raise ValueError("no shapes were detected")
+        cloud = self.layer.cloud.drop("shape").join(FI.label_shapes(self.layer.placed(), self.shapes, self.shapes[0]["tolerance"]), "gid")
+        self.layer.commit(cloud if op == "label" else RG.shape_mask(cloud, keep=op == "keep"))
+        return {"points": self.layer.cloud.count()}
+
+    def do_contour(self, z: float | None = None, cell: float | None = None, thickness: float | None = None, dilate: bool = False, vertices: int = VERTICES, resolution: int = ACROSS) -> dict:
+        """Outlines of a slab, by default about the middle of the height; at most ``vertices`` points reach the driver."""
+        (x0, y0, z0), (x1, y1, z1) = self._bounds()
+        spacing = self.layer.spacing() if cell is None or thickness is None else 0.0
+        cell = cell or max(max(x1 - x0, y1 - y0) / max(16, min(1024, resolution)), spacing * SPACINGS["cell"], 1e-3)
+        thickness = thickness or max(LEAST["contour"], spacing * SPACINGS["contour"])
+        lines = R.footprint(self.layer.placed(), cell, (z0 + z1) / 2 if z is None else z, thickness, dilate, vertices)
+        return {"cell": cell, "thickness": thickness, "lines": [[(p.x, p.y) for p in r.points] for r in lines.collect()]}
 
     def do_contours(self, interval: float, cell: float, axis: str = "z", path: str | None = None) -> dict:
         """Height lines of a raster of means; with ``path`` they are written as Parquet, else their number is told."""
@@ -304,11 +370,28 @@ class Session:
         row = lines.agg(F.count("*").alias("lines"), F.count_distinct("level").alias("levels"), F.coalesce(F.sum(F.size("points")), F.lit(0)).alias("vertices")).first()
         return row.asDict()
 
-    def do_section(self, axis: str, at: float, thickness: float = 0.1) -> dict:
-        return RG.section(self.layer.placed(), axis, at, thickness).agg(F.count("*").alias("points")).first().asDict()
+    def do_section(self, axis: str = "z", at: float | None = None, thickness: float | None = None) -> dict:
+        lo, hi = self._bounds() if at is None else ((0.0,) * 3, (0.0,) * 3)
+        at = sum((lo["xyz".index(axis)], hi["xyz".index(axis)])) / 2 if at is None else at
+        thickness = thickness or max(LEAST["section"], self.layer.spacing() * SPACINGS["section"])
+        found = RG.section(self.layer.placed(), axis, at, thickness).agg(F.count("*").alias("points")).first().asDict()
+        return found | {"at": at, "thickness": thickness}
+
+    def do_view(self, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01, camera: dict | None = None, name: str = "view") -> dict:
+        """A picture as a table (px, py, gid) in ``views``: orthographic, or with a ``camera`` (width, height, eye, target, up,
+        fov, and near and far if need be) in perspective, with depths."""
+        if camera:
+            view, size = M.perspective(**camera), (camera["width"], camera["height"])
+            table, mapping = R.perspective_view(self.layer.placed(), view, *size), {"viewProjection": view.ravel().tolist(), "width": size[0], "height": size[1]}
+        else:
+            table, mapping = R.ortho_view(self.layer.placed(), right, up, toward, perPixel), R.view_mapping(right, up, toward, perPixel)
+        self.views[name] = table
+        return {"view": name, "pixels": table.count(), **mapping}
 
-    def do_view(self, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01) -> dict:
-        return {"pixels": R.ortho_view(self.layer.placed(), right, up, toward, perPixel).count(), **R.view_mapping(right, up, toward, perPixel)}
+    def do_pick(self, px: int, py: int, camera: dict, reach: int = 0) -> dict:
+        """The point that a pixel of a perspective view shows, and how far it is along the sight."""
+        found = R.pick(self.layer.placed(), px, py, M.perspective(**camera), camera["width"], camera["height"], reach).first()
+        return {"hit": found is not None, **(found.asDict() if found is not None else {})}
 
     def do_probe(self, px: int, py: int, right=(1, 0, 0), up=(0, 1, 0), toward=(0, 0, 1), perPixel: float = 0.01, reach: int = 0) -> dict:
         found = R.probe(self.layer.placed(), px, py, right, up, toward, perPixel, reach).first()
@@ -328,7 +411,7 @@ class Session:
             raise ValueError(f"no surface op {op!r}")
         return {"ok": True}
 
-    def do_mesh(self, op: str = "list", name: str = "surface", path: str | None = None, iterations: int = 5, taubin: bool = True, cell: float = 0.1, count: int = 200_000, reach: float = 2.0, signed: bool = False) -> dict:
+    def do_mesh(self, op: str = "list", name: str = "surface", path: str | None = None, iterations: int = 5, taubin: bool = True, cell: float = 0.1, count: int = 200_000, reach: float | None = None, signed: bool = False) -> dict:
         if op == "list":
             return {"meshes": list(self.meshes)}
         if op == "open":
@@ -345,7 +428,7 @@ class Session:
             self.add(f"{name} points", ME.sample(vertices, triangles, count))
             return {"layer": f"{name} points"}
         elif op == "distance":
-            cloud = self.layer.cloud
+            cloud, reach = self.layer.cloud, reach or max(self._cell() * SPACINGS["reach"], LEAST["reach"])
             d = N.mesh_distance(self.layer.placed(), vertices, triangles, reach, signed).withColumnRenamed("d", "distance")
             self.layer.commit(cloud.drop("distance").join(d, "gid"))
             return self.layer.cloud.agg(F.count("distance").alias("points"), F.avg("distance").alias("mean")).first().asDict()

@@ -60,6 +60,20 @@ def cache_key(name: str, size: int, modified: int, stride: int = 1) -> str:
     return f"{h:08x}{len(text):x}"
 
 
+def file_key(path: str, stride: int = 1) -> str:
+    """The cache key of one file of any store that Arrow knows, by what the store says of it."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    info = store.get_file_info(name)
+    return cache_key(info.base_name, info.size, (info.mtime_ns or 0) // 1_000_000, stride)
+
+
+def shift_of(path: str) -> tuple[float, float, float]:
+    """What a file's coordinates are counted from: the offsets of a LAS header, the origin for other formats."""
+    return tuple(las_header(path)["shift"]) if sniff(path) == "las" else (0.0, 0.0, 0.0)
+
+
 class Cache:
     """Decoded clouds as Parquet tables under one folder of any store that Spark knows, each by its key."""
 

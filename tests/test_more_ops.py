@@ -22,7 +22,7 @@ SMALL = "/root/testdata/sf0.001"
 QUICK = [
     "f13_inside_box", "f1_prism", "f1_prism_many", "f2_keep_delete", "f8_lasso", "f9_prism_from_screen", "f7_shape_keep", "f7_shape_remove", "f11_estimate_kept", "f15_start_size",
     "f19_finite", "l1_octree", "l2_quantise", "l11_floor", "l11_headroom", "n12_prune", "s20_preview", "j1_transform", "j2_rotate_normals", "j4_colour_modes", "j4_more_modes",
-    "j6_tone", "j17_dip", "n6_faced", "a6_exact_sum", "a11_raster_axis_x", "a15_robust_y", "v3_probe", "a30_tsdf_table", "u2_clone", "w3_cumulative_area",
+    "j6_tone", "j17_dip", "n6_faced", "a6_exact_sum", "a11_raster_axis_x", "a15_robust_y", "v3_probe", "v1_perspective", "v1_leaves_seen", "v3_pick", "a30_tsdf_table", "u2_clone", "w3_cumulative_area",
 ]
 
 
