@@ -1,5 +1,6 @@
 """E57 scans: 1024-byte pages with a checksum at the end of each, an XML tree, and binary sections of packets in which
-each field is a stream of floats or of whole numbers in as few bits as their limits need. A scan is a task."""
+each field is a stream of floats or of whole numbers in as few bits as their limits need. A scan is as many tasks as its
+records fill ranges: packet heads alone say where in each stream a range begins."""
 
 from __future__ import annotations
 
@@ -20,6 +21,8 @@ from pointloom.sources.files import _open
 PAGE, DATA = 1024, 1020
 NAMES = {"cartesianX": "x", "cartesianY": "y", "cartesianZ": "z", "sphericalRange": "range", "sphericalAzimuth": "azimuth", "sphericalElevation": "elevation", "intensity": "intensity", "colorRed": "r", "colorGreen": "g", "colorBlue": "b", "nor:normalX": "nx", "nor:normalY": "ny", "nor:normalZ": "nz", "cartesianInvalidState": "invalid", "sphericalInvalidState": "invalid"}
 BATCH = 200_000
+#: Records of a range, and the most tasks that ranges are dealt to.
+RANGE, MOST_TASKS = 2_000_000, 20_000
 
 
 class _Pages:
@@ -177,27 +180,63 @@ def _decode(field: dict, raw: bytes, skip: int, n: int) -> np.ndarray:
     return value * field["scale"] + field["offset"] if field["kind"] == "ScaledInteger" else value
 
 
-def _records(path: str, scan: dict) -> Iterator[dict[str, np.ndarray]]:
-    """Batches of decoded fields; streams run on from packet to packet, so what is left over is kept."""
+def _first_packet(pages: _Pages, scan: dict) -> int:
+    return struct.unpack_from("<Q", pages.read(scan["at"], 32), 16)[0]
+
+
+def _streams(packet: bytes, scan: dict) -> tuple[int, ...]:
+    """Bytes that a data packet, of which the head is there, holds of each field's stream."""
+    streams = struct.unpack_from("<H", packet, 4)[0]
+    if streams != len(scan["fields"]):
+        raise ValueError(f"a packet has {streams} streams, the scan {len(scan['fields'])} fields")
+    return struct.unpack_from(f"<{streams}H", packet, 6)
+
+
+def _ranges(path: str, scan: dict, size: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(first record, packet, bytes of each stream before that packet) of every range of ``size`` records: the first packet
+    that holds any of the range's bits, as streams needn't keep step. Only heads are read."""
+    pages, bits = _Pages(path), [_bits(f) for f in scan["fields"]]
+    at, before, starts = _first_packet(pages, scan), [0] * len(bits), list(range(0, scan["count"], size))
+    if len(starts) < 2 or not any(bits):
+        yield from [(0, at, before)] * bool(starts)
+        return
+    while starts:
+        head = pages.read(at, 6 + 2 * len(bits))
+        kind, _, length = struct.unpack_from("<BBH", head)
+        if kind == 1:
+            after = [n + more for n, more in zip(before, _streams(head, scan), strict=True)]
+            while starts and any(b and end > starts[0] * b // 8 for b, end in zip(bits, after, strict=True)):
+                yield starts.pop(0), at, before
+            before = after
+        at = pages.after(at, length + 1)
+
+
+def _records(path: str, scan: dict, first: int = 0, count: int | None = None, packet: int | None = None, before: list[int] | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Batches of ``count`` records' decoded fields from the ``first``, read from a packet with so many bytes of each stream
+    before it. Streams run on from packet to packet, so what is left over is kept."""
     pages, fields = _Pages(path), scan["fields"]
-    at = struct.unpack_from("<Q", pages.read(scan["at"], 32), 16)[0]
-    held, skips, left = [b""] * len(fields), [0] * len(fields), scan["count"]
-    bits = [_bits(f) for f in fields]
+    at, bits = _first_packet(pages, scan) if packet is None else packet, [_bits(f) for f in fields]
+    left = scan["count"] - first if count is None else count
+    skips = [first * b - 8 * n for b, n in zip(bits, before or [0] * len(fields), strict=True)]
+    held = [b""] * len(fields)
+    if not any(bits):  # every field is a constant
+        while left > 0:
+            yield {f["name"]: _decode(f, b"", 0, min(BATCH, left)) for f in fields}
+            left -= min(BATCH, left)
     while left > 0:
         kind, _, length = struct.unpack("<BBH", pages.read(at, 4))
-        packet = pages.read(at, length + 1)
+        data = pages.read(at, length + 1)
         at = pages.after(at, length + 1)
         if kind != 1:
             continue
-        streams = struct.unpack_from("<H", packet, 4)[0]
-        if streams != len(fields):
-            raise ValueError(f"a packet has {streams} streams, the scan {len(fields)} fields")
-        sizes, place = struct.unpack_from(f"<{streams}H", packet, 6), 6 + 2 * streams
+        sizes, place = _streams(data, scan), 6 + 2 * len(fields)
         for k, size in enumerate(sizes):
-            held[k] += packet[place : place + size]
+            held[k] += data[place : place + size]
             place += size
+            gone = min(skips[k] // 8, len(held[k])) if bits[k] else 0
+            held[k], skips[k] = held[k][gone:], skips[k] - 8 * gone
         ready = min([left, *[(len(h) * 8 - s) // b for h, s, b in zip(held, skips, bits, strict=True) if b]])
-        if ready >= min(BATCH, left) or (ready and ready == left):
+        if ready >= min(BATCH, left) or (ready > 0 and ready == left):
             yield {f["name"]: _decode(f, h, s, ready) for f, h, s in zip(fields, held, skips, strict=True)}
             for k, b in enumerate(bits):
                 used = skips[k] + b * ready
@@ -214,26 +253,34 @@ def _byte(v: np.ndarray, field: str, scan: dict) -> np.ndarray:
 SCHEMA = "gid long, x double, y double, z double, r int, g int, b int, intensity int, nx double, ny double, nz double, scan int"
 
 
-def read_e57(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
+def read_e57(spark: SparkSession, path: str, stride: int = 1, size: int = RANGE) -> DataFrame:
     """All scans in the file's frame, or one record in ``stride`` of each. Invalid and non-finite points go; ids count records over all scans; colours and
-    intensity are bytes by their limits; what a scan lacks is null."""
+    intensity are bytes by their limits; what a scan lacks is null. A task reads ``size`` records of a scan; a scan of more
+    has its packet heads walked by a task beforehand."""
     found = scans(path)
     starts = np.concatenate([[0], np.cumsum([s["count"] for s in found])]).tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                scan, at = found[k], starts[k]
+                for first, packet, before in _ranges(path, found[k], size):
+                    yield pa.RecordBatch.from_pylist([{"scan": k, "first": first, "packet": packet, "before": before}])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.to_pylist():
+                k, at = task["scan"], task["first"]
+                scan = found[k]
                 turn, move = quaternion(*scan["rotation"]), np.array(scan["translation"])
-                for f in _records(path, scan):
+                for f in _records(path, scan, at, min(size, scan["count"] - at), task["packet"], task["before"]):
                     n = len(next(iter(f.values())))
                     if "range" in f:
                         flat = f["range"] * np.cos(f["elevation"])
                         p = np.column_stack([flat * np.cos(f["azimuth"]), flat * np.sin(f["azimuth"]), f["range"] * np.sin(f["elevation"])])
                     else:
                         p = np.column_stack([f["x"], f["y"], f["z"]])
-                    ok = np.isfinite(p).all(1) & (f.get("invalid", np.zeros(n)) == 0) & ((at - starts[k] + np.arange(n)) % stride == 0)
-                    p, ids, none = p[ok] @ turn.T + move, at + np.flatnonzero(ok), pa.nulls(int(ok.sum()))
+                    ok = np.isfinite(p).all(1) & (f.get("invalid", np.zeros(n)) == 0) & ((at + np.arange(n)) % stride == 0)
+                    p, ids, none = p[ok] @ turn.T + move, starts[k] + at + np.flatnonzero(ok), pa.nulls(int(ok.sum()))
                     columns = [pa.array(ids), *[pa.array(p[:, c]) for c in range(3)]]
                     columns += [pa.array(_byte(f[c][ok], c, scan)) if c in f else none.cast(pa.int32()) for c in ("r", "g", "b", "intensity")]
                     turned = np.column_stack([f[f"n{c}"][ok] for c in "xyz"]) @ turn.T if "nx" in f else None
@@ -241,7 +288,11 @@ def read_e57(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
                     at += n
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(ids), k, np.int32))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return spark.range(0, len(found), 1, max(1, len(found))).mapInArrow(run, SCHEMA)
+    tasks = spark.range(0, len(found), 1, max(1, len(found))).mapInArrow(walk, "scan long, first long, packet long, before array<long>")
+    number = sum(-(-s["count"] // size) for s in found)
+    if number > len(found):  # a long scan: its ranges are dealt to tasks of their own
+        tasks = tasks.repartition(min(number, MOST_TASKS))
+    return tasks.mapInArrow(run, SCHEMA)
 
 
 def stations(spark: SparkSession, path: str) -> DataFrame:
