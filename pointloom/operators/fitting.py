@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.matrix import applied, scaling, translation
-from pointloom.operators.neighbours import nearest_one
+from pointloom.functions.matrix import scaling, translation
+from pointloom.operators.neighbours import Written
 from pointloom.operators.tiles import Tiled, bucketed, places
 from pointloom.plans.lineage import cut, discard
 
@@ -350,15 +350,22 @@ def level(cloud: DataFrame) -> np.ndarray:
 
 
 def icp(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int = 30, sample: int = 200_000, least: int = 20) -> dict:
-    """Point to plane: pairs within a gate that narrows to 15%, 27 sums an iteration, a small solve. ``fixed`` has normals."""
+    """Point to plane: pairs within a gate that narrows to 15%, 27 sums an iteration, a small solve. ``fixed`` has normals.
+
+    About ``sample`` points of the moving cloud, or all if it has no more, are held where the query is planned; the fixed
+    cloud is written by tiles once and read in each round."""
     n = moving.count()
-    start = cut(moving.where(F.pmod("gid", F.lit(max(1, -(-n // sample)))) == 0).select("gid", "x", "y", "z"))
-    fixed = cut(fixed.where("nx is not null").select("gid", "x", "y", "z", "nx", "ny", "nz"))
+    few = moving if n <= sample else moving.where(F.pmod(F.xxhash64("gid"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    rows = few.where("x is not null and y is not null and z is not null").select(F.col("gid").cast("long"), *[F.col(c).cast("double") for c in "xyz"]).toArrow()
+    gid, start = rows.column(0).to_numpy(), np.stack([rows.column(c).to_numpy() for c in "xyz"], axis=1)
+    whole = np.isfinite(start).all(axis=1)
+    gid, start = gid[whole], start[whole]
+    written = Written(fixed, most=2 * sample)
     total, gate, history, pairs, tried = np.eye(4), reach, [], 0, 0
     for k in range(rounds):
-        now = start.select("gid", *[v.alias(c) for v, c in zip(applied(total, F.col("x"), F.col("y"), F.col("z")), "xyz", strict=True)])
-        near = nearest_one(now, fixed, gate).where("nb is not null").join(now, "gid").join(fixed.select(F.col("gid").alias("nb"), "nx", "ny", "nz"), "nb")
-        mean = [float(v or 0) for v in near.agg(*[F.avg(c) for c in "xyz"]).first()]
+        at = start @ total[:3, :3].T + total[:3, 3]
+        mean = at.mean(axis=0).tolist() if len(at) else [0.0, 0.0, 0.0]
+        near = written.nearest(gid, at, gate)
         p, m = [F.col(c) - o for c, o in zip("xyz", mean, strict=True)], [F.col(f"n{c}") for c in "xyz"]
         g = [p[1] * m[2] - p[2] * m[1], p[2] * m[0] - p[0] * m[2], p[0] * m[1] - p[1] * m[0], *m]
         r = F.col("dx") * m[0] + F.col("dy") * m[1] + F.col("dz") * m[2]
@@ -380,5 +387,6 @@ def icp(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int = 30, sam
         if k >= 2 and history[-2] - rms < 1e-3 * history[-2]:
             break
         gate = max(gate * 0.85, reach * 0.15)
-    sent = start.count()
+    discard(written.dealt)
+    sent = len(gid)
     return {"matrix": total.tolist(), "rms": history[-1] if history else None, "history": history, "iterations": tried, "pairs": pairs, "overlap": pairs / sent if sent else 0.0}

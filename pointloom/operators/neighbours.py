@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.tiles import HIT, Buckets, Tiled, Triangles, gathered, hits
+from pointloom.operators.tiles import HIT, Buckets, Tiled, Triangles, gathered, hits, places
+from pointloom.plans.lineage import cut, discard
 
 
 def radius_join(points: DataFrame, radius: float, reference: DataFrame | None = None) -> DataFrame:
@@ -84,6 +85,68 @@ def nearest_one(points: DataFrame, reference: DataFrame, reach: float) -> DataFr
     return points.select("gid").join(nearest(points, 1, None, reference, reach).drop("rank"), "gid", "left")
 
 
+class Written:
+    """A cloud with normals that the same few places ask again and again: dealt to tiles and written once, tile by tile.
+
+    A question of at most ``most`` places goes to the tasks by broadcast, so a round reads the cloud and moves only what it
+    found. A tile that two tasks read answers twice; the nearer answer stays. Rows without coordinates or normals go."""
+
+    NAMES = ("x", "y", "z", "nx", "ny", "nz")
+
+    def __init__(self, cloud: DataFrame, most: int = 400_000) -> None:
+        self.most, self.spark = most, cloud.sparkSession
+        whole = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in self.NAMES)
+        rows = cloud.select(F.col("gid").cast("long").alias("gid"), *[F.col(c).cast("double").alias(c) for c in self.NAMES]).where(whole)
+        tiled = Tiled(rows)
+        plan = self.plan = tiled.plan
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(plan.home(places(batch, 1))), *batch.columns], names=["tile", *batch.schema.names])
+
+        self.schema = f"gid long, {', '.join(f'{c} double' for c in self.NAMES)}"
+        dealt = rows.mapInArrow(deal, f"tile long, {self.schema}")
+        tasks = min(2**plan.depth, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2**plan.depth // 8))
+        self.dealt = cut(dealt.repartition(tasks, "tile").sortWithinPartitions("tile"))
+        discard(tiled.dealt)
+
+    def nearest(self, gid: np.ndarray, at: np.ndarray, reach: float) -> DataFrame:
+        """(gid, d2, nb, x, y, z, dx, dy, dz, nx, ny, nz): the nearest within ``reach`` of each place that has one, ties to the least id,
+        with the place that asked and the normal there."""
+        if len(gid) > self.most:
+            raise ValueError(f"{len(gid)} places ask, at most {self.most} may")
+        rows, tile = np.arange(len(gid)), np.ones(len(gid), np.int64)
+        if self.plan.depth:
+            rows, tile = self.plan.facing(at, np.full(len(gid), reach * reach))
+        by = np.argsort(tile, kind="stable")
+        rows, tile = rows[by], tile[by]
+        asked = self.spark.sparkContext.broadcast((tile, gid[rows], at[rows]))  # at most ``most`` places, for each tile near them
+        names = ["gid", "d2", "nb", "x", "y", "z", "dx", "dy", "dz", "nx", "ny", "nz"]
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tile, gid, at = asked.value
+            for batch in batches:
+                key = batch.column(0).to_numpy()
+                turns = np.flatnonzero(np.diff(key)) + 1
+                for a, b in zip([0, *turns], [*turns, len(key)], strict=True):
+                    first, last = np.searchsorted(tile, key[a : a + 1], "left"), np.searchsorted(tile, key[a : a + 1], "right")
+                    if a == b or first[0] == last[0]:
+                        continue
+                    g, p, own = gid[first[0] : last[0]], at[first[0] : last[0]], batch.slice(a, b - a)
+                    ids, normals = own.column(1).to_numpy(), places(own, 5)
+                    by = np.argsort(ids, kind="stable")
+                    cloud = Buckets(np.arange(len(ids)), places(own, 2)[by])
+                    for row, other, d2 in gathered(cloud.nearest(p, 1, np.full(len(p), reach * reach))):
+                        d2, at_, *away = hits(cloud, p, row, other, d2)
+                        at_ = by[at_.to_numpy()]
+                        from_, faced = ([pa.array(np.ascontiguousarray(v[:, k])) for k in range(3)] for v in (p[row], normals[at_]))
+                        yield pa.RecordBatch.from_arrays([pa.array(g[row]), d2, pa.array(ids[at_]), *from_, *away, *faced], names=names)
+
+        found = self.dealt.mapInArrow(answer, "gid long, d2 double, nb long, " + ", ".join(f"{c} double" for c in names[3:]))
+        best = found.groupBy("gid").agg(F.min(F.struct(*names[1:])).alias("b"))
+        return best.select("gid", "b.*")
+
+
 def distance_to(points: DataFrame, reference: DataFrame, reach: float, signed: bool = False) -> DataFrame:
     """(gid, d): distance to the nearest reference point; with ``signed``, along its normal where it has one."""
     near = nearest_one(points, reference, reach)
