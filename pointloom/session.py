@@ -213,13 +213,15 @@ class Session:
         ends = self.layer.placed().agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
         return [ends[f"{c}lo"] or 0.0 for c in "xyz"], [ends[f"{c}hi"] or 0.0 for c in "xyz"]
 
-    def do_regions(self, op: str = "list", region: dict | None = None, id: str | None = None, factor: float = 1.0, at=None, kind: str = "box", size: float | None = None, polygon=None, camera: dict | None = None, depth: float | None = None) -> dict:
+    def do_regions(self, op: str = "list", region: dict | None = None, id: str | None = None, factor: float = 1.0, at=None, kind: str = "box", size: float | str | None = None, polygon=None, camera: dict | None = None, depth: float | None = None) -> dict:
         new = id or (region or {}).get("id") or f"r{len(self.regions) + 1}"
         if op == "add" or (op == "place" and at is None):
             self.regions[new] = replace(_region(region), id=new)
             return {"region": new}
         if op == "place":
-            self.regions[new] = RG.place(at, kind, size or RG.start_size(self._bounds(), self.layer.spacing()), new)
+            # size: metres, or "spacing" for one that follows the cloud's own spacing
+            first = RG.start_size(self._bounds(), self.layer.spacing()) if size == "spacing" else size or RG.start_size(self._bounds())
+            self.regions[new] = RG.place(at, kind, first, new)
             return {"region": new}
         if op == "lasso":
             # camera: width, height, eye, target, up, fov of the view that the outline was drawn on

@@ -92,6 +92,8 @@ def test_defaults_follow_the_spacing(spark, step):
     assert s.layer.cloud.agg(F.count_distinct("component")).first()[0] == 1
     got = s.run("section", axis="x")
     assert got["thickness"] == pytest.approx(max(0.1, 8 * s.layer.spacing())) and got["at"] == pytest.approx(19.5 * step)
+    s.run("regions", op="place", at=[0, 0, 0], size="spacing", id="r")
+    assert s.regions["r"].radius == pytest.approx(max(0.25, 6 * s.layer.spacing(), 0.02 * 39 * step) / 2)
     got = s.run("contour", z=0.0)
     assert len(got["lines"]) == 1 and got["cell"] >= 2.5 * s.layer.spacing() * 0.999
 
