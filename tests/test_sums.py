@@ -47,3 +47,22 @@ def test_measures_are_the_same_in_any_order(spark):
 
     v, t = blocks(spark, "/root/testdata/sf0.01")
     assert len({tuple(ME.measure(v.repartition(n), t.repartition(n)).select("area", "volume").first()) for n in (1, 3, 7)}) == 1
+
+
+def test_a_mesh_out_of_an_explode_is_not_broadcast(spark):
+    from pointloom.plans.catalogue import blocks
+
+    plan = ME.corners(*blocks(spark, "/root/testdata/sf0.01"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
+
+
+@pytest.mark.parametrize("count", [1, 50, 5000, 150_000])
+def test_sample_has_every_place_once(spark, count):
+    """A triangle of almost all the area, many small ones, one of none and one without a place."""
+    v = [(0, 0.0, 0.0, 0.0), (1, 1000.0, 0.0, 0.0), (2, 0.0, 1000.0, 0.0), (3, 0.1, 0.0, 0.0), (4, 0.0, 0.1, 0.0), (5, float("nan"), 0.0, 0.0)]
+    t = [(k, 0, 3, 4) for k in range(3000)] + [(5000, 0, 1, 2), (5001, 0, 0, 1), (5002, 0, 1, 5)]
+    mesh = spark.createDataFrame(v, "vid long, x double, y double, z double"), spark.createDataFrame(t, "tid long, a long, b long, c long")
+    got = ME.sample(*mesh, count).agg(F.count("*").alias("n"), F.count_distinct("gid").alias("ids"), F.min("gid").alias("least"), F.max("gid").alias("most"), F.avg("x").alias("x")).first()
+    assert (got.n, got.ids, got.least, got.most) == (count, count, 0, count - 1)
+    assert count < 5000 or abs(got.x - 1000 / 3) < 10
+    assert ME.sample(*mesh, 0).count() == 0
