@@ -57,9 +57,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids, part, start_in_part): filters on doc_id skip stripes and row groups."""
     stored = spark.read.schema(STORED).orc(path)
     ends = stored.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    # A row for each file; broadcast, so that ids stay where they are read.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("_before"))
-    return stored.join(starts, "part").withColumn("start", F.col("start_in_part") + F.col("_before")).drop("_before")
+    return stored.join(F.broadcast(starts), "part").withColumn("start", F.col("start_in_part") + F.col("_before")).drop("_before")
 
 
 def digest(stored: DataFrame) -> DataFrame:
