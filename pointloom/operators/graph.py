@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.neighbours import neighbourhoods
-from pointloom.operators.tiles import Buckets, Tiled, gathered
+from pointloom.operators.tiles import Buckets, Carrying, Tiled, gathered
 from pointloom.plans import stars
 from pointloom.plans.lineage import cut, discard
 
@@ -178,31 +178,47 @@ def components(cloud: DataFrame, radius: float = 0.1, least: int = 16) -> DataFr
     return roots.join(ranked.select("root", "label"), "root", "left").select("gid", "label")
 
 
-def _signs(edges: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(gid, root, sign) within one tile: edges join the strongest agreement first, as a spanning tree grows by weight."""
-    gid, nb, weight = (edges.column(c).to_numpy() for c in ("gid", "nb", "weight"))
-    names, ends = np.unique(np.concatenate([gid, nb]), return_inverse=True)
-    i, j = ends[: len(gid)], ends[len(gid) :]
+def strongest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, sign) of 0 .. n - 1: the least that each is tied to, and the product of signs on the way there over the spanning
+    forest that grows by the strongest ``weight`` first, ties by ends.
+
+    All trees grow at once by their strongest edge. Edges have an order without ties, so the forest is the one that a walk over
+    them in that order would find."""
     order = np.lexsort((np.maximum(i, j), np.minimum(i, j), -np.abs(weight)))
-    up, turn = list(range(len(names))), [1] * len(names)
-
-    def find(k: int) -> tuple[int, int]:
-        way, sign = [], 1
-        while up[k] != k:
-            way.append(k)
-            k = up[k]
-        for w in reversed(way):
-            sign = turn[w] * sign if up[w] != k else turn[w]
-            up[w], turn[w] = k, sign
-        return k, turn[way[0]] if way else 1
-
-    for a, b, w in zip(i[order].tolist(), j[order].tolist(), weight[order].tolist(), strict=True):
-        (p, s), (q, t) = find(a), find(b)
-        if p != q:
-            low, high = min(p, q), max(p, q)
-            up[high], turn[high] = low, s * t * (-1 if w < 0 else 1)
-    found = [find(k) for k in range(len(names))]
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[[f[0] for f in found]]), pa.array([f[1] for f in found], pa.int32())], names=["gid", "root", "sign"])
+    i, j, turn = i[order], j[order], np.where(weight[order] < 0, -1, 1)
+    root, sign = np.arange(n), np.ones(n, np.int64)
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            break
+        i, j, turn, a, b = i[open_], j[open_], turn[open_], a[open_], b[open_]
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, np.arange(len(i)))
+        np.minimum.at(best, b, np.arange(len(i)))
+        grows = np.flatnonzero(best < len(i))
+        e = best[grows]
+        up, way = np.arange(n), np.ones(n, np.int64)
+        up[grows], way[grows] = a[e] + b[e] - grows, turn[e] * sign[i[e]] * sign[j[e]]
+        both = np.flatnonzero((up[up] == np.arange(n)) & (up > np.arange(n)))  # two trees chose the same edge: the lesser is the root
+        up[both], way[both] = both, 1
+        while (up[up] != up).any():
+            up, way = up[up], way * way[up]
+        root, sign = up[root], sign * way[root]
+    least = np.full(n, n)
+    np.minimum.at(least, root, np.arange(n))
+    return least[root], sign * sign[least[root]]
+
+
+def _signs(points: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(gid, root, sign) of the points of one tile, by what they tell of neighbours in it."""
+    gid, near = points.column("gid").to_numpy(), points.column("near").combine_chunks()
+    each, own = near.flatten(), np.repeat(np.arange(len(gid)), near.value_lengths().to_numpy())
+    nb, there, weight = (each.field(c).to_numpy() for c in ("nb", "there", "weight"))
+    inside = (there == points.column("home")[0].as_py()) & (nb != gid[own])
+    names, place = np.unique(gid, return_inverse=True)
+    root, sign = strongest(len(names), place[own[inside]], np.searchsorted(names, nb[inside]), weight[inside])
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root]), pa.array(sign, pa.int32())], names=["gid", "root", "sign"])
 
 
 def orient(cloud: DataFrame, k: int = 8, cell: float | None = None, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
@@ -212,15 +228,22 @@ def orient(cloud: DataFrame, k: int = 8, cell: float | None = None, viewpoint: t
     their parts, and a signed union of the parts gives every part its sign; its rounds grow with the logarithm of how many
     tiles lie in a row. Then each component as a whole turns by a vote of its points. ``cell`` changes nothing."""
     with_normal = cloud.where("nx is not null and ny is not null and nz is not null")
-    tiled = Tiled(with_normal)
-    near = neighbourhoods(with_normal, k + 1, tiled=tiled).select("gid", F.explode("near.nb").alias("nb")).where("gid <> nb")
-    side = tiled.dealt.select("gid", "tile").join(with_normal.select("gid", "nx", "ny", "nz"), "gid")
-    there = side.select(F.col("gid").alias("nb"), F.col("tile").alias("there"), *[F.col(f"n{c}").alias(f"_{c}") for c in "xyz"])
-    agree = F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("nz") * F.col("_z")
-    edges = cut(near.join(side, "gid").join(there, "nb").select("gid", "nb", "tile", "there", F.when(agree == 0, F.lit(1e-300)).otherwise(agree).alias("weight")))
-    parts = _by_tile(edges.where("tile = there").select("gid", "nb", "tile", "weight"), "tile", _signs, "gid long, root long, sign int")
-    parts = cut(tiled.dealt.select("gid").join(parts, "gid", "left").select("gid", F.coalesce("root", "gid").alias("root"), F.coalesce("sign", F.lit(1)).alias("sign")))
-    across = edges.where("tile <> there").join(parts.withColumnsRenamed({"root": "a", "sign": "s"}), "gid")
+    tiled = Tiled(with_normal, carried=("nx", "ny", "nz"))
+    plan = tiled.plan
+
+    def agreement(cloud: Carrying, at: np.ndarray, row: np.ndarray, other: np.ndarray, d2: np.ndarray) -> list[pa.Array]:
+        """How far normals agree is told where a neighbour is found, so no point is looked up by its id."""
+        n, m = at[row, 3:], cloud.more[other]
+        agree = n[:, 0] * m[:, 0] + n[:, 1] * m[:, 1] + n[:, 2] * m[:, 2]
+        home, there = (plan.home(p) if len(p) else np.zeros(0, np.int64) for p in (at[:, :3], cloud.at[:1]))
+        return [pa.array(v) for v in (d2, cloud.gid[other], home[row], np.full(len(row), there[0] if len(there) else 1), np.where(agree == 0, 1e-300, agree))]
+
+    near = neighbourhoods(with_normal, k + 1, tiled=tiled, told=("d2 double, nb long, home long, there long, weight double", agreement))
+    if plan.depth:
+        near = cut(near)
+    parts = cut(_by_tile(near.select("gid", F.col("near")[0]["home"].alias("home"), F.transform("near", lambda h: F.struct(h["nb"].alias("nb"), h["there"].alias("there"), h["weight"].alias("weight"))).alias("near")), "home", _signs, "gid long, root long, sign int"))
+    across = near.select("gid", F.explode(F.filter("near", lambda h: h["home"] != h["there"])).alias("h")).select("gid", "h.nb", "h.weight")
+    across = across.join(parts.withColumnsRenamed({"root": "a", "sign": "s"}), "gid")
     across = across.join(parts.select(F.col("gid").alias("nb"), F.col("root").alias("b"), F.col("sign").alias("t")), "nb")
     links = across.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("weight") * F.col("s") * F.col("t")).alias("weight"))
     named = cut(stars.signed_components(links.withColumn("weight", F.when(F.col("weight") == 0, F.lit(1e-300)).otherwise(F.col("weight")))))

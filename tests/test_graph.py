@@ -112,3 +112,33 @@ def test_signed_components(spark):
     assert all(r.sign == truth[k] * truth[r.component] for k, r in got.items())
     one = stars.signed_components(spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (1, 3, -0.1)], "a long, b long, weight double")).collect()
     assert {(r.node, r.component, r.sign) for r in one} == {(1, 1, 1), (2, 1, 1), (3, 1, 1)}  # the weak link gives way
+
+
+def walked(n, i, j, weight):
+    """The forest by a walk over the edges, strongest first."""
+    order, root, sign = np.lexsort((np.maximum(i, j), np.minimum(i, j), -np.abs(weight))), np.arange(n), np.ones(n, int)
+    for e in order:
+        a, b = sorted((root[i[e]], root[j[e]]))
+        if a != b:
+            turn = sign[i[e]] * sign[j[e]] * (-1 if weight[e] < 0 else 1)
+            moved = root == b
+            root[moved], sign[moved] = a, sign[moved] * turn
+    return root, sign
+
+
+def test_strongest_forest():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (60, 30), (300, 900), (300, 4000)):
+        i, j = rng.integers(0, n, (2, m))
+        i, j, weight = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.round(rng.uniform(-1, 1, m), 1), 2)
+        for got, right in zip(G.strongest(n, i, j, weight), walked(n, i, j, weight), strict=True):
+            assert (got == right).all()
+
+
+def test_orientation_joins_no_neighbours(spark, monkeypatch):
+    """What a neighbour's normal says is known where the neighbour is found: joins see only what crosses tiles, never all pairs."""
+    monkeypatch.setattr(T, "TILE_POINTS", 2000)
+    rows, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: rows.append(real(df)) or rows[-1])
+    out = G.orient(strip(spark, 20_000), 6)
+    assert out.count() == 20_000 and all(r.count() <= 20_000 for r in rows)
