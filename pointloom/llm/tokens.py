@@ -22,6 +22,9 @@ CACHE_PIECES = 400_000
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: ASCII characters that are neither white space nor letters nor digits.
+MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
 #: White space but for the space and the line feed.
 _RARE = regex.compile(r"[^\S \n]")
 #: Before a single space that stands between two characters that aren't white space, byte-level patterns always cut.
@@ -76,20 +79,31 @@ class Ids:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.chars))
+            # What ASCII has besides white space stands for itself.
+            tokens = self.model.tokenize(part if part.isascii() and part.isprintable() and " " not in part else part.encode().decode("latin-1").translate(self.chars))
             found = self.parts[part] = array("I", [t.id for t in tokens]).tobytes()
         return found
 
     def _new(self, piece) -> bytes:
+        # Most new pieces are ASCII letters alone, or with one mark behind them: their parts are known without the pattern.
+        if self.words and piece.isalpha():
+            return self._letters(piece)
+        if self.words and piece[:-1].isalpha() and piece[-1] in MARKS:
+            return self._letters(piece[:-1]) + self._part(chr(piece[-1]))
         return self._whole(piece.decode() if self.words else " " + piece)
 
+    def _letters(self, piece: bytes) -> bytes:
+        if len(self.parts) > CACHE_PIECES:
+            self.parts.clear()
+        return self._part(piece.lower().decode())
+
     def _whole(self, p: str) -> bytes:
         if p.isascii():
             p = p.lower() if self.words else p
         elif max(p) > "ſ":
             return array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
         elif self.words:
-            p = "".join([c.lower() for c in p])
+            p = p.lower()  # no letter up to there depends on those beside it
         if len(self.parts) > CACHE_PIECES:
             self.parts.clear()
         return b"".join([self._part(x) for x in self.split(p)])

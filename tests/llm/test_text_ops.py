@@ -362,3 +362,17 @@ def test_drawn_takes_all_up_to_its_bound(spark):
     rows = spark.range(3000)
     assert drawn(rows, 3000, "id").count() == 3000 and drawn(rows, 5000, "id").count() == 3000
     assert 1000 < drawn(rows, 2000, "id").count() <= 2000 and drawn(rows.limit(0), 5, "id").count() == 0
+
+
+def test_new_ascii_words_need_no_pattern():
+    """ASCII letters, alone or before one mark, are split without the tokenizer's pattern, and have the library's ids."""
+    encoder = Ids("word_bpe_49k.json", True)
+    text = "Zqwopt zqwopt, ZQWOPT! zq' Zq. (zq) zq_ zq- it's zq"
+    plain = [w for w in text.split() if w not in ("(zq)", "it's")]
+    encoder.split = None
+    got = encoder.encode(" ".join(plain))
+    assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+    whole = Ids("word_bpe_49k.json", True)
+    assert np.frombuffer(whole.encode(text), "<u4").tolist() == whole.tokenizer.encode(text, add_special_tokens=False).ids
+    marks = " ".join(f"aQz{chr(m)}" for m in range(33, 127))
+    assert np.frombuffer(whole.encode(marks), "<u4").tolist() == whole.tokenizer.encode(marks, add_special_tokens=False).ids
