@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import columns as C
+from pointloom.operators import features as FE
 from pointloom.operators import mesh as ME
+from pointloom.operators import tiles as T
 from pointloom.plans.prefix import running_total
 
 
@@ -66,3 +69,23 @@ def test_sample_has_every_place_once(spark, count):
     assert (got.n, got.ids, got.least, got.most) == (count, count, 0, count - 1)
     assert count < 5000 or abs(got.x - 1000 / 3) < 10
     assert ME.sample(*mesh, 0).count() == 0
+
+
+def test_noise_adds_up_in_tiles(spark, monkeypatch):
+    """Crowded neighbourhoods are added up where they are found: no row for each pair leaves a tile, and verdicts are those of all pairs."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.normal(0, 0.1, (400, 3)), np.repeat(rng.random((2, 3)) + 4, 5, axis=0), rng.random((3, 3)) * 50 + 20])
+    cloud = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "gid long, x double, y double, z double")
+    right = {}
+    for i, p in enumerate(at):
+        near = np.flatnonzero(((at - p) ** 2).sum(axis=1) <= 0.0064)
+        d = at[near[near != i]] - p
+        if len(near) <= 3:
+            right[i] = 1
+            continue
+        _, v = np.linalg.eigh(np.cov(d.T, bias=True))
+        right[i] = int(abs(d.mean(axis=0) @ v[:, 0]) <= 0.02)
+    monkeypatch.setattr(FE, "radius_join", None)
+    for points in (16_384, 50):
+        monkeypatch.setattr(T, "TILE_POINTS", points)
+        assert {r.gid: r.keep for r in FE.noise(cloud, 1.0, 0.08, absolute=0.02).collect()} == right
